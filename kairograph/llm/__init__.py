@@ -6,6 +6,8 @@ import importlib
 
 #: Modules that register queries, in the order of their operators.
 MODULES = (
+    "simhash_dedup",
+    "sharding",
     "sentencepiece_codec",
 )
 
