@@ -9,6 +9,7 @@ MODULES = (
     "simhash_dedup",
     "sharding",
     "sentencepiece_codec",
+    "packing",
 )
 
 
