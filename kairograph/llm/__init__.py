@@ -9,6 +9,8 @@ MODULES = (
     "simhash_dedup",
     "sharding",
     "sentencepiece_codec",
+    "content_chunks",
+    "secret_scan",
     "packing",
 )
 
