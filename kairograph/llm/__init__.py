@@ -6,11 +6,14 @@ import importlib
 
 #: Modules that register queries, in the order of their operators.
 MODULES = (
+    "language_id",
     "simhash_dedup",
     "sharding",
     "sentencepiece_codec",
     "content_chunks",
     "secret_scan",
+    "quality_rules",
+    "token_counts",
     "packing",
 )
 
