@@ -8,6 +8,7 @@ import importlib
 MODULES = (
     "language_id",
     "simhash_dedup",
+    "suffix_dedup",
     "sharding",
     "sentencepiece_codec",
     "content_chunks",
