@@ -151,6 +151,17 @@ def near_duplicates(docs: DataFrame, radius: int = 2, width: int = 3, id_column:
     return found.join(answer, "fp", "left").select(F.col("id").alias(id_column), "fp", "component_id")
 
 
+def keep_one(docs: DataFrame, radius: int = 2, width: int = 3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows, with all their columns, one of each component: that of the smallest id, of equals the first row."""
+    row = "__kairograph_row"
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    found = near_duplicates(numbered, radius, width, row, text_column).select(row, F.col("component_id").alias("c"))
+    ids = numbered.select(row, F.col(f"`{id_column}`").alias("id"))
+    first = ids.join(found, row).groupBy("c").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", row)).alias("k"))
+    kept = stored(first.select(F.col(f"k.{row}").alias(row)), "kept-rows")
+    return numbered.join(kept, row, "left_semi").drop(row)
+
+
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

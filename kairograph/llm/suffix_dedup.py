@@ -232,6 +232,26 @@ def dedup(docs: DataFrame, length: int = LENGTH, id_column: str = "doc_id", text
     )
 
 
+def without_repeats(docs: DataFrame, length: int = LENGTH, text_column: str = "text") -> DataFrame:
+    """The rows, with all their columns, repeated bytes cut from the text; characters cut in part go as a whole.  A row
+    whose text is removed whole is dropped; null and empty texts stay as they are."""
+    found = stored(removals(with_tid(docs.select(F.col(f"`{text_column}`").alias("text"))).select("tid", "text"), length).select("tid", "spans"), "removals")
+    key, cut = "__kairograph_tid", "__kairograph_spans"
+    named = found.select(F.col("tid").alias(key), F.col("spans").alias(cut))
+    joined = docs.withColumn(key, F.unhex(F.md5(F.coalesce(F.col(f"`{text_column}`"), F.lit(""))))).join(named, key, "left").drop(key)
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        at, spans = batch.schema.get_field_index(text_column), batch.column(cut).to_pylist()
+        texts = batch.column(at).to_pylist()
+        for i, ranges in enumerate(spans):
+            if ranges:
+                texts[i] = b"".join(kept_parts(texts[i].encode(), [(r["lo"], r["hi"]) for r in ranges])).decode("utf-8", "ignore")
+        out = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type)).drop_columns([cut])
+        return out.filter(pa.array([not r or bool(t) for r, t in zip(spans, texts)], pa.bool_()))
+
+    return map_steps(joined, work, docs.schema, text_column)
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
