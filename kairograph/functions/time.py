@@ -37,7 +37,7 @@ def local_instant(date: Column, clock: Column, zone) -> Column:
 
 
 def plus_seconds(instant: Column, seconds: Column) -> Column:
-    return F.timestamp_micros(F.unix_micros(instant) + (seconds * 1_000_000).cast("long"))
+    return F.timestamp_micros(F.unix_micros(instant) + (seconds.cast("double") * 1_000_000).cast("long"))
 
 
 def expires_at(anchor: Column, ttl_days: Column) -> Column:

@@ -107,7 +107,7 @@ def persons(g, s, d):
     return reads.persons(g).select("id", "title", joined("aliases"))
 
 
-@query("SELECT id, field, CAST(epoch(changed_at) AS BIGINT) AS changed_at FROM history WHERE node_id = 'p8' ORDER BY history.changed_at DESC, id LIMIT 50")
+@query("SELECT id, field, CAST(floor(epoch(changed_at)) AS BIGINT) AS changed_at FROM history WHERE node_id = 'p8' ORDER BY history.changed_at DESC, id LIMIT 50")
 def node_history(g, s, d):
     return reads.node_history(g, "p8").select("id", "field", seconds("changed_at"))
 
@@ -211,9 +211,9 @@ _PLANS = f"""
 lim AS (SELECT TIMESTAMP '1998-06-14 04:00:00' AS lo, TIMESTAMP '1998-06-21 04:00:00' AS hi),
 ends AS (SELECT live.*, end_at, all_day, rsvp, CASE WHEN all_day THEN coalesce(end_at, occurred_at) + INTERVAL 23 HOUR ELSE end_at END AS last FROM live JOIN plans ON node_id = id),
 it AS (SELECT ends.* FROM ends, lim WHERE CASE WHEN last IS NULL THEN occurred_at >= lo AND occurred_at < hi ELSE occurred_at < hi AND last > lo END),
-at AS (SELECT src_id, arg_min(dst_id, (cur.created_at, cur.id)) AS place_id, arg_min(room, (cur.created_at, cur.id)) AS room FROM cur JOIN live ON live.id = dst_id AND kind = 'place' WHERE type = 'AT_LOCATION' GROUP BY src_id),
+venue AS (SELECT src_id, arg_min(dst_id, (cur.created_at, cur.id)) AS place_id, arg_min(room, (cur.created_at, cur.id)) AS room FROM cur JOIN live ON live.id = dst_id AND kind = 'place' WHERE type = 'AT_LOCATION' GROUP BY src_id),
 note AS (SELECT src_id, string_agg(title, '|' ORDER BY cur.created_at, cur.id) AS notes FROM cur JOIN live ON live.id = dst_id AND kind = 'memory' WHERE type = 'HAS_NOTE' GROUP BY src_id),
-tl AS (SELECT it.id, it.title, rsvp, all_day, hub_id, place_id, room, notes, end_at, occurred_at, agent_id FROM it LEFT JOIN hub_of ON item_id = it.id LEFT JOIN at ON at.src_id = it.id LEFT JOIN note ON note.src_id = it.id)
+tl AS (SELECT it.id, it.title, rsvp, all_day, hub_id, place_id, room, notes, end_at, occurred_at, agent_id FROM it LEFT JOIN hub_of ON item_id = it.id LEFT JOIN venue ON venue.src_id = it.id LEFT JOIN note ON note.src_id = it.id)
 """
 _WEEK = ("1998-06-14 04:00:00", "1998-06-21 04:00:00")
 
@@ -428,7 +428,7 @@ def text_segments(g, s, d):
 # candidates and lookalikes
 
 
-@query("SELECT id FROM nodes JOIN persons ON node_id = id WHERE regexp_matches('As of today nobody of the household review team was at part 7', '(?i)(^|[^\\p{L}\\p{N}])(' || array_to_string(list_transform([title] || aliases || list_filter(list_transform(regexp_split_to_array(title, '\\s+'), lambda w: regexp_replace(w, '[^\\p{L}''-]', '', 'g')), lambda w: length(w) >= 3 AND regexp_matches(w, '^\\p{Lu}')), lambda w: regexp_replace(w, '#', '\\#', 'g')), '|') || ')($|[^\\p{L}\\p{N}])')")
+@query("SELECT id FROM nodes JOIN persons ON node_id = id WHERE regexp_matches('As of today nobody of the household review team was at part 7', '(?i)(^|[^\\p{L}\\p{N}])(' || array_to_string([title] || aliases || list_filter(list_transform(regexp_split_to_array(title, '\\s+'), lambda w: regexp_replace(w, '[^\\p{L}''-]', '', 'g')), lambda w: length(w) >= 3 AND regexp_matches(w, '^\\p{Lu}')), '|') || ')($|[^\\p{L}\\p{N}])')")
 def mentioned_persons(g, s, d):
     return C.mentioned_persons(g, "As of today nobody of the household review team was at part 7")
 
@@ -449,7 +449,7 @@ def context_edges(g, s, d):
     return C.context_edges(g, ids.distinct(), 50)
 
 
-@query(f"nw AS (SELECT 'n' || o_orderkey AS temp_id, 'plan' AS kind, o_orderpriority || ' review' AS title, o_orderdate AS at FROM orders WHERE o_orderkey % 500 = 1), w AS (SELECT temp_id, title, at FROM nw) SELECT temp_id, live.id FROM w JOIN live ON live.kind = 'plan' AND ({_NORM.format('live.title')} = {_NORM.format('w.title')} OR (abs(epoch(occurred_at) - epoch(at)) <= 43200 AND len(list_intersect(list_filter(string_split({_NORM.format('live.title')}, ' '), lambda x: length(x) >= 4), list_filter(string_split({_NORM.format('w.title')}, ' '), lambda x: length(x) >= 4))) > 0))")
+@query(f"nw AS (SELECT 'n' || o_orderkey AS temp_id, 'plan' AS kind, o_orderpriority || ' review' AS title, o_orderdate AS od FROM orders WHERE o_orderkey % 500 = 1), w AS (SELECT temp_id, title, od FROM nw) SELECT temp_id, live.id FROM w JOIN live ON live.kind = 'plan' AND ({_NORM.format('live.title')} = {_NORM.format('w.title')} OR (abs(epoch(occurred_at) - epoch(od)) <= 43200 AND len(list_intersect(list_filter(string_split({_NORM.format('live.title')}, ' '), lambda x: length(x) >= 4), list_filter(string_split({_NORM.format('w.title')}, ' '), lambda x: length(x) >= 4))) > 0))")
 def lookalike_plans(g, s, d):
     orders = star_table(s, d, "orders").where("o_orderkey % 500 = 1")
     news = orders.select(F.concat(F.lit("n"), F.col("o_orderkey").cast("string")).alias("temp_id"), F.lit("plan").alias("kind"), F.concat("o_orderpriority", F.lit(" review")).alias("title"), F.col("o_orderdate").alias("occurred_at"), F.lit(None).cast("timestamp").alias("closes_at"), F.lit(None).cast("string").alias("hub_id"))
