@@ -50,13 +50,14 @@ def document_frequencies(tokens: DataFrame) -> tuple[np.ndarray, int, int]:
     """Documents of each id, documents and tokens over all rows; what is collected is bounded by the vocabulary."""
 
     def count(batches):
-        seen, rows, total = np.zeros(IDS, np.int64), 0, 0
+        seen, present, rows, total = np.zeros(IDS, np.int64), np.zeros(IDS, bool), 0, 0
         for batch in batches:
             for x in batch.column("ids"):
                 ids = np.frombuffer(x.as_buffer(), "<u2")
-                present = np.zeros(IDS, bool)
                 present[ids] = True
-                seen += present
+                at = np.flatnonzero(present)
+                seen[at] += 1
+                present[at] = False
                 rows, total = rows + 1, total + len(ids)
         at = np.flatnonzero(seen)
         yield pa.record_batch([pa.array(np.r_[at, -1, -2]), pa.array(np.r_[seen[at], rows, total])], ["term", "n"])

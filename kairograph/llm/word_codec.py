@@ -52,17 +52,20 @@ class WordCodec:
             raise ValueError("ids must fit 16 bits")
         self.bpe = BacktrackingBPE(vocab, lambda a, b: ranks.get((a, b)), END)
         self.marks = byte_marks()
+        self.pairs = [i.to_bytes(2, "little") for i in range(1 << 16)]
         self.parts = TwoGenerations(self._part, 150_000)
         self.memo = TwoGenerations(self._word)
 
     def _part(self, part: str) -> bytes:
         mapped = part if part.isascii() else "".join([self.marks[b] for b in part.encode()])
-        return np.array(self.bpe.encode(mapped + END), "<u2").tobytes()
+        return b"".join(map(self.pairs.__getitem__, self.bpe.encode(mapped + END)))
 
     def _word(self, word: bytes) -> bytes:
         text = word.decode()
+        if word.isalpha():  # ASCII letters, in lower case here
+            return self._part(text)
         if SAFE.fullmatch(low := text.lower()):
-            return b"".join([self.parts[p] for p in PARTS.findall(low)])
+            return b"".join(map(self.parts.__getitem__, PARTS.findall(low)))
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
     def encode(self, text: bytes) -> bytes:
