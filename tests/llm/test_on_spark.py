@@ -96,7 +96,7 @@ def test_repeated_windows_and_lines(spark):
 
 def test_frequent_lines_go(spark):
     shared = "this line stands in every text of the host and is long enough to matter here"
-    rows = [(i, "h", f"{shared}\nown {i}") for i in range(40)] + [(99, "h", " ".join(WORDS[:60]))]
+    rows = [(i, "h", f"{shared}\nown {''.join(chr(97 + int(c)) for c in str(i))}") for i in range(40)] + [(99, "h", " ".join(WORDS[:60]))]
     frame = spark.createDataFrame(rows, "doc_id long, source string, text string")
     assert quality_rules.frequent_lines(frame.toDF("id", "host", "text")).count() == 1
     kept = {r.doc_id: r.kept for r in quality_rules.judge(frame).collect()}
