@@ -12,7 +12,7 @@ from kairograph.functions.time import iso, local_date
 from kairograph.operators import reads
 from kairograph.operators.mutations import history_rows
 from kairograph.operators.recall import nearest
-from kairograph.sources.graph import Graph
+from kairograph.sources.graph import Graph, cut
 
 
 def mentioned_persons(graph: Graph, text: str) -> DataFrame:
@@ -41,7 +41,8 @@ def candidates(graph: Graph, text: str, vectors: list[Column], writer: str, extr
 
 def context_edges(graph: Graph, ids: DataFrame, limit: int) -> DataFrame:
     """All item edges of tasks among the ids, then up to limit others: between no hubs, between hubs, the rest."""
-    inc = reads.incident_edges(graph.edges.where(P.current() & (F.col("type") != "HAS_PLAN")), ids)
+    ids = cut(ids)
+    inc = cut(reads.incident_edges(graph.edges.where(P.current() & (F.col("type") != "HAS_PLAN")), ids))
     sizes = inc.select(F.explode(F.array("src_id", "dst_id")).alias("id")).groupBy("id").agg(F.count("*").alias("d")).where(F.col("d") > HUB_DEGREE)
     flag = lambda end, name: sizes.select(F.col("id").alias(end), F.lit(True).alias(name))
     inside = lambda end, name: ids.select(F.col("id").alias(end), F.lit(True).alias(name)).distinct()

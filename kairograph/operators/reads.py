@@ -9,7 +9,7 @@ from kairograph.config import CLOSEST_HUB_LIMIT, HISTORY_PAGE, KINDS, InvalidReq
 from kairograph.functions import predicates as P
 from kairograph.functions.text import normalize_title
 from kairograph.functions.time import local_date
-from kairograph.sources.graph import Graph
+from kairograph.sources.graph import Graph, cut
 
 
 def ids_frame(graph: Graph, ids) -> DataFrame:
@@ -202,9 +202,9 @@ def seeded_graph(graph: Graph, seeds, now: Column) -> tuple[DataFrame, DataFrame
         raise NotFound("seed")
     current = graph.edges.where(P.current())
     near = incident_edges(current, ids)
-    reached = ids.union(near.select("src_id")).union(near.select("dst_id")).distinct()
+    reached = cut(ids.union(near.select("src_id")).union(near.select("dst_id")).distinct())
     nodes = live_nodes(graph, now).join(reached, "id", "left_semi").join(sessions(graph), "id", "left_anti")
-    return nodes, edges_among(current, nodes.select("id"))
+    return nodes, edges_among(current, cut(nodes.select("id")))
 
 
 def node_detail(graph: Graph, node_id: str) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -14,15 +12,7 @@ from kairograph.functions import predicates as P
 from kairograph.functions.text import person_names, query_words
 from kairograph.functions.vectors import cosine, frequency, proximity, recency
 from kairograph.operators import reads
-from kairograph.sources.graph import Graph
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a checkpoint in the shared folder, or in a local one where none is set."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "file://" + os.path.join(tempfile.gettempdir(), "kairograph-checkpoints"))
-    return df.checkpoint()
+from kairograph.sources.graph import Graph, cut
 
 
 def vector(values) -> Column:
