@@ -50,15 +50,25 @@ def document_frequencies(tokens: DataFrame) -> tuple[np.ndarray, int, int]:
     """Documents of each id, documents and tokens over all rows; what is collected is bounded by the vocabulary."""
 
     def count(batches):
-        seen, present, rows, total = np.zeros(IDS, np.int64), np.zeros(IDS, bool), 0, 0
+        seen, rows, total = np.zeros(IDS, np.int64), 0, 0
+
+        def add(held: list[np.ndarray]) -> None:
+            owner = np.repeat(np.arange(len(held), dtype=np.uint32), [len(x) for x in held])
+            pairs = np.sort(owner << np.uint32(16) | np.concatenate(held))
+            first = np.r_[True, pairs[1:] != pairs[:-1]]
+            seen[:] += np.bincount(pairs[first] & np.uint32(0xFFFF), minlength=IDS)
+
         for batch in batches:
+            held, size = [], 0
             for x in batch.column("ids"):
-                ids = np.frombuffer(x.as_buffer(), "<u2")
-                present[ids] = True
-                at = np.flatnonzero(present)
-                seen[at] += 1
-                present[at] = False
-                rows, total = rows + 1, total + len(ids)
+                held.append(np.frombuffer(x.as_buffer(), "<u2"))
+                size += len(held[-1])
+                rows, total = rows + 1, total + len(held[-1])
+                if size >= INDEX_TOKENS or len(held) == IDS:
+                    add(held)
+                    held, size = [], 0
+            if held:
+                add(held)
         at = np.flatnonzero(seen)
         yield pa.record_batch([pa.array(np.r_[at, -1, -2]), pa.array(np.r_[seen[at], rows, total])], ["term", "n"])
 

@@ -16,6 +16,8 @@ import numpy as np
 from kairograph.llm.backtracking_bpe import BacktrackingBPE
 from kairograph.llm.common import TwoGenerations
 
+#: Words of each generation of the memo; about 150 bytes each.
+MEMO_WORDS = 500_000
 #: Stands for the vocabulary's word end in strings here.
 END = ""
 LETTER = "a-zÀ-ÖØ-öø-įı-ɏ"
@@ -53,8 +55,8 @@ class WordCodec:
         self.bpe = BacktrackingBPE(vocab, lambda a, b: ranks.get((a, b)), END)
         self.marks = byte_marks()
         self.pairs = [i.to_bytes(2, "little") for i in range(1 << 16)]
-        self.parts = TwoGenerations(self._part, 150_000)
-        self.memo = TwoGenerations(self._word)
+        self.parts = TwoGenerations(self._part, 100_000)
+        self.memo = TwoGenerations(self._word, MEMO_WORDS)
 
     def _part(self, part: str) -> bytes:
         mapped = part if part.isascii() else "".join([self.marks[b] for b in part.encode()])
