@@ -125,11 +125,16 @@ def learn(docs: DataFrame, training: Column, sample_per_language: int = SAMPLE_P
     sample = rows.where(F.pmod(F.xxhash64(f"`{id_column}`", f"`{text_column}`"), F.lit(grain)) < share[label]).select(label.alias("label"), F.col(f"`{text_column}`").alias("text"))
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
-        labels, codes = np.unique(np.array(batch.column("label").to_pylist(), object), return_inverse=True)
+        labels = batch.column("label").to_pylist()
         g, owner = grams(texts_of(batch))
-        pairs = np.unique(np.stack([owner.astype(np.uint64), g]), axis=1)  # each n-gram once for each document
-        counted, n = np.unique(np.stack([codes[pairs[0].astype(np.int64)].astype(np.uint64), pairs[1]]), axis=1, return_counts=True)
-        return pa.record_batch([pa.array(labels[counted[0].astype(np.int64)].tolist(), pa.string()), pa.array(counted[1].view(np.int64)), pa.array(n)], ["label", "gram", "n"])
+        order = np.argsort(owner, kind="stable")
+        bounds = np.searchsorted(owner[order], np.arange(len(labels) + 1))
+        own: dict[str, list[np.ndarray]] = {}
+        for i, k in enumerate(labels):  # each n-gram once for each document
+            own.setdefault(k, []).append(np.unique(g[order[bounds[i] : bounds[i + 1]]]))
+        counted = [(k, *np.unique(np.concatenate(parts), return_counts=True)) for k, parts in own.items()]
+        names = [k for k, x, _ in counted for _ in range(len(x))]
+        return pa.record_batch([pa.array(names, pa.string()), pa.array(np.concatenate([x for _, x, _ in counted]).view(np.int64)), pa.array(np.concatenate([n for *_, n in counted]).astype(np.int64))], ["label", "gram", "n"])
 
     sizes = {r[0]: r[1] for r in sample.groupBy("label").count().collect()}
     least = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(max(1.0, LEAST_SHARE * n)))]) if sizes else F.lit(None)
