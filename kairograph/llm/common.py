@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
@@ -62,10 +64,30 @@ def steps(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[p
             yield batch.slice(start)
 
 
-def map_steps(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, column: str = "text") -> DataFrame:
-    """Run work over slices of bounded size of the column; work may return None for no rows."""
+_memos: dict[str, Callable[[], None]] = {}
+
+
+def hold(owner: str, release: Callable[[], None]) -> None:
+    """Registers what an operator keeps in a Python worker between tasks."""
+    _memos[owner] = release
+
+
+def take_turn(owner: str = "") -> None:
+    """At a task's start: workers outlive a stage, so what other operators keep in this one is given back first."""
+    for name in [k for k in _memos if k != owner]:
+        _memos.pop(name)()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def map_steps(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, column: str = "text", owner: str = "") -> DataFrame:
+    """Run work over slices of bounded size of the column; work may return None for no rows.
+
+    owner: of the memos that work uses, so that they last from task to task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_turn(owner)
         for part in steps(batches, column):
             out = work(part)
             if out is not None and out.num_rows:
@@ -100,3 +122,7 @@ class TwoGenerations(dict):
             self.clear()
         self[key] = value
         return value
+
+    def release(self) -> None:
+        self.clear()
+        self.old = {}

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kairograph.llm.common import STEP_BYTES, fresh, table
+from kairograph.llm.common import STEP_BYTES, fresh, table, take_turn
 
 LEAST, NORMAL, GREATEST = 32, 128, 512
 #: Two bits more and two fewer than the normal size has.
@@ -94,6 +94,7 @@ def in_order(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     heads = {int(c): i for i, c in enumerate(cuts)} | ({low: len(cuts)} if low is not None else {})
 
     def deal(batches):
+        take_turn()
         for batch in batches:
             key = batch.column("key").to_numpy()
             part = np.searchsorted(cuts, key, side="right")
@@ -139,6 +140,7 @@ def compare_with_next(docs: DataFrame, id_column: str = "doc_id", text_column: s
         return pa.record_batch([pa.array(c, k) for c, k in zip(out, kinds)], names)
 
     def run(batches):
+        take_turn()
         held, size, part, after = [], 0, None, None
         kind = None
         for batch in batches:

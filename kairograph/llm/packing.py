@@ -19,8 +19,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kairograph.llm.common import bytes_of, fresh, map_steps, stored, table
-from kairograph.llm.word_codec import codec
+from kairograph.llm.common import bytes_of, fresh, map_steps, stored, table, take_turn
+from kairograph.llm.word_codec import OWNER, codec
 
 WINDOW = 4096
 END_ID = 2
@@ -43,13 +43,14 @@ def tokenised(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, id_col
         return pa.record_batch([batch.column(id_column), pa.array(ids, pa.binary()), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(lead, pa.int32())], ["id", "ids", "n", "lead"])
 
     rows = fresh(docs, id_column, text_column).withColumnRenamed(text_column, "text")
-    return map_steps(rows, work, f"id {rows.schema[id_column].dataType.simpleString()}, ids binary, n long, lead int")
+    return map_steps(rows, work, f"id {rows.schema[id_column].dataType.simpleString()}, ids binary, n long, lead int", owner=OWNER)
 
 
 def document_frequencies(tokens: DataFrame) -> tuple[np.ndarray, int, int]:
     """Documents of each id, documents and tokens over all rows; what is collected is bounded by the vocabulary."""
 
     def count(batches):
+        take_turn()
         seen, rows, total = np.zeros(IDS, np.int64), 0, 0
 
         def add(held: list[np.ndarray]) -> None:
@@ -193,6 +194,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
     shards = max(1, -(-total // SHARD_TOKENS))
 
     def fill(batches):
+        take_turn()
         packer = Packer(TaskContext.get().partitionId() << 40, window)
         names, held, size = [], [], 0
 

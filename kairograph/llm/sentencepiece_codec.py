@@ -20,9 +20,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kairograph.llm.backtracking_bpe import BacktrackingBPE
-from kairograph.llm.common import TwoGenerations, fresh, map_steps, table, texts_of
+from kairograph.llm.common import TwoGenerations, fresh, hold, map_steps, table, texts_of
 
 SPACE = "▁"
+OWNER = "pieces"
 CHUNK = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n[^{SPACE}\n]*")
 
 
@@ -86,10 +87,17 @@ class PieceCodec:
 
 
 @functools.lru_cache(2)
-def codec(path: str) -> PieceCodec:
+def _codec(path: str) -> PieceCodec:
     return PieceCodec(path)
 
 
+def codec(path: str) -> PieceCodec:
+    """The codec of a file; in a worker its memo lasts until another operator takes its turn."""
+    own = _codec(path)
+    hold(OWNER, own.memo.release)
+    return own
+
+
 def encode_and_decode(docs: DataFrame, model_path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per row: the id column, ids (decimal ids joined by one space, end id last), n_tokens and decoded text."""
 
@@ -108,7 +116,7 @@ def encode_and_decode(docs: DataFrame, model_path: str, id_column: str = "doc_id
 
     rows = fresh(docs, id_column, text_column).withColumnRenamed(text_column, "text")
     kind = rows.schema[id_column].dataType.simpleString()
-    return map_steps(rows, work, f"id {kind}, ids string, n_tokens long, decoded string").withColumnRenamed("id", id_column)
+    return map_steps(rows, work, f"id {kind}, ids string, n_tokens long, decoded string", owner=OWNER).withColumnRenamed("id", id_column)
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

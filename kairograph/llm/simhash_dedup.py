@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kairograph.llm.common import bytes_of, fresh, map_steps, stored, table
+from kairograph.llm.common import bytes_of, fresh, map_steps, stored, table, take_turn
 from kairograph.llm.components import connected, local_labels
 
 #: Nodes of a part of a large group; an item of work holds two parts at most.
@@ -124,6 +124,7 @@ def links(nodes: DataFrame, radius: int) -> DataFrame:
     items = items.repartition("item").sortWithinPartitions("item", "fp")
 
     def compare(batches):
+        take_turn()
         item, fp = np.zeros(0, np.int64), np.zeros(0, np.uint64)
         for batch in batches:
             item = np.r_[item, batch.column("item").to_numpy()]

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kairograph.llm.bwt import repeated_ranges
-from kairograph.llm.common import fresh, map_steps, stored, table
+from kairograph.llm.common import fresh, map_steps, stored, table, take_turn
 from kairograph.llm.content_chunks import rolled
 
 LENGTH = 400
@@ -109,6 +109,7 @@ def merged_ranges(parts: DataFrame, length: int) -> DataFrame:
         return pa.record_batch([pa.array([keys[i] for i in hit], pa.binary()), pa.array([[{"lo": x, "hi": y} for x, y in found[i]] for i in hit], kind)], ["key", "ranges"])
 
     def run(batches):
+        take_turn()
         held: list[list] = [[], [], []]
         size, bucket = 0, None
         for batch in batches:

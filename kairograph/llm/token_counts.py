@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kairograph.llm.common import fresh, map_steps, scratch_path, table, texts_of
-from kairograph.llm.sentencepiece_codec import codec
+from kairograph.llm.common import fresh, map_steps, scratch_path, table, take_turn, texts_of
+from kairograph.llm.sentencepiece_codec import OWNER, codec
 
 BLOCK_TOKENS = 1 << 20
 
@@ -35,7 +35,7 @@ def write_flat(docs: DataFrame, model_path: str, path: str, text_column: str = "
     rows = fresh(docs, text_column).withColumnRenamed(text_column, "text")
     # a text writer puts its bytes and line separators one after another as they are; the separator id closes each row
     ends = "".join(map(chr, separator.to_bytes(2, "little")))
-    map_steps(rows, work, "ids binary").select(F.col("ids").cast("string").alias("value")).write.option("encoding", "ISO-8859-1").option("lineSep", ends).text(path)
+    map_steps(rows, work, "ids binary", owner=OWNER).select(F.col("ids").cast("string").alias("value")).write.option("encoding", "ISO-8859-1").option("lineSep", ends).text(path)
 
 
 def scan_blocks(ids: np.ndarray, separator: int, block: int = BLOCK_TOKENS) -> tuple[np.ndarray, np.ndarray, bool]:
@@ -62,6 +62,7 @@ def count_tokens(spark: SparkSession, path: str, separator: int) -> DataFrame:
     """Per document of the files under path: file, ordinal, start, n_tokens (separator included), ended."""
 
     def run(batches):
+        take_turn()
         for batch in batches:
             for name, content in zip(batch.column("path").to_pylist(), batch.column("content")):
                 starts, sizes, ended = scan_blocks(np.frombuffer(content.as_buffer(), "<u2"), separator)

@@ -14,8 +14,9 @@ import re
 import numpy as np
 
 from kairograph.llm.backtracking_bpe import BacktrackingBPE
-from kairograph.llm.common import TwoGenerations
+from kairograph.llm.common import TwoGenerations, hold
 
+OWNER = "words"
 #: Words of each generation of the memo; about 150 bytes each.
 MEMO_WORDS = 500_000
 #: Stands for the vocabulary's word end in strings here.
@@ -58,6 +59,10 @@ class WordCodec:
         self.parts = TwoGenerations(self._part, 100_000)
         self.memo = TwoGenerations(self._word, MEMO_WORDS)
 
+    def release(self) -> None:
+        self.parts.release()
+        self.memo.release()
+
     def _part(self, part: str) -> bytes:
         mapped = part if part.isascii() else "".join([self.marks[b] for b in part.encode()])
         return b"".join(map(self.pairs.__getitem__, self.bpe.encode(mapped + END)))
@@ -79,5 +84,12 @@ class WordCodec:
 
 
 @functools.lru_cache(2)
-def codec(path: str) -> WordCodec:
+def _codec(path: str) -> WordCodec:
     return WordCodec(path)
+
+
+def codec(path: str) -> WordCodec:
+    """The codec of a file; in a worker its memos last until another operator takes its turn."""
+    own = _codec(path)
+    hold(OWNER, own.release)
+    return own
