@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kairograph.llm import language_id, packing, secret_scan, simhash_dedup, suffix_dedup
+from kairograph.llm import language_id, near_copies, packing, secret_scan, suffix_dedup
 from kairograph.llm.common import stored, table
 
 #: Documents of which less than this share of n-grams belongs to any one language are not taken for a language.
@@ -25,8 +25,8 @@ def recognise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return simhash_dedup.keep_one(docs)
+    """One document of each group of near copies: a Jaccard similarity of 0.8 or more of their five-word shingles."""
+    return near_copies.keep_one(docs)
 
 
 def _counted(docs: DataFrame) -> DataFrame:

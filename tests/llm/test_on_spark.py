@@ -152,3 +152,34 @@ def test_pipeline_stages(docs, spark, tmp_path):
         frame = stage(spark, frame, str(tmp_path))
         assert frame.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert corpus_pipeline.run(spark, str(tmp_path)).where("length < 1").count() == 0
+
+
+def test_pipeline_drops_near_copies_by_similarity(spark, monkeypatch):
+    import random
+
+    from kairograph.llm import near_copies
+
+    rnd = random.Random(11)
+    texts = []
+    for _ in range(12):
+        base = [f"w{rnd.randrange(5000)}" for _ in range(rnd.choice([60, 200, 400]))]
+        texts.append(base)
+        for changes in (0, 1, 2, 4, 6, 9, 14):
+            copy = list(base)
+            for at in rnd.sample(range(len(copy)), changes):
+                copy[at] = f"other{rnd.randrange(5000)}"
+            texts.append(copy)
+    texts = [" ".join(t) for t in texts] + [None, "", "two words"]
+    sets = [set(zip(*[(t or "").split()[k:] for k in range(5)])) or {(t or "")} for t in texts]
+    first = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                first = [first[j] if x == first[i] else x for x in first] if first[j] < first[i] else [first[i] if x == first[j] else x for x in first]
+    frame = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    want = {i for i, x in enumerate(first) if i == x}
+    assert len(want) < len(texts) - 12
+    for part in (512, 3):
+        monkeypatch.setattr(near_copies, "PART", part)
+        assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, frame, "").collect()} == want
+    assert corpus_pipeline.near_duplicates(spark, frame.limit(0), "").count() == 0
