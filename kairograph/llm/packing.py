@@ -3,7 +3,7 @@
 Documents are dealt to shards by their rarest token (vocabulary ids are in order of merging, so the highest id is taken
 for it) and then by id, by range, so that documents that share it lie together and no key makes a shard large.  A shard's
 documents are indexed a bounded number of tokens at a time, with document frequencies over all documents.  The first
-unused document is the seed of a window; its heaviest terms retrieve unused neighbours by BM25, which fill the window in
+unused document is the seed of a window; all its terms retrieve unused neighbours by BM25, which fill the window in
 order of score.  A document that does not fit is cut and its rest is the next window's seed, so windows are full.  What
 is left at a shard's end is cut into sequences whose lengths are powers of two, so no sequence needs padding.
 
@@ -13,6 +13,8 @@ each for itself.  Very long texts span windows.  An empty table gives an empty r
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -27,8 +29,8 @@ END_ID = 2
 #: Tokens indexed at a time, and of a shard.
 INDEX_TOKENS, SHARD_TOKENS = 1_000_000, 8_000_000
 K1, B = 1.2, 0.75
-#: Terms of a seed, by weight, that are looked up.
-QUERY_TERMS = 16
+#: Neighbours put in order at a time; all come in turn.
+AT_ONCE = 64
 IDS = 1 << 16
 
 
@@ -94,25 +96,28 @@ class Index:
         term = (key >> 32).astype(np.int32)
         self.bounds = np.searchsorted(term, np.arange(IDS + 1))
         self.weight = (idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[self.doc] / mean))).astype(np.float32)
-        by_doc = np.argsort(self.doc, kind="stable")
-        self.own = term[by_doc]
-        self.heavy = self.weight[by_doc]
-        self.own_bounds = np.searchsorted(self.doc[by_doc], np.arange(len(docs) + 1))
-        self.score = np.zeros(len(docs), np.float32)
-
-    def neighbours(self, seed: int, used: np.ndarray) -> np.ndarray:
-        """The unused documents that share a heavy term with the seed, best first, ties by position."""
-        a, b = self.own_bounds[seed], self.own_bounds[seed + 1]
-        terms = self.own[a:b]
-        if len(terms) > QUERY_TERMS:
-            terms = terms[np.argpartition(-self.heavy[a:b], QUERY_TERMS)[:QUERY_TERMS]]
-        spans = [(self.bounds[t], self.bounds[t + 1]) for t in terms.tolist()]
-        doc = np.concatenate([self.doc[x:y] for x, y in spans])
+        often = np.flatnonzero(4 * np.diff(self.bounds) > len(docs))
+        self.dense = {int(t): np.zeros(len(docs), np.float32) for t in often}
+        for t, row in self.dense.items():
+            row[self.doc[self.bounds[t] : self.bounds[t + 1]]] = self.weight[self.bounds[t] : self.bounds[t + 1]]
+        self.docs, self.score = docs, np.zeros(len(docs), np.float32)
+
+    def neighbours(self, seed: int, used: np.ndarray) -> Iterator[int]:
+        """The unused documents that share a term with the seed, best first by all its terms, ties by position."""
         self.score[:] = 0
-        np.add.at(self.score, doc, np.concatenate([self.weight[x:y] for x, y in spans]))
+        for t in np.unique(self.docs[seed]).tolist():
+            if t in self.dense:
+                self.score += self.dense[t]
+            else:
+                x, y = self.bounds[t], self.bounds[t + 1]
+                self.score[self.doc[x:y]] += self.weight[x:y]
         self.score[used] = 0
-        found = np.flatnonzero(self.score)
-        return found[np.argsort(-self.score[found], kind="stable")]
+        left = np.flatnonzero(self.score)
+        score = self.score[left]
+        while len(left):
+            best = score >= (np.partition(score, -AT_ONCE)[-AT_ONCE] if len(left) > AT_ONCE else 0)
+            yield from left[best][np.argsort(-score[best], kind="stable")].tolist()
+            left, score = left[~best], score[~best]
 
 
 class Packer:
@@ -160,7 +165,7 @@ class Packer:
 
 
 def pack_documents(packer: Packer, names: list, docs: list[np.ndarray], idf: np.ndarray, mean: float) -> None:
-    index, used, queue, at = Index(docs, idf, mean), np.zeros(len(docs), bool), [], 0
+    index, used, at = Index(docs, idf, mean), np.zeros(len(docs), bool), 0
     seed = None
     while True:
         if seed is None:
@@ -174,9 +179,8 @@ def pack_documents(packer: Packer, names: list, docs: list[np.ndarray], idf: np.
             if packer.filled == 0:
                 seed = None
                 continue
-        queue = index.neighbours(seed, used)
-        seed = None
-        for k in queue.tolist():
+        queue, seed = index.neighbours(seed, used), None
+        for k in queue:
             used[k] = True
             if packer.add(names[k], docs[k]):
                 seed = k if packer.filled else None
@@ -189,7 +193,9 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
         raise ValueError("the window must be a power of two")
     tokens = stored(tokenised(docs, tokenizer_path, end_id, id_column, text_column), "tokens")
     frequency, n, total = document_frequencies(tokens)
-    idf = docs.sparkSession.sparkContext.broadcast(np.log1p((n - frequency + 0.5) / (frequency + 0.5)).astype(np.float32))
+    weights = np.log1p((n - frequency + 0.5) / (frequency + 0.5)).astype(np.float32)
+    weights[end_id] = 0  # the mark of the end is no term
+    idf = docs.sparkSession.sparkContext.broadcast(weights)
     mean = max(total / max(n, 1), 1.0)
     shards = max(1, -(-total // SHARD_TOKENS))
 

@@ -176,3 +176,21 @@ def test_filters_hold_what_they_learned():
     lang, score = filters.predict(["beta delta", "dos tres", "", "123 !!", "a"])
     assert lang[:4] == ["x", "y", "und", "und"] and score[0] > 0.9 and score[2] == score[3] == 0.0 and lang[4] in ("x", "y")
     assert language_id.LanguageFilters([], []).predict(["text"]) == (["und"], [0.0])
+
+
+def test_neighbours_by_all_terms():
+    rng = np.random.default_rng(6)
+    docs = [np.r_[rng.integers(3, 400, rng.integers(30, 300)), rng.integers(3, 40, 20)].astype("<u2") for _ in range(150)] + [np.array([401], "<u2")]
+    idf = rng.random(packing.IDS).astype(np.float32) + 0.1
+    mean = float(np.mean([len(d) for d in docs]))
+    used = np.zeros(len(docs), bool)
+    used[[0, 7, 9]] = True
+    score = np.zeros(len(docs))
+    for i, d in enumerate(docs):
+        for t in np.intersect1d(docs[0], d):
+            tf = np.count_nonzero(d == t)
+            score[i] += idf[t] * tf * (packing.K1 + 1) / (tf + packing.K1 * (1 - packing.B + packing.B * len(d) / mean))
+    want = [i for i in np.argsort(-score, kind="stable").tolist() if score[i] and not used[i]]
+    got = list(packing.Index(docs, idf, mean).neighbours(0, used))
+    assert sorted(got) == sorted(want) and 150 not in got
+    assert np.allclose(score[got], score[want], rtol=1e-4)
