@@ -2,7 +2,7 @@
 
 Documents are dealt to shards by their rarest token (vocabulary ids are in order of merging, so the highest id is taken
 for it) and then by id, by range, so that documents that share it lie together and no key makes a shard large.  A shard's
-documents are indexed a bounded number of tokens at a time, with document frequencies over all documents.  The first
+documents have one index, with document frequencies over all documents; documents of other shards are not found.  The first
 unused document is the seed of a window; all its terms retrieve unused neighbours by BM25, which fill the window in
 order of score.  A document that does not fit is cut and its rest is the next window's seed, so windows are full.  What
 is left at a shard's end is cut into sequences whose lengths are powers of two, so no sequence needs padding.
@@ -26,7 +26,7 @@ from kairograph.llm.word_codec import OWNER, codec
 
 WINDOW = 4096
 END_ID = 2
-#: Tokens indexed at a time, and of a shard.
+#: Tokens put in order at a time when an index is built, and of a shard, which has one index.
 INDEX_TOKENS, SHARD_TOKENS = 1_000_000, 8_000_000
 K1, B = 1.2, 0.75
 #: Neighbours put in order at a time; all come in turn.
@@ -88,14 +88,21 @@ class Index:
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float):
         sizes = np.array([len(d) for d in docs], np.int64)
-        key = np.sort(np.concatenate(docs).astype(np.int64) << 32 | np.repeat(np.arange(len(docs)), sizes))
-        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        tf = np.diff(np.r_[first, len(key)]).astype(np.float32)
-        key = key[first]
-        self.doc = (key & 0xFFFFFFFF).astype(np.int32)
-        term = (key >> 32).astype(np.int32)
-        self.bounds = np.searchsorted(term, np.arange(IDS + 1))
-        self.weight = (idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[self.doc] / mean))).astype(np.float32)
+        ends, parts, at = np.cumsum(sizes), [], 0
+        while at < len(docs):
+            stop = max(at + 1, int(np.searchsorted(ends, ends[at] - sizes[at] + INDEX_TOKENS, "right")))
+            key = np.concatenate(docs[at:stop]).astype(np.int64) << 32 | np.repeat(np.arange(at, stop), sizes[at:stop])
+            key.sort()
+            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            tf = np.diff(np.r_[first, len(key)]).astype(np.float32)
+            key = key[first]
+            doc, term = (key & 0xFFFFFFFF).astype(np.int32), (key >> 32).astype(np.uint16)
+            parts.append((doc, term, (idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[doc] / mean))).astype(np.float32)))
+            at = stop
+        doc, term, weight = (np.concatenate(x) for x in zip(*parts))
+        order = np.argsort(term, kind="stable")
+        self.doc, self.weight = doc[order], weight[order]
+        self.bounds = np.r_[0, np.cumsum(np.bincount(term, minlength=IDS))]
         often = np.flatnonzero(4 * np.diff(self.bounds) > len(docs))
         self.dense = {int(t): np.zeros(len(docs), np.float32) for t in often}
         for t, row in self.dense.items():
@@ -202,7 +209,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
     def fill(batches):
         take_turn()
         packer = Packer(TaskContext.get().partitionId() << 40, window)
-        names, held, size = [], [], 0
+        names, held = [], []
 
         def ready():
             out, packer.out = packer.out, []
@@ -226,11 +233,6 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
             for name, ids in zip(batch.column("id").to_pylist(), batch.column("ids").to_pylist()):
                 names.append(name)
                 held.append(np.frombuffer(ids, "<u2"))
-                size += len(held[-1])
-                if size >= INDEX_TOKENS:
-                    pack_documents(packer, names, held, idf.value, mean)
-                    names, held, size = [], [], 0
-                    yield from ready()
         if held:
             pack_documents(packer, names, held, idf.value, mean)
         packer.finish()

@@ -183,3 +183,21 @@ def test_pipeline_drops_near_copies_by_similarity(spark, monkeypatch):
         monkeypatch.setattr(near_copies, "PART", part)
         assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, frame, "").collect()} == want
     assert corpus_pipeline.near_duplicates(spark, frame.limit(0), "").count() == 0
+
+
+def test_packing_finds_neighbours_in_the_whole_shard(spark):
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+
+    def words(ids, n):
+        found = [w.removesuffix("</w>") for w in map(library.id_to_token, ids) if w.endswith("</w>")]
+        return [w for w in found if w.isascii() and w.isalpha() and len(library.encode(w, add_special_tokens=False).ids) == 1][:n]
+
+    shared, filler, last = words(range(5000, 9000), 20), words(range(12000, 20000), 200), words(range(40000, 49000), 1)
+    rows = [(i, " " + " ".join(filler * 20)) for i in range(300)] + [(1000, " " + " ".join(shared)), (1001, " " + " ".join(shared + last))]
+    pieces = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), path).collect()
+    assert sum(r.length for r in pieces) > packing.INDEX_TOKENS and sum(r.length for r in pieces) < packing.SHARD_TOKENS
+    sequences = {r.doc_id: r.sequence_id for r in pieces if r.doc_id >= 1000}
+    assert sequences[1000] == sequences[1001]
