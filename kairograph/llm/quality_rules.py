@@ -3,7 +3,7 @@
 A line is normalised (lower case, each stretch of white space and digits as one space) and hashed.  For each host the
 distinct texts that hold a line are counted: exact copies of a text count once, so a copied document does not make its
 own lines frequent.  Lines in more than LEAST_TEXTS texts and in more than MOST_SHARE of the host's distinct texts are
-above the limit and are removed.  A document that loses more than MOST_REMOVED of the characters of its lines is depleted
+above the limit; clean() gives the texts without them.  A document that loses more than MOST_REMOVED of the characters of its lines is depleted
 and rejected.
 
 Null texts have no words and fail.  Null hosts are one host.  Repeated rows get equal answers.  Lines count for whole
@@ -20,13 +20,28 @@ from kairograph.llm.common import fresh, stored, table
 BLANK = r"[\x20\x09-\x0D]+"
 LEAST_TEXTS, MOST_SHARE, MOST_REMOVED = 20, 0.01, 0.5
 LEAST_WORDS = 50
+KEYS = ["id_key", "text_key", "host_key"]
+
+
+def _id_key():
+    return F.coalesce(F.col("id").cast("string"), F.lit("")).alias("id_key")
+
+
+def _wordy(text):
+    """The lines with a word."""
+    return F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
+
+
+def _line_chars(text):
+    return F.aggregate(F.transform(_wordy(F.coalesce(text, F.lit(""))), F.length), F.lit(0).cast("long"), lambda a, n: a + n)
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """id_key, text_key, host, and lines: (hash of the normalised line, length) of each line with a word."""
+    """text_key, host, and lines: (hash of the normalised line, length, place) of each line with a word."""
     text = F.coalesce("text", F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
-    hashed = F.transform(lines, lambda line: F.struct(F.xxhash64(F.lower(F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D0-9]+", " ")))).alias("h"), F.length(line).alias("n")))
+    placed = F.transform(F.split(text, "\n"), lambda line, i: F.struct(line.alias("t"), i.alias("i")))
+    lines = F.filter(placed, lambda line: line["t"].rlike(r"[^\x20\x09-\x0D]"))
+    hashed = F.transform(lines, lambda line: F.struct(F.xxhash64(F.lower(F.trim(F.regexp_replace(line["t"], r"[\x20\x09-\x0D0-9]+", " ")))).alias("h"), F.length(line["t"]).alias("n"), line["i"].alias("i")))
     return docs.select("id", F.xxhash64(text, F.lit(1)).alias("text_key"), F.coalesce("host", F.lit("")).alias("host"), hashed.alias("lines"))
 
 
@@ -44,9 +59,10 @@ def statistics(docs: DataFrame) -> DataFrame:
     rows = docs.select(
         "id",
         F.xxhash64(text, F.lit(1)).alias("text_key"),
+        F.coalesce("host", F.lit("")).alias("host_key"),
         F.array_remove(F.split(text, BLANK), "").alias("words"),
         (F.length(text) - F.length(F.regexp_replace(text, "[#*$%&|<>]", ""))).cast("long").alias("n_symbols"),
-        F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]")).alias("wordy"),
+        _wordy(text).alias("wordy"),
     )
     windows = F.when(
         F.size("words") >= 3,
@@ -55,6 +71,8 @@ def statistics(docs: DataFrame) -> DataFrame:
     rows = rows.select(
         "id",
         "text_key",
+        "host_key",
+        F.aggregate(F.transform("wordy", F.length), F.lit(0).cast("long"), lambda a, n: a + n).alias("line_chars"),
         "n_symbols",
         F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
@@ -70,22 +88,44 @@ def statistics(docs: DataFrame) -> DataFrame:
     return rows.drop("windows", "ordered").withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
+def _gone(rows: DataFrame) -> DataFrame:
+    """id_key, text_key, host_key, gone and removed: the places and the characters of the lines above the limit, where there are any."""
+    above = stored(frequent_lines(rows), "frequent-lines")
+    lines = _lines(rows).select(_id_key(), "text_key", "host", F.explode("lines").alias("line")).select("id_key", "text_key", "host", F.col("line.h").alias("h"), F.struct("line.i", "line.n").alias("line"))
+    # a set, since repeated rows bring the same lines
+    hit = lines.join(above, ["host", "h"]).groupBy("id_key", "text_key", F.col("host").alias("host_key")).agg(F.collect_set("line").alias("lines"))
+    return hit.select("id_key", "text_key", "host_key", F.col("lines.i").alias("gone"), F.aggregate("lines", F.lit(0).cast("long"), lambda a, line: a + line["n"]).alias("removed"))
+
+
+def _depleted():
+    return F.coalesce(F.col("removed") > MOST_REMOVED * F.col("line_chars"), F.lit(False))
+
+
+def clean(docs: DataFrame, id_column: str = "doc_id", host_column: str = "source", text_column: str = "text") -> DataFrame:
+    """The rows and columns with texts without the lines above the limit, and removed_chars and depleted.
+
+    The other lines stay as they are and in order; a null text stays null."""
+    text, host = F.col(f"`{text_column}`"), F.col(f"`{host_column}`")
+    rows = fresh(docs, id_column, host_column, text_column).toDF("id", "host", "text")
+    own = [F.coalesce(F.col(f"`{id_column}`").cast("string"), F.lit("")).alias("id_key"), F.xxhash64(F.coalesce(text, F.lit("")), F.lit(1)).alias("text_key"), F.coalesce(host, F.lit("")).alias("host_key")]
+    found = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *own, _line_chars(text).alias("line_chars")).join(_gone(rows), KEYS, "left")
+    whole = F.col("row").getField(text_column)
+    left = F.array_join(F.filter(F.split(whole, "\n"), lambda line, i: ~F.array_contains("gone", i)), "\n")
+    texts = F.when(F.col("gone").isNull(), whole).otherwise(left).alias(text_column)
+    columns = [texts if c == text_column else F.col("row").getField(c).alias(c) for c in docs.columns]
+    return found.select(*columns, F.coalesce("removed", F.lit(0)).alias("removed_chars"), _depleted().alias("depleted"))
+
+
 def judge(docs: DataFrame, id_column: str = "doc_id", host_column: str = "source", text_column: str = "text") -> DataFrame:
     """Per row: the id column, the base statistics, removed_chars and kept."""
     rows = fresh(docs, id_column, host_column, text_column).toDF("id", "host", "text")
-    above = stored(frequent_lines(rows), "frequent-lines")
-    id_key = F.coalesce(F.col("id").cast("string"), F.lit("")).alias("id_key")
-    lines = _lines(rows).select(id_key, "text_key", "host", F.explode("lines").alias("line")).select("id_key", "text_key", "host", F.col("line.h").alias("h"), F.col("line.n").alias("n"))
-    hit = lines.join(above, ["host", "h"]).groupBy("id_key", "text_key", "host").agg(F.sum("n").alias("removed"))
-    sizes = _lines(rows).select("id", id_key, "text_key", "host", F.aggregate("lines.n", F.lit(0).cast("long"), lambda a, n: a + n).alias("line_chars"))
-    depleted = sizes.join(hit, ["id_key", "text_key", "host"]).where(F.col("removed") > MOST_REMOVED * F.col("line_chars")).select("id_key", "text_key", "removed").groupBy("id_key", "text_key").agg(F.max("removed").alias("removed"))
-    found = statistics(rows).withColumn("id_key", id_key).join(depleted, ["id_key", "text_key"], "left")
-    kept = ~F.col("base_failed") & F.col("removed").isNull()
-    return found.select(F.col("id").alias(id_column), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"))
+    found = statistics(rows).withColumn("id_key", _id_key()).join(_gone(rows).drop("gone"), KEYS, "left")
+    kept = ~F.col("base_failed") & ~_depleted()
+    return found.select(F.col("id").alias(id_column), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.coalesce("removed", F.lit(0)).alias("removed_chars"), kept.alias("kept"))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(table(spark, sf_dir, "documents"))
+    return judge(table(spark, sf_dir, "documents")).drop("removed_chars")
 
 
 OP8_SQL = r"""

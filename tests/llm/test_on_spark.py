@@ -201,3 +201,21 @@ def test_packing_finds_neighbours_in_the_whole_shard(spark):
     assert sum(r.length for r in pieces) > packing.INDEX_TOKENS and sum(r.length for r in pieces) < packing.SHARD_TOKENS
     sequences = {r.doc_id: r.sequence_id for r in pieces if r.doc_id >= 1000}
     assert sequences[1000] == sequences[1001]
+
+
+def test_clean_removes_frequent_lines(spark):
+    shared = "all rights reserved 2020"
+    letters = lambda i: "".join(chr(97 + int(c)) for c in str(i))
+    texts = [f"own {letters(i)}\n{shared}{i}\n\n  other {letters(i)}{letters(i)} {'word ' * 20}\n{shared}" for i in range(40)] + [f"{shared}\nx", None, "alone\n\n"]
+    rows = [(i, "h", t, "keep") for i, t in enumerate(texts)]
+    frame = spark.createDataFrame([*rows, rows[0], (0, "elsewhere", texts[0], "keep")], "doc_id long, source string, text string, removed string")
+    found = quality_rules.clean(frame).collect()
+    assert len(found) == len(rows) + 2 and {r.removed for r in found} == {"keep"}
+    for r in found:
+        lines = (texts[r.doc_id] or "").split("\n")
+        gone = [line for line in lines if line.startswith("all rights")] if r.source == "h" else []
+        assert r.text == (None if texts[r.doc_id] is None else "\n".join(line for line in lines if line not in gone))
+        assert r.removed_chars == sum(map(len, gone))
+        assert r.depleted == (r.doc_id == 40)
+    judged = [(r.doc_id, r.removed_chars) for r in quality_rules.judge(frame).collect()]
+    assert sorted(judged) == sorted((r.doc_id, r.removed_chars) for r in found)
