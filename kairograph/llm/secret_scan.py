@@ -1,8 +1,8 @@
 """Secret scans: fixed patterns and a battery of randomness tests.
 
-Patterns find assignments, access keys and hexadecimal strings.  Besides, each run of 20 or more characters of the
-usual encodings that has a letter and a digit is a candidate.  Its encoding is the smallest alphabet that holds it.  It
-must look random: the chi-squared test of uniformity over that alphabet, the runs test about the middle of the alphabet
+Patterns find assignments, access keys and hexadecimal strings.  Besides, each longest run of 20 or more characters of
+one of the usual encodings that has a letter and a digit is a candidate; an equals sign ends one, unless it pads it.
+Runs that are found and overlap are reported as one.  The encoding is the smallest alphabet that holds it.  It must look random: the chi-squared test of uniformity over that alphabet, the runs test about the middle of the alphabet
 and the lag-one serial correlation do not reject randomness together (Bonferroni, RANDOM_LEVEL).  And it must not look
 like text: the p-value is the chance that a string as uneven as the document's own characters would come out so even
 at this length, or that a string that changes character class as rarely as text would change it so often, whichever is
@@ -31,6 +31,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 #: Every access key, hexadecimal string and candidate lies in such a run.
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: Parts of a run that one alphabet may hold: an equals sign only pads the end.
+PARTS = tuple(re.compile(rf"[A-Za-z0-9{x}]+(?:=+(?![A-Za-z0-9+/_=-]))?") for x in ("+/", "_-"))
 LEAST_ASSIGN, LEAST_ACCESS, LEAST_CANDIDATE = 12, 18, 20
 
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -111,7 +113,8 @@ def spans(text: str) -> list[tuple[str, int, int]]:
         out += [("access", m.start(), m.end()) for m in ACCESS.finditer(text, a, b) if m.end() - m.start() >= LEAST_ACCESS]
         out += [("hex", m.start(), m.end()) for m in HEX.finditer(text, a, b)]
         if b - a >= LEAST_CANDIDATE and any(c in run[0] for c in DIGITS):
-            candidates.append((a, b))
+            parts = {m.span() for part in PARTS for m in part.finditer(text, a, b)}
+            candidates += sorted((x, y) for x, y in parts if y - x >= LEAST_CANDIDATE and not any(u <= x and y <= v and (u, v) != (x, y) for u, v in parts) and any(c in DIGITS for c in text[x:y]))
     if candidates:
         base = list(out)
         tested = []
@@ -128,8 +131,12 @@ def spans(text: str) -> list[tuple[str, int, int]]:
                 tested.append((text_p(token, values, size, chi, uneven), b - a, a, b))
             else:
                 tested.append((1.0, b - a, a, b))
-        for i in discoveries([t[:2] for t in tested], FALSE_DISCOVERIES):
-            out.append(("random", *tested[i][2:]))
+        end = -1
+        for a, b in sorted(tested[i][2:] for i in discoveries([t[:2] for t in tested], FALSE_DISCOVERIES)):
+            if a < end:  # parts of two alphabets that share characters are one secret
+                a, b = out.pop()[1], max(b, end)
+            out.append(("random", a, b))
+            end = b
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 

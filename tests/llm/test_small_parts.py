@@ -194,3 +194,23 @@ def test_neighbours_by_all_terms():
     got = list(packing.Index(docs, idf, mean).neighbours(0, used))
     assert sorted(got) == sorted(want) and 150 not in got
     assert np.allclose(score[got], score[want], rtol=1e-4)
+
+
+def test_secrets_after_equals_and_in_mixed_runs():
+    rnd = random.Random(21)
+    key = lambda n, kind: "".join(rnd.choice(secret_scan.ALPHABETS[kind]) for _ in range(n))
+    found = {}
+    for k in range(20):
+        whole, url, slashed = key(48, 5), key(60, 7), key(60, 6)
+        for name, text, secret in (
+            ("name", f"the words SECRET_KEY={whole} and more", whole),
+            ("query", f"see https://host.example/path?sig={whole} for it", whole),
+            ("padded", f"the words aws_access={whole}== and more", whole + "=="),
+            ("url", f"it is path/{url} and more", url),
+            ("slashed", f"it is my-{slashed} and more", slashed),
+        ):
+            hits = [text[a:b] for kind, a, b in secret_scan.spans(text) if kind == "random"]
+            assert len(hits) <= 1
+            found[name] = found.get(name, 0) + any(secret in h for h in hits)
+    assert min(found.values()) >= 17, found
+    assert secret_scan.spans("see a_name=internationalisation20 and path/of_the/2020-annual_report-of/committee_v2=x today") == []
