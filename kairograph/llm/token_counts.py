@@ -1,94 +1,173 @@
 """Token counts of flat, unindexed token files by a separator scan.
 
 A flat file is a sequence of little-endian 16-bit ids in which each document ends with the separator id; there is no
-index.  A file is searched in blocks with a vectorised comparison.  Each block yields its separators; an exclusive prefix
-scan over the blocks' counts and last separators gives the number and the start of the first document that ends in each
-block, which stitches documents that run across blocks.  Files are read whole by Spark, so a file must stay under 2 GB;
-the writer makes one file of each partition.
+index.  Files are read in byte ranges of Spark's choice, so a file may be of any size.  Spark's reader cuts each range at
+the two bytes of the separator wherever they stand; only those at an even offset of the file are separators, and a range
+does not know its own offset.  So the cuts of a range are searched with vectorised comparisons for either parity, and an
+exclusive prefix scan over a file's ranges (bytes, separators and last separator before each) fixes the parity, the
+number and the start of the first document that ends in each range.  Documents that run across ranges are stitched so.
 
 Null texts count as empty: one token, the separator.  Tokens after a file's last separator are a document without an end,
-reported with ended = false.  Repeated rows are counted each for itself.  Only the named columns are read.
+reported with ended = false.  Repeated rows are counted each for itself.  Of the input only the named columns are read.
+An empty table or folder gives an empty result.  A document may be as long as one row of Spark may be (2 GB).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from kairograph.llm.common import fresh, map_steps, scratch_path, table, take_turn, texts_of
+from kairograph.llm.common import fresh, scratch_path, steps, table, take_turn, texts_of
 from kairograph.llm.sentencepiece_codec import OWNER, codec
 
-BLOCK_TOKENS = 1 << 20
+#: The writer's folders: tokens, and the id of each document by its place in the token file of the same number.
+TOKENS, IDS = "kind=tokens", "kind=ids"
+PART = r"part-(\d+)"
+
+
+def _mark(separator: int) -> str:
+    """The separator's bytes as characters of ISO-8859-1."""
+    low, high = separator.to_bytes(2, "little")
+    if low == high:
+        raise ValueError("a separator of two equal bytes cannot be told from its neighbours' bytes")
+    return chr(low) + chr(high)
 
 
-def write_flat(docs: DataFrame, model_path: str, path: str, text_column: str = "text") -> None:
-    """Writes the texts' ids, each document closed by the model's end id, as one flat file of each partition."""
-    separator = codec(model_path).end_id
+def write_flat(docs: DataFrame, model_path: str, path: str, id_column: str = "doc_id", text_column: str = "text") -> None:
+    """Writes the texts' ids, each document closed by the model's end id, as one flat file of each task, and beside it
+    the documents' ids as lines `ordinal:hexadecimal id`, both from the same pass over the rows."""
 
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        own = codec(model_path)
-        flat = [np.array(own.encode(t)[0].split()[:-1], "<u2").tobytes() for t in texts_of(batch)]
-        return pa.record_batch([pa.array(flat, pa.binary())], ["ids"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_turn(OWNER)
+        own, n = codec(model_path), 0
+        for part in steps(batches):
+            flat = [np.array(own.encode(t)[0].split()[:-1], "<u2").tobytes() for t in texts_of(part)]
+            names = [b"%d" % (n + i) if x is None else b"%d:%s" % (n + i, x.encode().hex().encode()) for i, x in enumerate(part.column("id").to_pylist())]
+            order = pa.array([*range(n, n + len(flat))] * 2, pa.int64())
+            kinds = pa.array(["tokens"] * len(flat) + ["ids"] * len(flat))
+            yield pa.record_batch([kinds, order, pa.array(flat + names, pa.binary())], ["kind", "ordinal", "value"])
+            n += len(flat)
 
-    rows = fresh(docs, text_column).withColumnRenamed(text_column, "text")
+    rows = fresh(docs, id_column, text_column).toDF("id", "text").select(F.col("id").cast("string"), "text")
+    both = rows.mapInArrow(run, "kind string, ordinal long, value binary").sortWithinPartitions("kind", "ordinal")
     # a text writer puts its bytes and line separators one after another as they are; the separator id closes each row
-    ends = "".join(map(chr, separator.to_bytes(2, "little")))
-    map_steps(rows, work, "ids binary", owner=OWNER).select(F.col("ids").cast("string").alias("value")).write.option("encoding", "ISO-8859-1").option("lineSep", ends).text(path)
-
-
-def scan_blocks(ids: np.ndarray, separator: int, block: int = BLOCK_TOKENS) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Start and token count (separator included) of each document, and whether the last one has its end."""
-    blocks = [np.flatnonzero(ids[k : k + block] == separator) + k for k in range(0, len(ids), block)]
-    counts = np.array([len(b) for b in blocks], np.int64)
-    # exclusive scans: documents that end before each block, and the place after the last separator before it
-    before = np.r_[0, np.cumsum(counts)]
-    last = np.array([b[-1] + 1 if len(b) else 0 for b in blocks], np.int64)
-    begun = np.r_[0, np.maximum.accumulate(last)] if len(blocks) else np.zeros(1, np.int64)
-    ended = begun[-1] == len(ids)
-    starts, sizes = np.empty(before[-1], np.int64), np.empty(before[-1], np.int64)
-    for k, found in enumerate(blocks):
-        if len(found):
-            here = slice(before[k], before[k + 1])
-            starts[here] = np.r_[begun[k], found[:-1] + 1]
-            sizes[here] = found + 1 - starts[here]
-    if not ended:
-        starts, sizes = np.r_[starts, begun[-1]], np.r_[sizes, len(ids) - begun[-1]]
-    return starts, sizes, bool(ended)
+    writer = both.select("kind", F.col("value").cast("string").alias("value")).write.partitionBy("kind").option("maxRecordsPerFile", 0)
+    writer.option("encoding", "ISO-8859-1").option("lineSep", _mark(codec(model_path).end_id)).text(path)
+
+
+def cuts(sizes: np.ndarray, offset: int) -> tuple[np.ndarray, int]:
+    """Of pieces cut at the separator's bytes: the ends (relative, separator included) that are at an even place if the
+    range starts at offset, and the range's bytes.  Each piece's bytes are followed by the separator's two."""
+    ends = np.cumsum(sizes + 2)
+    return ends[(ends + offset) % 2 == 0], int(ends[-1]) if len(ends) else 0
+
+
+def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int, int], np.ndarray]]:
+    """(file, begin, size of the file) and the sizes of the pieces of each range that a task reads."""
+    key, held = None, []
+    for batch in batches:
+        names, begins, whole = batch.column("file").to_pylist(), batch.column("begin").to_numpy(), batch.column("bytes").to_numpy()
+        sizes = batch.column("size").to_numpy()
+        at = 0
+        while at < len(names):
+            found = (names[at], int(begins[at]), int(whole[at]))
+            same = np.flatnonzero((begins[at:] != begins[at]) | np.array([n != names[at] for n in names[at:]]))
+            stop = at + int(same[0]) if len(same) else len(names)
+            if found != key and held:
+                yield key, np.concatenate(held)
+                held = []
+            key = found
+            held.append(sizes[at:stop])
+            at = stop
+    if held:
+        yield key, np.concatenate(held)
+
+
+def _pieces(spark: SparkSession, path: str, separator: int) -> DataFrame:
+    """(file, begin, bytes, size): the pieces between the separator's bytes in file order within each range."""
+    lines = spark.read.option("encoding", "ISO-8859-1").option("lineSep", _mark(separator)).option("pathGlobFilter", "part-*").text(path)
+    return lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("begin"), F.col("_metadata.file_size").alias("bytes"), F.octet_length("value").cast("long").alias("size"))
 
 
 def count_tokens(spark: SparkSession, path: str, separator: int) -> DataFrame:
     """Per document of the files under path: file, ordinal, start, n_tokens (separator included), ended."""
+    pieces = _pieces(spark, path, separator)
 
-    def run(batches):
+    def measure(batches):
         take_turn()
-        for batch in batches:
-            for name, content in zip(batch.column("path").to_pylist(), batch.column("content")):
-                starts, sizes, ended = scan_blocks(np.frombuffer(content.as_buffer(), "<u2"), separator)
-                n = len(starts)
-                done = np.ones(n, bool)
-                if n and not ended:
-                    done[-1] = False
-                for k in range(0, n, 100_000):
-                    part = slice(k, k + 100_000)
-                    yield pa.record_batch([pa.array([name] * len(starts[part]), pa.string()), pa.array(np.arange(n)[part]), pa.array(starts[part]), pa.array(sizes[part]), pa.array(done[part])], ["file", "ordinal", "start", "n_tokens", "ended"])
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
-    return files.mapInArrow(run, "file string, ordinal long, start long, n_tokens long, ended boolean")
+        for (name, begin, _), sizes in _ranges(batches):
+            row = [name, begin]
+            for parity in (0, 1):
+                ends, total = cuts(sizes, parity)
+                row += [len(ends), int(ends[-1]) if len(ends) else None]
+            yield pa.record_batch([pa.array([x], k) for x, k in zip([*row, total], (pa.string(), *[pa.int64()] * 6))], ["file", "begin", "n0", "last0", "n1", "last1", "total"])
+
+    found = pieces.mapInArrow(measure, "file string, begin long, n0 long, last0 long, n1 long, last1 long, total long")
+    before = Window.partitionBy("file").orderBy("begin").rowsBetween(Window.unboundedPreceding, -1)
+    placed = found.withColumn("offset", F.coalesce(F.sum("total").over(before), F.lit(0)))
+    odd = F.col("offset") % 2 == 1
+    placed = placed.withColumn("n", F.when(odd, F.col("n1")).otherwise(F.col("n0"))).withColumn("last", F.col("offset") + F.when(odd, F.col("last1")).otherwise(F.col("last0")))
+    placed = placed.select("file", "begin", "offset", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ordinal"), F.coalesce(F.max("last").over(before), F.lit(0)).alias("open"))
+    # one row of each range of some 100 MB
+    carried = spark.sparkContext.broadcast({(r.file, r.begin): (r.offset, r.ordinal, r.open) for r in placed.collect()})
+
+    def answer(batches):
+        take_turn()
+        for (name, begin, whole), sizes in _ranges(batches):
+            offset, ordinal, opened = carried.value[name, begin]
+            ends, total = cuts(sizes, offset)
+            ends = ends + offset
+            ended = np.ones(len(ends), bool)
+            if offset + total == whole + 2:  # the file's last piece has no separator
+                if len(ends) and ends[-1] == whole + 2:
+                    ends, ended = ends[:-1], ended[:-1]
+                if max(opened, int(ends[-1]) if len(ends) else 0) < whole:
+                    ends, ended = np.r_[ends, whole], np.r_[ended, False]
+            starts = np.r_[opened, ends[:-1]] if len(ends) else ends
+            for k in range(0, len(ends), 100_000):
+                a, b = starts[k : k + 100_000], ends[k : k + 100_000]
+                yield pa.record_batch([pa.array([name] * len(a), pa.string()), pa.array(np.arange(len(a)) + ordinal + k), pa.array(a // 2), pa.array((b - a) // 2), pa.array(ended[k : k + 100_000])], ["file", "ordinal", "start", "n_tokens", "ended"])
+
+    return pieces.mapInArrow(answer, "file string, ordinal long, start long, n_tokens long, ended boolean")
+
+
+def written_ids(spark: SparkSession, path: str, separator: int, kind: str) -> DataFrame:
+    """(part, ordinal, id) of the documents that write_flat() wrote."""
+    lines = spark.read.option("encoding", "ISO-8859-1").option("lineSep", _mark(separator)).text(f"{path}/{IDS}")
+    cut = F.split("value", ":")
+    named = F.unhex(F.get(cut, F.lit(1))).cast("string").cast(kind)
+    return lines.select(F.regexp_extract("_metadata.file_path", PART, 1).cast("int").alias("part"), cut[0].cast("long").alias("ordinal"), named.alias("id"))
+
+
+def count_documents(docs: DataFrame, model_path: str, path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """Writes the documents as flat token files and counts them again from the bytes.  Per document: the id column,
+    part (the number of its file), ordinal, start, n_tokens, ended."""
+    spark, separator = docs.sparkSession, codec(model_path).end_id
+    write_flat(docs, model_path, path, id_column, text_column)
+    kind = docs.schema[id_column].dataType.simpleString()
+    schema = f"{TOKENS} {IDS}".split()
+    if not all(_exists(spark, f"{path}/{k}") for k in schema):
+        return spark.createDataFrame([], f"id {kind}, part int, ordinal long, start long, n_tokens long, ended boolean").withColumnRenamed("id", id_column)
+    found = count_tokens(spark, f"{path}/{TOKENS}", separator).withColumn("part", F.regexp_extract("file", PART, 1).cast("int"))
+    named = written_ids(spark, path, separator, kind)
+    return found.join(named, ["part", "ordinal"]).select(F.col("id").alias(id_column), "part", "ordinal", "start", "n_tokens", "ended")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()).exists(found)
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Writes the documents as flat token files and counts them again from the bytes; a file's documents are the rows of
-    the partition of its number, in order."""
     import public_tokenizers
 
-    model = public_tokenizers.path("piece_bpe_32k.model")
-    docs, path = table(spark, sf_dir, "documents"), scratch_path(spark, "flat-tokens")
-    write_flat(docs, model, path)
-    found = count_tokens(spark, path, codec(model).end_id).withColumn("partition", F.regexp_extract("file", r"part-(\d+)", 1).cast("int"))
-    rows = docs.select("doc_id", F.spark_partition_id().alias("partition"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("ordinal"))
-    return found.join(rows, ["partition", "ordinal"], "left").select("doc_id", "partition", "ordinal", "start", "n_tokens", "ended")
+    docs = table(spark, sf_dir, "documents")
+    return count_documents(docs, public_tokenizers.path("piece_bpe_32k.model"), scratch_path(spark, "flat-tokens"))
 
 
 QUERIES = {"op9_token_counts": op9_token_counts}
