@@ -2,21 +2,24 @@
 
 Patterns find assignments, access keys and hexadecimal strings.  Besides, each longest run of 20 or more characters of
 one of the usual encodings that has a letter and a digit is a candidate; an equals sign ends one, unless it pads it.
-Runs that are found and overlap are reported as one.  The encoding is the smallest alphabet that holds it.  It must look random: the chi-squared test of uniformity over that alphabet, the runs test about the middle of the alphabet
-and the lag-one serial correlation do not reject randomness together (Bonferroni, RANDOM_LEVEL).  And it must not look
+Runs that are found and overlap are reported as one.  The encoding is the smallest alphabet that holds it.  It must look
+random: the chi-squared test of uniformity over that alphabet, the runs test about the middle of the alphabet and the lag-one serial correlation do not reject randomness together (Bonferroni, RANDOM_LEVEL).  And it must not look
 like text: the p-value is the chance that a string as uneven as the document's own characters would come out so even
 at this length, or that a string that changes character class as rarely as text would change it so often, whichever is
 less, doubled.  The p-values of a document are one family, taken through the Benjamini-Hochberg procedure with weights
 in proportion to length, at FALSE_DISCOVERIES.  A candidate that overlaps a pattern's span is not reported again.
 
 Spans are in code points, the end excluded.  Null and empty texts have none.  Repeated rows get equal answers; spans of
-equal start are ordered by kind as in KINDS.  Only the named columns are read.
+equal start are ordered by kind as in KINDS.  Only the named columns are read.  An empty table gives an empty result.
+Very long texts are scanned whole, in time in proportion to their length but for sorting.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -101,6 +104,54 @@ def discoveries(found: list[tuple[float, int]], level: float) -> set[int]:
     return set(order[:last])
 
 
+def outermost(found: set[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans that lie in no other, by start."""
+    out, end = [], -1
+    for a, b in sorted(found, key=lambda s: (s[0], -s[1])):
+        if b > end:
+            out.append((a, b))
+            end = b
+    return out
+
+
+def disjoint(found: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the stretches that the spans cover together."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for a, b in sorted(found):
+        if starts and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
+def tested(text: str, candidates: list[tuple[int, int]], base: list[tuple[int, int]]) -> list[tuple[float, int, int, int]]:
+    """(p, length, start, end) of the candidates that one encoding holds and no base span touches."""
+    starts, ends = disjoint(base)
+    counts: Counter = Counter()
+    own: dict[int, float] = {}
+    out = []
+    for a, b in candidates:
+        token = text[a:b]
+        kind = infer(token)
+        before = bisect.bisect_left(starts, b) - 1
+        if kind < 0 or not any(c.isalpha() for c in token) or before >= 0 and ends[before] > a:
+            continue
+        values, size = [VALUES[kind][c] for c in token.rstrip("=")], len(ALPHABETS[kind])
+        chi, p_random = battery(values, size)
+        p = 1.0
+        if p_random >= RANDOM_LEVEL:
+            if kind not in own:
+                counts = counts or Counter(text)
+                n = [counts[c] for c in ALPHABETS[kind]]
+                own[kind] = max(LEAST_UNEVEN, size * sum(x * x for x in n) / sum(n) ** 2 - 1)
+            p = text_p(token, values, size, chi, own[kind])
+        out.append((p, b - a, a, b))
+    return out
+
+
 def spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) by start, then kind."""
     out = []
@@ -113,26 +164,12 @@ def spans(text: str) -> list[tuple[str, int, int]]:
         out += [("access", m.start(), m.end()) for m in ACCESS.finditer(text, a, b) if m.end() - m.start() >= LEAST_ACCESS]
         out += [("hex", m.start(), m.end()) for m in HEX.finditer(text, a, b)]
         if b - a >= LEAST_CANDIDATE and any(c in run[0] for c in DIGITS):
-            parts = {m.span() for part in PARTS for m in part.finditer(text, a, b)}
-            candidates += sorted((x, y) for x, y in parts if y - x >= LEAST_CANDIDATE and not any(u <= x and y <= v and (u, v) != (x, y) for u, v in parts) and any(c in DIGITS for c in text[x:y]))
+            parts = outermost({m.span() for part in PARTS for m in part.finditer(text, a, b)})
+            candidates += [(x, y) for x, y in parts if y - x >= LEAST_CANDIDATE and any(c in DIGITS for c in text[x:y])]
     if candidates:
-        base = list(out)
-        tested = []
-        for a, b in candidates:
-            token = text[a:b]
-            kind = infer(token)
-            if kind < 0 or not any(c.isalpha() for c in token) or any(x < b and a < y for _, x, y in base):
-                continue
-            values, size = [VALUES[kind][c] for c in token.rstrip("=")], len(ALPHABETS[kind])
-            chi, p_random = battery(values, size)
-            if p_random >= RANDOM_LEVEL:
-                own = [n for c in ALPHABETS[kind] if (n := text.count(c))]
-                uneven = max(LEAST_UNEVEN, size * sum(n * n for n in own) / sum(own) ** 2 - 1)
-                tested.append((text_p(token, values, size, chi, uneven), b - a, a, b))
-            else:
-                tested.append((1.0, b - a, a, b))
+        found = tested(text, candidates, [s[1:] for s in out])
         end = -1
-        for a, b in sorted(tested[i][2:] for i in discoveries([t[:2] for t in tested], FALSE_DISCOVERIES)):
+        for a, b in sorted(found[i][2:] for i in discoveries([t[:2] for t in found], FALSE_DISCOVERIES)):
             if a < end:  # parts of two alphabets that share characters are one secret
                 a, b = out.pop()[1], max(b, end)
             out.append(("random", a, b))
