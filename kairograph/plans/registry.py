@@ -15,7 +15,7 @@ from kairograph.functions import vectors as V
 from kairograph.operators import candidates as C
 from kairograph.operators import lint, mutations, planner, reads, recall
 from kairograph.plans.oracle import NOW, ZONE, local, oracle
-from kairograph.sources.graph import Graph, from_star_schema, integrity, star_table
+from kairograph.sources.graph import Graph, derived, integrity, star_table
 from kairograph.streaming.changes import change_events
 
 CONFIG = EngineConfig(anchor_floor=0.25)
@@ -32,7 +32,7 @@ def now():
 
 
 def graph(spark: SparkSession, sf_dir: str) -> Graph:
-    return from_star_schema(spark, sf_dir, NOW, ZONE)
+    return derived(spark, sf_dir, NOW, ZONE)
 
 
 def seconds(column: str):

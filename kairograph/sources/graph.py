@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 import uuid
@@ -43,11 +44,22 @@ class Graph:
         return {f.name: getattr(self, f.name) for f in fields(self)}
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a checkpoint in the shared folder, or in a local one where none is set."""
-    sc = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; a local one only where all run on this machine."""
+    sc = spark.sparkContext
+    found = sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().getOrElse(None)
+    if not found:
+        if not sc.master.startswith("local"):
+            raise EngineError("spark.checkpoint.dir names no folder that the cluster shares")
+        found = "file://" + os.path.join(tempfile.gettempdir(), "kairograph-checkpoints")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "file://" + os.path.join(tempfile.gettempdir(), "kairograph-checkpoints"))
+        sc.setCheckpointDir(found)
+    return found
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a checkpoint in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
@@ -79,32 +91,79 @@ def integrity(graph: Graph) -> DataFrame:
     return out
 
 
+def _files(spark: SparkSession, path: str):
+    """The file system of a path, and the path for it."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()), found
+
+
+def _pointers(spark: SparkSession, root: str) -> dict[int, str]:
+    """The folder of each version.  A pointer without content is not written yet."""
+    fs, path = _files(spark, f"{root}/pointer")
+    listed = fs.listStatus(path) if fs.exists(path) else []
+    return {int(s.getPath().getName()): str(s.getPath()) for s in listed if s.getPath().getName().isdigit() and s.getLen()}
+
+
 def save_snapshot(graph: Graph, root: str, expected: int | None = None) -> int:
-    """Writes the next version of all tables and then moves the pointer; raises if another writer moved it meanwhile."""
+    """Writes the next version of all tables to a folder of its own and then claims the version's pointer, which may
+    not exist yet; raises if another writer was first, so that of two writers one wins."""
     spark = graph.nodes.sparkSession
     now = current_version(spark, root)
     if expected is not None and expected != now:
         raise Conflict(f"the snapshot moved from {expected} to {now}")
-    version = now + 1
+    version, folder = now + 1, f"v{now + 1}-{uuid.uuid4().hex}"
     for name, df in graph.tables().items():
-        writer = df.write
-        (writer.partitionBy("kind") if name == "nodes" else writer).parquet(f"{root}/v{version}/{name}")
-    spark.createDataFrame([(version,)], "version int").coalesce(1).write.parquet(f"{root}/pointer/{version:08d}-{uuid.uuid4().hex}")
+        rows = assert_schema(df, name)
+        if name == "edges":  # hops and members look edges up by their source
+            rows = rows.repartitionByRange("src_id").sortWithinPartitions("src_id")
+        (rows.write.partitionBy("kind") if name == "nodes" else rows.write).parquet(f"{root}/{folder}/{name}")
+    fs, pointer = _files(spark, f"{root}/pointer/{version:08d}")
+    try:
+        out = fs.create(pointer, False)
+    except Exception as e:
+        fs.delete(_files(spark, f"{root}/{folder}")[1], True)
+        raise Conflict(f"another writer made version {version}") from e
+    out.write(folder.encode())
+    out.close()
     return version
 
 
 def current_version(spark: SparkSession, root: str) -> int:
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{root}/pointer")
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return 0
-    return max([int(s.getPath().getName().split("-")[0]) for s in fs.listStatus(path)], default=0)
+    return max(_pointers(spark, root), default=0)
 
 
 def load_snapshot(spark: SparkSession, root: str, version: int | None = None) -> Graph:
-    version = current_version(spark, root) if version is None else version
-    return Graph(**{n: assert_schema(spark.read.parquet(f"{root}/v{version}/{n}"), n) for n in DDL})
+    """The tables of a version, the last one by default."""
+    held = _pointers(spark, root)
+    version = max(held, default=0) if version is None else version
+    if version not in held:
+        raise EngineError(f"{root} has no version {version}")
+    fs, path = _files(spark, held[version])
+    reader = fs.open(path)
+    folder = bytes(reader.readAllBytes()).decode()
+    reader.close()
+    return Graph(**{n: spark.read.schema(DDL[n]).parquet(f"{root}/{folder}/{n}").select(*T.StructType.fromDDL(DDL[n]).names) for n in DDL})
+
+
+STAR_TABLES = ("customer", "supplier", "nation", "part", "documents", "orders", "lineitem", "events", "embeddings")
+
+
+def derived(spark: SparkSession, sf_dir: str, now: str, zone: str) -> Graph:
+    """from_star_schema(), derived once for each state of the tables' files and kept as a snapshot in the shared folder."""
+    state = [now, zone, spark.conf.get("spark.sql.session.timeZone"), *DDL.values()]
+    for name in STAR_TABLES:
+        fs, path = _files(spark, f"{sf_dir}/{name}.parquet")
+        files = fs.listFiles(path, True)
+        while files.hasNext():
+            f = files.next()
+            state.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    root = f"{shared_dir(spark)}/kairograph/graph-{hashlib.sha256('|'.join(state).encode()).hexdigest()[:32]}"
+    if not current_version(spark, root):
+        try:
+            save_snapshot(from_star_schema(spark, sf_dir, now, zone), root, 0)
+        except Conflict:
+            pass  # another session derived it meanwhile
+    return load_snapshot(spark, root)
 
 
 def star_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
