@@ -178,7 +178,7 @@ def merge(a: Shard, b: Shard, depth: int) -> Shard:
             at = place[rows[mine] - side * n_a]
             ahead[mine] = block[row_at[np.minimum(at + step, last[at])] + side * n_a]
         both = block[rows] * n + ahead
-        sort = np.lexsort((rows, both))
+        sort = np.argsort(both, kind="stable")  # rows ascend within a block, and keep doing so
         rows, both = rows[sort], both[sort]
         mixed = settle(rows, both, slots)
         slots, rows = slots[mixed], rows[mixed]
@@ -187,7 +187,8 @@ def merge(a: Shard, b: Shard, depth: int) -> Shard:
     final = np.empty(n, np.int64)
     for side, (lo, hi) in enumerate(((0, n_a), (n_a, n))):
         own = block[lo:hi]
-        other = own - np.searchsorted(own, own, side="left")
+        first = np.maximum.accumulate(np.where(np.r_[True, own[1:] != own[:-1]], np.arange(hi - lo), 0))
+        other = own - first
         final[lo:hi] = np.arange(hi - lo) + other
     bwt, again = np.empty(n, np.uint16), np.empty(n, bool)
     bwt[final], again[final] = np.r_[a.bwt, b.bwt], repeated

@@ -23,10 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset a local one, which is an
+    error unless all run on this machine (tests)."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().getOrElse(None)
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that the cluster shares")
         found = "file://" + os.path.join(tempfile.gettempdir(), "kairograph-checkpoints")
         sc.setCheckpointDir(found)
         found = sc._jsc.sc().getCheckpointDir().get()
@@ -45,19 +48,33 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """The name, lengthened until no column of docs has it (in either case)."""
+    held = {c.lower() for c in docs.columns}
+    while name in held:
+        name += "_"
+    return name
+
+
+def numbered(docs: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """The rows with a number each, stored, so that a row keeps its number when a task is run again; the column's name."""
+    name = free_name(docs, "__row")
+    return stored(docs.withColumn(name, F.monotonically_increasing_id()), label), name
+
+
 def fresh(docs: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that other columns of any name cannot clash."""
     return docs.select(*[F.col(f"`{n}`") for n in names])
 
 
-def steps(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Slices of the batches that hold about STEP_BYTES of the column each."""
+def steps(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches that hold about size bytes of the column each."""
     for batch in batches:
         start, total = 0, 0
         sizes = pa.compute.binary_length(batch.column(column)).to_pylist()
         for i, n in enumerate(sizes):
             total += n or 0
-            if total >= STEP_BYTES:
+            if total >= size:
                 yield batch.slice(start, i + 1 - start)
                 start, total = i + 1, 0
         if start < batch.num_rows:
@@ -81,14 +98,14 @@ def take_turn(owner: str = "") -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def map_steps(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, column: str = "text", owner: str = "") -> DataFrame:
+def map_steps(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, column: str = "text", owner: str = "", size: int = STEP_BYTES) -> DataFrame:
     """Run work over slices of bounded size of the column; work may return None for no rows.
 
     owner: of the memos that work uses, so that they last from task to task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         take_turn(owner)
-        for part in steps(batches, column):
+        for part in steps(batches, column, size):
             out = work(part)
             if out is not None and out.num_rows:
                 yield out
@@ -106,6 +123,10 @@ def bytes_of(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return [t or b"" for t in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
+#: Longer keys are computed each time, so that a memo's bytes are bounded by its entries.
+LONG_KEY = 64
+
+
 class TwoGenerations(dict):
     """A memo of bounded size: when the young generation is full it becomes the old one; what is used again comes back."""
 
@@ -117,10 +138,11 @@ class TwoGenerations(dict):
         value = self.old.get(key)
         if value is None:
             value = self.compute(key)
-        if len(self) >= self.limit:
-            self.old = dict(self)
-            self.clear()
-        self[key] = value
+        if len(key) <= LONG_KEY:
+            if len(self) >= self.limit:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
         return value
 
     def release(self) -> None:

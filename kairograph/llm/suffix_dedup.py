@@ -11,7 +11,8 @@ passage that a third of the documents share does not meet in one task.
 
 Exact copies of a text of at least `length` bytes are removed whole and take part once in the search.  Null texts count
 as empty and keep nothing; the digest is then that of no bytes.  Repeated rows are copies of each other.  Matches never
-cross rows, spans are judged on the input, and very long texts are searched whole.  Only the named columns are read.
+cross rows, spans are judged on the input, and very long texts are searched whole.  Only the named columns are read, so
+others may have any name.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kairograph.llm.bwt import repeated_ranges
-from kairograph.llm.common import fresh, map_steps, stored, table, take_turn
+from kairograph.llm.common import bytes_of, free_name, fresh, map_steps, stored, table, take_turn
 from kairograph.llm.content_chunks import rolled
 
 LENGTH = 400
@@ -59,8 +60,8 @@ def _array(data: pa.Scalar | bytes) -> np.ndarray:
 
 
 def distinct_texts(docs: DataFrame) -> DataFrame:
-    """(tid, text, copies): each text once.  docs has tid and text."""
-    return docs.groupBy("tid").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+    """(tid, text): each text once.  docs has tid and text."""
+    return docs.groupBy("tid").agg(F.first("text").alias("text"))
 
 
 def anchors(docs: DataFrame, length: int) -> DataFrame:
@@ -99,30 +100,52 @@ def stretches(texts: DataFrame, length: int) -> DataFrame:
     return map_steps(texts, work, "a long, key binary, offset int, stretch binary, tid binary, start long")
 
 
+def _buckets(batches):
+    """Lists of (key, stretch, weight), one for each run of equal a."""
+    bucket, rows = None, []
+    for batch in batches:
+        for a, key, part, weight in zip(*[batch.column(c).to_pylist() for c in ("a", "key", "stretch", "weight")]):
+            if a != bucket and rows:
+                yield rows
+                rows = []
+            bucket = a
+            rows.append((key, part, weight))
+    if rows:
+        yield rows
+
+
 def merged_ranges(parts: DataFrame, length: int) -> DataFrame:
-    """(key, ranges): of distinct weighted stretches (a, key, stretch, weight) the repeated windows, by bucket a."""
+    """(key, ranges): of distinct weighted stretches (a, key, stretch, weight) the repeated windows, by bucket a.
+
+    Windows of one stretch differ, so a stretch that is alone in its bucket is repeated as often as its weight says."""
 
-    def solve(keys: list, strings: list, weights: list) -> pa.RecordBatch:
-        found = repeated_ranges(strings, np.array(weights, np.int64), length, SHARD_BYTES)
-        hit = [i for i, r in enumerate(found) if r]
+    def answer(found: list[tuple[bytes, list[tuple[int, int]]]]) -> pa.RecordBatch:
         kind = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
-        return pa.record_batch([pa.array([keys[i] for i in hit], pa.binary()), pa.array([[{"lo": x, "hi": y} for x, y in found[i]] for i in hit], kind)], ["key", "ranges"])
+        return pa.record_batch([pa.array([k for k, _ in found], pa.binary()), pa.array([[{"lo": x, "hi": y} for x, y in r] for _, r in found], kind)], ["key", "ranges"])
+
+    def solve(held: list[tuple]) -> list[tuple]:
+        keys, strings, weights = zip(*held)
+        found = repeated_ranges(list(strings), np.array(weights, np.int64), length, SHARD_BYTES)
+        return [(k, r) for k, r in zip(keys, found) if r]
 
     def run(batches):
         take_turn()
-        held: list[list] = [[], [], []]
-        size, bucket = 0, None
-        for batch in batches:
-            for a, key, part, weight in zip(*[batch.column(c).to_pylist() for c in ("a", "key", "stretch", "weight")]):
-                if a != bucket and size >= MERGE_BYTES:
-                    yield solve(*held)
-                    held, size = [[], [], []], 0
-                bucket = a
-                for column, value in zip(held, (key, part, weight)):
-                    column.append(value)
-                size += len(part)
-        if held[0]:
-            yield solve(*held)
+        held, size, alone = [], 0, []
+        for rows in _buckets(batches):
+            if len(rows) == 1:
+                key, part, weight = rows[0]
+                if weight > 1:
+                    alone.append((key, [(0, len(part) - length + 1)]))
+            else:
+                held += rows
+                size += sum(len(r[1]) for r in rows)
+            if size >= MERGE_BYTES:
+                yield answer(solve(held))
+                held, size = [], 0
+            if len(alone) >= 10_000:
+                yield answer(alone)
+                alone = []
+        yield answer(alone + (solve(held) if held else []))
 
     ordered = parts.select("a", "key", "stretch", "weight").repartition("a").sortWithinPartitions("a", "key")
     return ordered.mapInArrow(run, "key binary, ranges array<struct<lo:int,hi:int>>")
@@ -166,9 +189,9 @@ def _union(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
-    """docs has tid and text.  (tid, spans) of the texts with repeated bytes that have no exact copy, as disjoint byte
-    ranges, and (tid, text) of each text once.  The spans also cover copies, by what they share with other texts."""
+def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(tid, spans) of the texts with repeated bytes, as byte ranges that may overlap; docs has tid and text.  What a text
+    shares with its exact copies does not count here."""
     found = stored(anchors(docs, length), "anchors")
     seen = F.xxhash64("tid", "at")
     again = stored(found.groupBy("a").agg(F.min(seen).alias("x"), F.max(seen).alias("y")).where("x < y").select("a"), "repeated-anchors")
@@ -184,7 +207,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Da
         ranges = narrow.union(wide_ranges(stored(distinct.join(wide, "a", "left_semi"), "wide-stretches"), length))
     ranges = stored(ranges.select("key", F.explode("ranges").alias("r")), "ranges")
     spans = parts.select("key", "tid", "start").join(ranges, "key").select("tid", (F.col("start") + F.col("r.lo")).alias("lo"), (F.col("start") + F.col("r.hi") - 1 + length).alias("hi"))
-    return spans.groupBy("tid").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), texts  # within one text
+    return spans.groupBy("tid").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))  # within one text
 
 
 def with_tid(docs: DataFrame) -> DataFrame:
@@ -200,61 +223,69 @@ def kept_parts(text: bytes, spans: list[tuple[int, int]]) -> list[bytes]:
 
 
 def removals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """Per distinct text with removed bytes: tid, n_removed, n_spans, kept_sha256 and spans.  docs has tid and text."""
-    spans, texts = repeated_spans(docs, length)
-    copied = F.col("copies") > 1
+    """(tid, spans, whole) of the texts that lose bytes; whole: it has an exact copy of at least length bytes and goes
+    whole.  docs has tid and text."""
+    copied = docs.where(F.octet_length("text") >= length).groupBy("tid").count().where("count > 1").select("tid", F.lit(True).alias("whole"))
+    return stored(repeated_spans(docs, length).join(copied, "tid", "full"), "removals")
+
+
+def _cut(text: bytes, spans: list[dict] | None, whole: bool | None) -> tuple[list[tuple[int, int]], bytes]:
+    """The removed ranges and the remaining bytes."""
+    gone = [(0, len(text))] if whole else _union([(r["lo"], r["hi"]) for r in spans or ()])
+    return gone, b"".join(kept_parts(text, gone))
 
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows: list[list] = [[] for _ in range(5)]
-        for tid, text, ranges, copies in zip(batch.column("tid").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), batch.column("spans").to_pylist(), batch.column("copies").to_pylist()):
-            whole = [(0, len(text))] if copies > 1 else _union([(r["lo"], r["hi"]) for r in ranges])
-            kept = hashlib.sha256(b"".join(kept_parts(text, whole))).hexdigest()
-            for column, value in zip(rows, (tid, sum(b - a for a, b in whole), len(whole), kept, [{"lo": a, "hi": b} for a, b in whole])):
-                column.append(value)
-        kinds = [pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))]
-        return pa.record_batch([pa.array(c, k) for c, k in zip(rows, kinds)], ["tid", "n_removed", "n_spans", "kept_sha256", "spans"])
 
-    hit = texts.join(spans, "tid", "left").where(copied | F.col("spans").isNotNull()).select("tid", "text", "spans", "copies")
-    return map_steps(hit, work, "tid binary, n_removed long, n_spans long, kept_sha256 string, spans array<struct<lo:long,hi:long>>")
+RANGES = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Per row: the id column, n_bytes, n_removed, n_spans, kept_sha256 and spans (removed byte ranges)."""
+    """Per row: the id column, n_bytes, n_removed, n_spans, kept_sha256, spans (removed byte ranges) and text (what
+    remains; characters cut in part are left out of it, not out of the digest)."""
     rows = with_tid(fresh(docs, id_column, text_column).toDF("id", "text"))
-    found = stored(removals(rows.select("tid", "text"), length), "removals")
-    own = rows.select("id", "tid", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole"))
-    return own.join(found, "tid", "left").select(
-        F.col("id").alias(id_column),
-        "n_bytes",
-        F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"),
-        F.coalesce("n_spans", F.lit(0).cast("long")).alias("n_spans"),
-        F.coalesce("kept_sha256", "whole").alias("kept_sha256"),
-        F.coalesce("spans", F.array().cast("array<struct<lo:bigint,hi:bigint>>")).alias("spans"),
-    )
+    joined = rows.join(removals(rows.select("tid", "text"), length), "tid", "left").select("id", "text", "spans", "whole")
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = bytes_of(batch)
+        done = [(t, *_cut(t, r, w)) if r or w else (t, [], t) for t, r, w in zip(texts, batch.column("spans").to_pylist(), batch.column("whole").to_pylist())]
+        columns = [
+            pa.array([len(t) for t, _, _ in done], pa.int64()),
+            pa.array([sum(b - a for a, b in gone) for _, gone, _ in done], pa.int64()),
+            pa.array([len(gone) for _, gone, _ in done], pa.int64()),
+            pa.array([hashlib.sha256(kept).hexdigest() for _, _, kept in done], pa.string()),
+            pa.array([[{"lo": a, "hi": b} for a, b in gone] for _, gone, _ in done], RANGES),
+            pa.array([kept.decode("utf-8", "ignore") if gone else kept for _, gone, kept in done], pa.string()),
+        ]
+        return pa.record_batch([batch.column("id"), *columns], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "text"])
+
+    schema = f"id {rows.schema['id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<lo:long,hi:long>>, text string"
+    found = map_steps(joined, work, schema)
+    return found.withColumnRenamed("id", id_column) if id_column != "id" else found
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, text_column: str = "text") -> DataFrame:
-    """The rows, with all their columns, repeated bytes cut from the text; characters cut in part go as a whole.  A row
-    whose text is removed whole is dropped; null and empty texts stay as they are."""
-    found = stored(removals(with_tid(docs.select(F.col(f"`{text_column}`").alias("text"))).select("tid", "text"), length).select("tid", "spans"), "removals")
-    key, cut = "__kairograph_tid", "__kairograph_spans"
-    named = found.select(F.col("tid").alias(key), F.col("spans").alias(cut))
-    joined = docs.withColumn(key, F.unhex(F.md5(F.coalesce(F.col(f"`{text_column}`"), F.lit(""))))).join(named, key, "left").drop(key)
+    """The rows, with all their columns, repeated bytes cut from the text; characters cut in part go as a whole.  Every
+    occurrence of a passage goes, the first too.  A row whose text is removed whole is dropped; null and empty texts
+    stay as they are."""
+    key, cut, whole = (free_name(docs, n) for n in ("__tid", "__spans", "__whole"))
+    found = removals(with_tid(docs.select(F.col(f"`{text_column}`").alias("text"))).select("tid", "text"), length).toDF(key, cut, whole)
+    joined = docs.withColumn(key, F.unhex(F.md5(F.coalesce(F.col(f"`{text_column}`"), F.lit(""))))).join(found, key, "left").drop(key)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        at, spans = batch.schema.get_field_index(text_column), batch.column(cut).to_pylist()
+        at, spans, all_ = batch.schema.get_field_index(text_column), batch.column(cut).to_pylist(), batch.column(whole).to_pylist()
         texts = batch.column(at).to_pylist()
-        for i, ranges in enumerate(spans):
-            if ranges:
-                texts[i] = b"".join(kept_parts(texts[i].encode(), [(r["lo"], r["hi"]) for r in ranges])).decode("utf-8", "ignore")
-        out = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type)).drop_columns([cut])
-        return out.filter(pa.array([not r or bool(t) for r, t in zip(spans, texts)], pa.bool_()))
+        for i, (ranges, w) in enumerate(zip(spans, all_)):
+            if ranges or w:
+                texts[i] = _cut(texts[i].encode(), ranges, w)[1].decode("utf-8", "ignore")
+        out = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type)).drop_columns([cut, whole])
+        return out.filter(pa.array([not (r or w) or bool(t) for r, w, t in zip(spans, all_, texts)], pa.bool_()))
 
     return map_steps(joined, work, docs.schema, text_column)
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    found = dedup(table(spark, sf_dir, "documents"))
+    named = F.array_join(F.transform("spans", lambda r: F.concat_ws(":", r["lo"], r["hi"])), ",")
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", named.alias("spans"), "text")
 
 
 QUERIES = {"op3_suffix_dedup": op3_suffix_dedup}
