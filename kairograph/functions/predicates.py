@@ -13,6 +13,10 @@ def live(now: Column) -> Column:
     return F.col("expires_at").isNull() | (F.col("expires_at") > now)
 
 
+def expired(now: Column) -> Column:
+    return F.col("expires_at").isNotNull() & (F.col("expires_at") <= now)
+
+
 def current() -> Column:
     return F.col("valid_to").isNull()
 

@@ -47,3 +47,24 @@ def expires_at(anchor: Column, ttl_days: Column) -> Column:
 
 def iso(instant: Column) -> Column:
     return F.date_format(instant, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
+def local_iso(instant: Column, zone) -> Column:
+    """The local time with its offset from UTC and without milliseconds."""
+    there = local(instant, zone)
+    minutes = ((F.unix_micros(there) - F.unix_micros(instant)) / 60_000_000).cast("int")
+    offset = F.format_string("%s%02d:%02d", F.when(minutes < 0, "-").otherwise("+"), F.floor(F.abs(minutes) / 60).cast("int"), F.abs(minutes) % 60)
+    return F.concat(F.date_format(there, "yyyy-MM-dd'T'HH:mm:ss"), offset)
+
+
+def day_reading(date: Column) -> Column:
+    return F.date_format(date, "EEE yyyy-MM-dd")
+
+
+def reading(instant: Column, zone) -> Column:
+    return F.date_format(local(instant, zone), "EEE yyyy-MM-dd HH:mm")
+
+
+def same_day(a: Column, b: Column, zone) -> Column:
+    """Whether both instants lie on one local date; false where one is null."""
+    return F.coalesce(local_date(a, zone) == local_date(b, zone), F.lit(False))

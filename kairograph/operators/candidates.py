@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kairograph.config import EDGE_TYPES, HUB_DEGREE, LOOKALIKE_HOURS, MIN_EVIDENCE_CHARS, EngineConfig
+from kairograph.config import EDGE_TYPES, HUB_DEGREE, LOOKALIKE_HOURS, MIN_EVIDENCE_CHARS, EngineConfig, InvalidRequest
 from kairograph.functions import predicates as P
 from kairograph.functions.text import identifying_words, mentions, normalize_quote, normalize_title, person_names
-from kairograph.functions.time import iso, local_date
+from kairograph.functions.time import iso, local_date, local_time, plus_seconds
 from kairograph.operators import reads
-from kairograph.operators.mutations import history_rows
+from kairograph.operators.mutations import history_rows, value_of
 from kairograph.operators.recall import nearest
 from kairograph.sources.graph import Graph, cut
 
@@ -30,8 +30,12 @@ def open_task_candidates(graph: Graph, text: str, writer: str, now: Column) -> D
     return tasks.join(under, "id", "left").where(F.coalesce("under", F.lit(False)) | shares).select("id")
 
 
-def candidates(graph: Graph, text: str, vectors: list[Column], writer: str, extra_ids, now: Column, config: EngineConfig) -> DataFrame:
-    """Ids from the whole text's vector, its segments' vectors, open tasks, mentioned persons and named ids."""
+def candidates(graph: Graph, text: str, vectors: list[Column], writer: str, extra_ids, now: Column, config: EngineConfig, participants=()) -> DataFrame:
+    """Ids from the whole text's vector, its segments' vectors, open tasks, mentioned persons, participants (which must
+    be live) and named ids."""
+    if participants and reads.nodes_by_ids(graph, participants, now).count() < len(set(participants)):
+        raise InvalidRequest("a participant is unknown or expired")
+    extra_ids = [*extra_ids, *participants]
     rows = graph.nodes.where(P.live(now)).select("id", "embedding")
     found = reads.nodes_by_ids(graph, list(extra_ids) or ["-"], now).select("id")
     for i, vec in enumerate(vectors):
@@ -55,8 +59,9 @@ def context_edges(graph: Graph, ids: DataFrame, limit: int) -> DataFrame:
     return ranked.where("priority = 0").select("id", "type", "priority").union(rest.select("id", "type", "priority"))
 
 
-def lookalikes(graph: Graph, news: DataFrame, now: Column, zone: str) -> DataFrame:
-    """(temp_id, id): live nodes that new ones may repeat.  news: temp_id, kind, title, occurred_at, closes_at, hub_id.
+def lookalikes(graph: Graph, news: DataFrame, now: Column, zone: str, shown: DataFrame | None = None) -> DataFrame:
+    """(temp_id, id): live nodes that new ones may repeat, but those that were shown (id) already.  news: temp_id, kind,
+    title, occurred_at, closes_at, hub_id.
 
     Same normalised title and kind; plans within twelve hours that share an identifying word, met by buckets of hours;
     tasks of the same hub that close on the same local day."""
@@ -71,7 +76,17 @@ def lookalikes(graph: Graph, news: DataFrame, now: Column, zone: str) -> DataFra
     held = graph.edges.where(P.current() & (F.col("type") == "HAS_ITEM")).select(F.col("src_id").alias("hub_id"), F.col("dst_id").alias("id"))
     tasks = reads.live_tasks(graph, now).where("closes_at is not null").select("id", local_date(F.col("closes_at"), zone).alias("day")).join(held, "id")
     siblings = news.where("kind = 'task' and closes_at is not null").select("temp_id", "hub_id", local_date(F.col("closes_at"), zone).alias("day")).join(tasks, ["hub_id", "day"]).select("temp_id", "id")
-    return same.union(near).union(siblings).distinct()
+    found = same.union(near).union(siblings).distinct()
+    return found if shown is None else found.join(shown.select("id").distinct(), "id", "left_anti").select("temp_id", "id")
+
+
+def news_of(creates: DataFrame, edges: DataFrame | None) -> DataFrame:
+    """What lookalikes() is asked of a batch: its creates, tasks with the stored hub that a new edge gives them."""
+    news = creates.select("temp_id", "kind", "title", value_of(creates, "occurred_at", "timestamp").alias("occurred_at"), value_of(creates, "closes_at", "timestamp").alias("closes_at"))
+    if edges is None:
+        return news.withColumn("hub_id", F.lit(None).cast("string"))
+    hubs = edges.where("type = 'HAS_ITEM'").join(creates.select(F.col("temp_id").alias("src_id")), "src_id", "left_anti").groupBy(F.col("dst_id").alias("temp_id")).agg(F.min("src_id").alias("hub_id"))
+    return news.join(hubs, "temp_id", "left")
 
 
 def evidence_failures(claims: DataFrame, text: Column) -> DataFrame:
@@ -80,10 +95,32 @@ def evidence_failures(claims: DataFrame, text: Column) -> DataFrame:
     return claims.where((F.length(quote) < MIN_EVIDENCE_CHARS) | ~F.contains(normalize_quote(text), quote))
 
 
-def unlinked(creates: DataFrame, edges: DataFrame) -> DataFrame:
-    """Created nodes that no new edge touches.  creates: temp_id; edges: src_id, dst_id."""
-    ends = edges.select(F.col("src_id").alias("temp_id")).union(edges.select("dst_id"))
-    return creates.join(ends, "temp_id", "left_anti")
+def unlinked(creates: DataFrame, edges: DataFrame | None, spawns: DataFrame | None = None) -> DataFrame:
+    """Created nodes that no new edge touches and no spawn names as its hub or place."""
+    out = creates
+    for ops, columns in ((edges, ("src_id", "dst_id")), (spawns, ("hub_id", "place_id"))):
+        for c in columns if ops is not None else ():
+            if c in ops.columns:
+                out = out.join(ops.select(F.col(c).alias("temp_id")), "temp_id", "left_anti")
+    return out
+
+
+def unknown_edge_types(edges: DataFrame) -> DataFrame:
+    return edges.where(~F.col("type").isin(*EDGE_TYPES)).select("type").distinct()
+
+
+def recheck_reasons(missed: DataFrame | None, loose: DataFrame | None, odd: DataFrame | None) -> list[str]:
+    """Why a first extraction is run again, in words for the extractor; empty where it stands.  Batches are small."""
+    notes = []
+    if missed is not None and not missed.isEmpty():
+        notes.append("Some created nodes look like stored ones that were not shown; these are candidates now: reuse or update them.")
+    titles = [] if loose is None else [r.title for r in loose.select("title").orderBy("title").collect()]
+    if titles:
+        notes.append("Some created nodes have no edge: " + ", ".join(f'"{t}"' for t in titles) + ". Link each to its subject or hub, or leave it out.")
+    types = [] if odd is None else [r.type for r in odd.orderBy("type").collect()]
+    if types:
+        notes.append("Some edge types are not allowed: " + ", ".join(types) + ". Use RELATED_TO with a relation where none fits.")
+    return notes
 
 
 def timeless_to_tasks(graph: Graph, at: Column, zone: str) -> Graph:
@@ -101,6 +138,34 @@ def timeless_to_tasks(graph: Graph, at: Column, zone: str) -> Graph:
     return graph.with_(nodes=nodes.select(*graph.nodes.columns), plans=graph.plans.join(ids.select(F.col("id").alias("node_id")), "node_id", "left_anti"), tasks=tasks, history=history)
 
 
+def fold_timeline(plans: DataFrame, sessions: DataFrame, zone: str) -> DataFrame:
+    """Plans of the former timeline as nodes of today: (id, kind, occurred_at, end_at, status, opens_on, closes_at, done_at).
+
+    plans: id, created_at, occurred_at, end_at, due_at, opens_at, status, recurrence.  sessions: plan_id, state, start_at,
+    end_at, outcome, outcome_at, updated_at.  A dated plan without a rule takes what its session says: cancelled, or moved
+    in time with its length kept.  An undated one without a rule becomes a task if it has a due, an open or is an idea; it
+    opens on its open day, else on the day it was made, but no later than it closes.  Other undated ones become memories,
+    and what is still an idea among plans becomes tentative."""
+    one = sessions.groupBy(F.col("plan_id").alias("id")).agg(
+        F.min(F.struct("start_at", "state", "end_at")).alias("s"), F.min(F.when(F.col("outcome") == "done", F.coalesce("outcome_at", "updated_at"))).alias("finished")
+    )
+    rows = plans.join(one, "id", "left")
+    single, dated = F.col("recurrence").isNull(), F.col("occurred_at").isNotNull()
+    state = F.when(single & dated, F.col("s.state"))
+    moved = F.coalesce(state == "moved", F.lit(False))
+    length = (F.unix_micros("end_at") - F.unix_micros("occurred_at")) / 1_000_000
+    task = ~dated & single & (F.col("due_at").isNotNull() | F.col("opens_at").isNotNull() | (F.col("status") == "idea"))
+    kind = F.when(task, "task").when(~dated & single, "memory").otherwise("plan")
+    opened, made, due = (local_date(F.col(c), zone) for c in ("opens_at", "created_at", "due_at"))
+    opens = F.when(F.col("due_at").isNull(), opened).otherwise(F.least(F.coalesce(opened, made), due))
+    status = F.when(state == "cancelled", "cancelled").when(F.col("status") == "idea", "tentative").otherwise(F.col("status"))
+    return rows.select(
+        "id", kind.alias("kind"), F.when(moved, F.col("s.start_at")).otherwise(F.col("occurred_at")).alias("occurred_at"),
+        F.when(moved, F.coalesce("s.end_at", plus_seconds(F.col("s.start_at"), length))).otherwise(F.col("end_at")).alias("end_at"),
+        F.when(kind == "plan", status).alias("status"), F.when(task, opens).alias("opens_on"), F.when(task, F.col("due_at")).alias("closes_at"), F.when(task, F.col("finished")).alias("done_at"),
+    )
+
+
 def retype_edges(edges: DataFrame) -> DataFrame:
     """HAS_SESSION becomes HAS_PLAN; other types outside the vocabulary become RELATED_TO, the old type kept as `was`."""
     renamed = edges.withColumn("type", F.when(F.col("type") == "HAS_SESSION", "HAS_PLAN").otherwise(F.col("type")))
@@ -108,12 +173,6 @@ def retype_edges(edges: DataFrame) -> DataFrame:
     return renamed.withColumn("properties", F.when(odd, F.map_concat("properties", F.create_map(F.lit("was"), F.col("type")))).otherwise(F.col("properties"))).withColumn("type", F.when(odd, "RELATED_TO").otherwise(F.col("type")))
 
 
-def operation_counts(ops: DataFrame, kinds: list[str]) -> DataFrame:
-    """Operations of each kind, zero where there is none."""
-    names = ops.sparkSession.createDataFrame([(k,) for k in kinds], "op string")
-    return names.join(F.broadcast(ops.groupBy("op").agg(F.count("*").alias("n"))), "op", "left").select("op", F.coalesce("n", F.lit(0)).alias("n"))
-
-
 def matches(ops: DataFrame, **wanted) -> Column:
     """Whether an operation meets an expectation: equal fields, or patterns for names that end in _like."""
     found = F.lit(True)
@@ -126,3 +185,30 @@ def expectation(ops: DataFrame, condition: Column, check: Column) -> DataFrame:
     """Quantifiers over the operations that meet a condition: none, some, each, and varied values of title."""
     hit = ops.where(condition)
     return hit.agg((F.count("*") == 0).alias("none"), (F.coalesce(F.sum(check.cast("int")), F.lit(0)) > 0).alias("some"), (F.coalesce(F.min(check), F.lit(False))).alias("each"), (F.countDistinct("title") > 1).alias("varied"))
+
+
+def set_difference(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(side, value): values that only one side has, as `missing` (only left) or `extra` (only right)."""
+    left, right = left.toDF("value").distinct(), right.toDF("value").distinct()
+    return left.join(right, "value", "left_anti").select(F.lit("missing").alias("side"), "value").union(right.join(left, "value", "left_anti").select(F.lit("extra"), "value"))
+
+
+def checked(ops: DataFrame, zone: str, **wanted) -> Column:
+    """Whether an operation's fields are as expected: x=value or None for null, x_date and x_time for the local date and
+    clock of an instant, x_from and x_to for a closed range of local dates, x_like for a pattern."""
+    found = F.lit(True)
+    for name, value in wanted.items():
+        base, _, how = name.rpartition("_")
+        if how == "date" and base in ops.columns:
+            found &= local_date(F.col(base), zone).eqNullSafe(F.lit(value).cast("date"))
+        elif how == "time" and base in ops.columns:
+            found &= local_time(F.col(base), zone).eqNullSafe(F.lit(value))
+        elif how == "from" and base in ops.columns:
+            found &= F.coalesce(local_date(F.col(base), zone) >= F.lit(value).cast("date"), F.lit(False))
+        elif how == "to" and base in ops.columns:
+            found &= F.coalesce(local_date(F.col(base), zone) <= F.lit(value).cast("date"), F.lit(False))
+        elif how == "like" and base in ops.columns:
+            found &= F.coalesce(F.col(base).rlike("(?i)" + value), F.lit(False))
+        else:
+            found &= F.col(name).eqNullSafe(F.lit(value))
+    return found

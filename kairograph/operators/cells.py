@@ -1,0 +1,79 @@
+"""Approximate vector search: an inverted file of cells around centres.
+
+Centres are fitted on a bounded sample of the vectors (SAMPLE rows, chosen by hash); every row is indexed in the cell of
+its nearest centre.  A search scores the rows of the `probes` cells nearest to the query, exactly.  The index is a table
+partitioned by cell, so a search reads its cells' files only.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from kairograph.functions.vectors import cosine
+
+SAMPLE, ROUNDS = 20_000, 12
+
+
+def _unit(rows: np.ndarray) -> np.ndarray:
+    return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
+
+
+def fit(vectors: DataFrame, cells: int, sample: int = SAMPLE, id_column: str = "id") -> np.ndarray:
+    """The centres, unit vectors, by rounds of assignment and mean over about `sample` rows; vectors: id, embedding."""
+    rows = vectors.where(F.col("embedding").isNotNull() & (F.size("embedding") > 0))
+    n = rows.count()
+    grain = 1 << 40
+    some = rows.where(F.pmod(F.xxhash64(id_column), F.lit(grain)) < F.lit(grain if n <= sample else sample * grain // n))
+    found = [r.embedding for r in some.orderBy(F.xxhash64(id_column), id_column).limit(2 * sample).select("embedding").collect()]
+    if not found:
+        return np.zeros((0, 0), np.float32)
+    points = _unit(np.array(found, np.float32))
+    centres = points[np.linspace(0, len(points) - 1, min(cells, len(points))).astype(int)]
+    for _ in range(ROUNDS):
+        nearest = (points @ centres.T).argmax(axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, nearest, points)
+        full = np.bincount(nearest, minlength=len(centres)) > 0
+        centres = np.where(full[:, None], _unit(sums), centres)
+    return centres.astype(np.float32)
+
+
+def with_cells(rows: DataFrame, centres: np.ndarray, probes: int = 1) -> DataFrame:
+    """The rows and cells, an array of the `probes` nearest cells; rows without a vector have none."""
+    shared = rows.sparkSession.sparkContext.broadcast(centres)  # cells x dimension numbers
+
+    def run(batches):
+        for batch in batches:
+            at, width = batch.schema.get_field_index("embedding"), shared.value.shape[1]
+            vectors = batch.column(at).to_pylist()
+            known = [i for i, v in enumerate(vectors) if v is not None and len(v) == width]
+            cells: list[list[int]] = [[] for _ in vectors]
+            if known:
+                score = _unit(np.array([vectors[i] for i in known], np.float32)) @ shared.value.T
+                best = np.argsort(-score, axis=1, kind="stable")[:, :probes]
+                for i, row in zip(known, best.tolist()):
+                    cells[i] = row
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.list_(pa.int32()))], names=[*batch.schema.names, "cells"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInArrow(run, f"{fields}, cells array<int>")
+
+
+def index(rows: DataFrame, centres: np.ndarray, path: str) -> DataFrame:
+    """Writes all rows that have a vector, partitioned by cell, and reads them back."""
+    with_cells(rows, centres).withColumn("cell", F.get("cells", F.lit(0))).where("cell is not null").drop("cells").repartition("cell").write.mode("overwrite").partitionBy("cell").parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
+def search(indexed: DataFrame, queries: DataFrame, centres: np.ndarray, probes: int, limit: int, id_column: str = "id") -> DataFrame:
+    """(query_id, id, similarity, rank): the nearest indexed rows of each query (id, embedding), itself excluded."""
+    asked = with_cells(queries.select(F.col(id_column).alias("query_id"), "embedding"), centres, probes)
+    asked = asked.select("query_id", F.col("embedding").alias("q"), F.explode("cells").alias("cell"))
+    met = indexed.select(F.col(id_column).alias("id"), "embedding", "cell").join(asked, "cell").where("id <> query_id")
+    scored = met.select("query_id", "id", F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("similarity"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)

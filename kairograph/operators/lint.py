@@ -1,7 +1,11 @@
-"""Data-quality rules: each gives (rule, node_ids, title)."""
+"""Data-quality rules: each gives (rule, node_ids, title, note, at), one row for each finding.
+
+Ids of a finding are a list; the findings that name a group of nodes are as long as the group.  report() puts all
+findings in the order of RULES and, within a rule, of at and the first id."""
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -13,7 +17,8 @@ from kairograph.functions.text import first_name, normalize_title
 from kairograph.operators.reads import live_nodes, persons
 from kairograph.sources.graph import Graph
 
-# Wordings that the rules look for, as Java patterns.
+# Wordings that the rules look for, as Java patterns.  Two wordings that are proper names of one household
+# (one in WORKING_NOTE, one in AGENT_INSTRUCTION) are not here: working_note() and agent_instruction() take such names.
 STATUS = r"(?is)\b(as of|not yet|so far|still needs?|unconfirmed)\b|\bno\b.{0,60}\b(found|posted|yet)\b"
 WORKING_NOTE = r"(?is)/var/lib|\bworktree|\bbranch\b|\bcommit\b|this agent|\bwake\b(?![ -]word)|credentials? (set up|exist|stored)|site lesson|\bhow-to\b|shadow dom|\bdom\b|\bref [a-z]\d|accessibility tree|browser (task|helper)|terminal (task|helper)|steer_(browser|terminal)|\.(tsx?|py|go|aspx)\b|\bline \d+"
 AGENT_INSTRUCTION = r"(?is)\bno agents? (may|should|can)\b|\bagents? (must|should|may) (never|not|always|only)\b|\bwants (the )?(agents?|specialists?) to\b|\b(specialists?|managers?|helpers?) (must|should) (never|always)\b"
@@ -21,8 +26,34 @@ DATED_TITLE = r"(?is)\b(fall|spring|summer|winter) 20\d\d\b|\b(jan|feb|mar|apr|m
 STREET = r"\b\d+[A-Za-z]?\s+[A-Za-z]"
 
 
-def _one(found: DataFrame, rule: str) -> DataFrame:
-    return found.select(F.lit(rule).alias("rule"), F.array("id").alias("node_ids"), "title")
+NOTES = {
+    "status_snapshot": "reads as a status that never expires",
+    "working_note": "reads as a note on how tools work, not as a fact",
+    "noon_placeholder": "starts at exactly noon, which stands for no stated time",
+    "dated_plan_title": "the title has a term, date, time or section",
+    "agent_instruction": "reads as a rule for agents",
+    "dated_hub": "holds dated items and has a date of its own",
+    "long_span": "spans more than a week",
+    "duplicate": "same kind and title, plans in the same hour",
+    "unaliased_person": "the first name is no alias",
+    "place_without_address": "plans happen here, but there is no full street address",
+    "floating": "has no current edge",
+    "unknown_edge_type": "is not an allowed edge type",
+}
+
+
+def _finding(found: DataFrame, rule: str, ids: Column, at: Column) -> DataFrame:
+    return found.select(F.lit(rule).alias("rule"), ids.alias("node_ids"), "title", F.lit(NOTES[rule]).alias("note"), at.cast("timestamp").alias("at"))
+
+
+def _one(found: DataFrame, rule: str, at: str = "created_at") -> DataFrame:
+    return _finding(found, rule, F.array("id"), F.col(at))
+
+
+def _worded(pattern: str, names: tuple[str, ...], form: str) -> Column:
+    """Whether the text has the pattern, or the form with one of the names in place of {}."""
+    more = [form.replace("{}", re.escape(n)) for n in names]
+    return _text().rlike("|".join([pattern, *more]))
 
 
 def _text() -> Column:
@@ -33,8 +64,9 @@ def status_snapshot(g: Graph, now: Column, zone: str) -> DataFrame:
     return _one(g.nodes.where((F.col("kind") == "memory") & F.col("expires_at").isNull() & _text().rlike(STATUS)), "status_snapshot")
 
 
-def working_note(g: Graph, now: Column, zone: str) -> DataFrame:
-    return _one(live_nodes(g, now).where((F.col("kind") == "memory") & _text().rlike(WORKING_NOTE)), "working_note")
+def working_note(g: Graph, now: Column, zone: str, names: tuple[str, ...] = ()) -> DataFrame:
+    """names: of tools, each of which makes a note."""
+    return _one(live_nodes(g, now).where((F.col("kind") == "memory") & _worded(WORKING_NOTE, names, r"\b{}\b")), "working_note")
 
 
 def _plans(g: Graph, now: Column) -> DataFrame:
@@ -43,15 +75,16 @@ def _plans(g: Graph, now: Column) -> DataFrame:
 
 def noon_placeholder(g: Graph, now: Column, zone: str) -> DataFrame:
     clock = F.date_format(F.from_utc_timestamp("occurred_at", zone), "HH:mm:ss")
-    return _one(_plans(g, now).where(~F.col("all_day") & (clock == "12:00:00")), "noon_placeholder")
+    return _one(_plans(g, now).where(~F.col("all_day") & (clock == "12:00:00")), "noon_placeholder", "occurred_at")
 
 
 def dated_plan_title(g: Graph, now: Column, zone: str) -> DataFrame:
     return _one(live_nodes(g, now).where((F.col("kind") == "plan") & F.col("title").rlike(DATED_TITLE)), "dated_plan_title")
 
 
-def agent_instruction(g: Graph, now: Column, zone: str) -> DataFrame:
-    return _one(live_nodes(g, now).where((F.col("kind") == "memory") & _text().rlike(AGENT_INSTRUCTION)), "agent_instruction")
+def agent_instruction(g: Graph, now: Column, zone: str, names: tuple[str, ...] = ()) -> DataFrame:
+    """names: of agents that someone may want to do something."""
+    return _one(live_nodes(g, now).where((F.col("kind") == "memory") & _worded(AGENT_INSTRUCTION, names, r"\bwants (the )?{} to\b")), "agent_instruction")
 
 
 def dated_hub(g: Graph, now: Column, zone: str) -> DataFrame:
@@ -60,14 +93,14 @@ def dated_hub(g: Graph, now: Column, zone: str) -> DataFrame:
 
 
 def long_span(g: Graph, now: Column, zone: str) -> DataFrame:
-    return _one(_plans(g, now).where(F.unix_micros("end_at") - F.unix_micros("occurred_at") > LONG_SPAN_DAYS * 86_400_000_000), "long_span")
+    return _one(_plans(g, now).where(F.unix_micros("end_at") - F.unix_micros("occurred_at") > LONG_SPAN_DAYS * 86_400_000_000), "long_span", "occurred_at")
 
 
 def duplicate(g: Graph, now: Column, zone: str) -> DataFrame:
     hour = F.when(F.col("kind") == "plan", F.date_trunc("hour", "occurred_at"))
     groups = live_nodes(g, now).groupBy("kind", normalize_title(F.col("title")).alias("key"), hour.alias("hour"))
     found = groups.agg(F.array_sort(F.collect_list(F.struct("created_at", "id"))).alias("all"), F.min("title").alias("title")).where(F.size("all") > 1)
-    return found.select(F.lit("duplicate").alias("rule"), F.col("all.id").alias("node_ids"), "title")
+    return _finding(found, "duplicate", F.col("all.id"), F.element_at("all", 1)["created_at"])
 
 
 def unaliased_person(g: Graph, now: Column, zone: str) -> DataFrame:
@@ -80,7 +113,8 @@ def place_without_address(g: Graph, now: Column, zone: str) -> DataFrame:
     used = g.edges.where(P.current() & (F.col("type") == "AT_LOCATION")).select("src_id", "dst_id")
     used = used.join(live_nodes(g, now).where("kind = 'plan'").select(F.col("id").alias("src_id")), "src_id", "left_semi").groupBy("dst_id").agg(F.array_sort(F.collect_set("src_id")).alias("plans"))
     bad = g.nodes.where("kind = 'place'").join(g.places, F.col("id") == F.col("node_id")).where(F.col("address").isNull() | ~F.col("address").rlike(STREET))
-    return bad.join(used, F.col("id") == F.col("dst_id")).select(F.lit("place_without_address").alias("rule"), F.concat(F.array("id"), "plans").alias("node_ids"), "title")
+    found = bad.join(used, F.col("id") == F.col("dst_id"))
+    return _finding(found, "place_without_address", F.concat(F.array("id"), "plans"), F.lit(None))
 
 
 def floating(g: Graph, now: Column, zone: str) -> DataFrame:
@@ -92,12 +126,15 @@ def floating(g: Graph, now: Column, zone: str) -> DataFrame:
 def unknown_edge_type(g: Graph, now: Column, zone: str) -> DataFrame:
     odd = g.edges.where(P.current() & ~F.col("type").isin(*EDGE_TYPES))
     ends = odd.select("type", F.col("src_id").alias("id")).union(odd.select("type", "dst_id"))
-    return ends.groupBy("type").agg(F.array_sort(F.collect_set("id")).alias("node_ids")).select(F.lit("unknown_edge_type").alias("rule"), "node_ids", F.col("type").alias("title"))
+    found = ends.groupBy(F.col("type").alias("title")).agg(F.array_sort(F.collect_set("id")).alias("ids"))
+    return _finding(found, "unknown_edge_type", F.col("ids"), F.lit(None))
 
 
 RULES = {f.__name__: f for f in (status_snapshot, working_note, noon_placeholder, dated_plan_title, agent_instruction, dated_hub, long_span, duplicate, unaliased_person, place_without_address, floating, unknown_edge_type)}
 
 
 def report(g: Graph, now: Column, zone: str) -> DataFrame:
-    """All findings as one job."""
-    return reduce(DataFrame.unionByName, [rule(g, now, zone) for rule in RULES.values()])
+    """All findings as one job, in order."""
+    found = reduce(DataFrame.unionByName, [rule(g, now, zone) for rule in RULES.values()])
+    place = F.array_position(F.lit(list(RULES)), F.col("rule"))
+    return found.orderBy(place, F.asc_nulls_first("at"), F.when(F.col("at").isNull(), F.col("title")), F.element_at("node_ids", 1))

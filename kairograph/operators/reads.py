@@ -35,6 +35,14 @@ def live_nodes(graph: Graph, now: Column) -> DataFrame:
     return graph.nodes.where(P.live(now)).drop("embedding")
 
 
+def expired_nodes(graph: Graph, now: Column) -> DataFrame:
+    return graph.nodes.where(P.expired(now)).drop("embedding")
+
+
+def creation_order() -> list[Column]:
+    return [F.asc("created_at"), F.asc("id")]
+
+
 def nodes_by_ids(graph: Graph, ids, now: Column) -> DataFrame:
     return graph.nodes.where(P.live(now) & F.col("id").isin(*ids))
 
@@ -96,23 +104,33 @@ def closest_hubs(graph: Graph, label: str, now: Column, limit: int = CLOSEST_HUB
     return hubs(graph, now).select("title", shared.alias("shared")).where("shared > 0").distinct().orderBy(F.desc("shared"), "title").limit(limit)
 
 
-def resolve_hubs(graph: Graph, label: str, now: Column) -> list[str]:
-    found = [r.id for r in hub_matches(graph, label, now).orderBy("id").collect()]
-    if not found:
+def resolve_hubs(graph: Graph, label: str, now: Column) -> DataFrame:
+    """(id) of the hubs that a label names; raises with the closest titles if there is none."""
+    found = hub_matches(graph, label, now).select("id")
+    if found.isEmpty():
         raise InvalidRequest("no hub " + label + "; closest: " + ", ".join(r.title for r in closest_hubs(graph, label, now).collect()))
     return found
 
 
-def members(graph: Graph, hub_ids: list[str]) -> DataFrame:
-    return graph.edges.where(P.current() & F.col("type").isin("HAS_ITEM", "HAS_PLAN") & F.col("src_id").isin(*hub_ids)).select(F.col("dst_id").alias("id")).distinct()
+def members(graph: Graph, hub_ids: list[str] | DataFrame) -> DataFrame:
+    """(id) of the tasks and sessions of hubs, given as a few ids or as a table of any size."""
+    held = graph.edges.where(P.current() & F.col("type").isin("HAS_ITEM", "HAS_PLAN"))
+    if isinstance(hub_ids, DataFrame):
+        held = held.join(hub_ids.select(F.col("id").alias("src_id")), "src_id", "left_semi")
+    else:
+        held = held.where(F.col("src_id").isin(*hub_ids))
+    return held.select(F.col("dst_id").alias("id")).distinct()
 
 
-def hub_of(graph: Graph, now: Column, types=("HAS_ITEM", "HAS_PLAN")) -> DataFrame:
-    """(item_id, hub_id, hub_title, hub_agent): each item's hub by its earliest current edge, live hubs only."""
+def hub_of(graph: Graph, now: Column, types=("HAS_ITEM", "HAS_PLAN"), items: DataFrame | None = None) -> DataFrame:
+    """(item_id, hub_id, hub_title, hub_agent, hub_verified_at): each item's hub by its earliest current edge, live hubs
+    only.  items: only these (id) are asked for, so that others are dropped before hubs are looked up."""
     held = graph.edges.where(P.current() & F.col("type").isin(*types)).select("src_id", "dst_id", "created_at", F.col("id").alias("edge_id"))
-    own = held.join(live_nodes(graph, now).select(F.col("id").alias("src_id"), F.col("title").alias("hub_title"), F.col("agent_id").alias("hub_agent")), "src_id")
-    first = own.groupBy("dst_id").agg(F.min(F.struct("created_at", "edge_id", "src_id", "hub_title", "hub_agent")).alias("h"))
-    return first.select(F.col("dst_id").alias("item_id"), F.col("h.src_id").alias("hub_id"), F.col("h.hub_title").alias("hub_title"), F.col("h.hub_agent").alias("hub_agent"))
+    if items is not None:
+        held = held.join(items.select(F.col("id").alias("dst_id")), "dst_id", "left_semi")
+    hub = live_nodes(graph, now).select(F.col("id").alias("src_id"), F.col("title").alias("hub_title"), F.col("agent_id").alias("hub_agent"), F.col("verified_at").alias("hub_verified_at"))
+    first = held.join(hub, "src_id").groupBy("dst_id").agg(F.min(F.struct("created_at", "edge_id", "src_id", "hub_title", "hub_agent", "hub_verified_at")).alias("h"))
+    return first.select(F.col("dst_id").alias("item_id"), F.col("h.src_id").alias("hub_id"), *[F.col(f"h.{c}").alias(c) for c in ("hub_title", "hub_agent", "hub_verified_at")])
 
 
 def touched_hubs(graph: Graph, ids, writer: str) -> DataFrame:

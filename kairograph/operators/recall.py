@@ -6,12 +6,14 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from kairograph.config import HUB_DEGREE, TITLE_ANCHOR_LIMIT, EngineConfig, InvalidRequest, NotFound
 from kairograph.functions import predicates as P
 from kairograph.functions.text import person_names, query_words
+from kairograph.functions.time import local_date
 from kairograph.functions.vectors import cosine, frequency, proximity, recency
-from kairograph.operators import reads
+from kairograph.operators import planner, reads
 from kairograph.sources.graph import Graph, cut
 
 
@@ -109,11 +111,27 @@ def scored(rows: DataFrame, now: Column, config: EngineConfig, vec: Column | Non
 
 @dataclass
 class Recall:
+    """Ranked nodes with details and readings, the current edges among them, the anchors (id), and the freshness of the
+    courses that the nodes' tasks belong to.  coverage and sufficient are null without a query."""
+
     nodes: DataFrame
     edges: DataFrame
     hops_taken: int
     coverage: float | None
-    sufficient: bool
+    sufficient: bool | None
+    anchors: DataFrame
+    courses: DataFrame
+
+
+def described(graph: Graph, nodes: DataFrame, now: Column, zone: str, day: Column) -> tuple[DataFrame, DataFrame]:
+    """The nodes with the details of their kinds, local readings and the owner of a task's hub; and those hubs."""
+    found = nodes
+    ids = nodes.select(F.col("id").alias("node_id"))
+    for table in (graph.persons, graph.plans, graph.tasks, graph.places):
+        found = found.join(table.join(ids, "node_id", "left_semi").withColumnRenamed("node_id", "id"), "id", "left")
+    hubs = cut(reads.hub_of(graph, now, ("HAS_ITEM",), nodes.where("kind = 'task'")))
+    found = found.join(hubs.select(F.col("item_id").alias("id"), F.col("hub_agent").alias("owner")), "id", "left")
+    return planner.plan_readings(planner.readings(found, zone, day), zone), hubs
 
 
 def tokens(rows: DataFrame) -> Column:
@@ -165,7 +183,12 @@ def recall(graph: Graph, now: Column, zone: str, config: EngineConfig, *, query:
     coverage = None
     if query is not None:
         coverage = top.orderBy(F.desc("total"), "id").limit(config.coverage_top_n).agg(F.avg("total")).first()[0] or 0.0
-    return Recall(top, reads.edges_among(edges, top.select("id")), taken, coverage, coverage is None or coverage >= config.coverage_floor)
+    day = local_date(now, zone) if not (filters or {}).get("relevant_on") else F.lit(filters["relevant_on"]).cast("date")
+    ranked = cut(top.withColumn("rank", F.row_number().over(Window.orderBy(*order))).drop("position"))  # of at most page_max rows
+    nodes, hubs = described(graph, ranked, now, zone, day)
+    among = reads.edges_among(graph.edges.where(P.current()), ranked.select("id"))
+    sufficient = None if coverage is None else coverage >= config.coverage_floor
+    return Recall(nodes.orderBy("rank"), among, taken, coverage, sufficient, first.select("id"), planner.course_freshness(hubs, now, zone))
 
 
 def fold_access(nodes: DataFrame, log: DataFrame) -> DataFrame:

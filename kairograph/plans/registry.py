@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,13 +19,14 @@ from kairograph.plans.oracle import NOW, ZONE, local, oracle
 from kairograph.sources.graph import Graph, derived, integrity, star_table
 from kairograph.streaming.changes import change_events
 
-CONFIG = EngineConfig(anchor_floor=0.25)
+CONFIG = EngineConfig(anchor_floor=0.25, dimension=64)
 DAY = "1998-06-20"
 SET = ("h1", "h2", "p3", "o4", "o8", "s5", "d9")
 HUB = "Brand#17 red widget"
 WHOLE = "as of today nobody of the household review team was at part 7"
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
+_SQL_TEXT: dict[str, str] = {}
 
 
 def now():
@@ -49,7 +51,7 @@ def query(sql: str | None = None):
     def add(f):
         _QUERIES[f.__name__] = lambda spark, sf_dir: f(graph(spark, sf_dir), spark, sf_dir)
         if sql:
-            _SQL[f.__name__] = oracle(sql)
+            _SQL_TEXT[f.__name__], _SQL[f.__name__] = sql, oracle(sql)
         return f
 
     return add
@@ -80,7 +82,8 @@ def node_point(g, s, d):
 
 @query("SELECT id, src_id, dst_id FROM cur WHERE id = 'LIVES_AT-p3-n' || (SELECT c_nationkey FROM customer WHERE c_custkey = 3)")
 def edge_point(g, s, d):
-    return g.edges.where(P.current() & (F.col("type") == "LIVES_AT") & (F.col("src_id") == "p3")).select("id", "src_id", "dst_id")
+    home = star_table(s, d, "customer").where("c_custkey = 3").first().c_nationkey
+    return reads.edge(g, f"LIVES_AT-p3-n{home}").select("id", "src_id", "dst_id")
 
 
 _SET_SQL = "(" + ", ".join(f"'{i}'" for i in SET) + ")"
@@ -96,10 +99,10 @@ def incident_edges(g, s, d):
     return reads.incident_edges(g.edges.where(P.current()), reads.ids_frame(g, SET)).select("id", "type")
 
 
-@query("SELECT id, type FROM cur WHERE src_id IN (SELECT id FROM hubs) AND dst_id IN (SELECT 'o' || o_orderkey FROM orders)")
+@query("ids AS (SELECT id FROM hubs UNION SELECT node_id FROM plans) SELECT cur.id, type FROM cur JOIN ids a ON a.id = src_id JOIN ids b ON b.id = dst_id")
 def edges_among(g, s, d):
     ids = reads.hubs(g, now()).select("id").union(g.plans.select("node_id"))
-    return reads.edges_among(g.edges.where(P.current()), ids).select("id", "type").where("type = 'HAS_PLAN'")
+    return reads.edges_among(g.edges.where(P.current()), ids).select("id", "type")
 
 
 @query("SELECT id, title, array_to_string(aliases, ',') AS aliases FROM nodes JOIN persons ON node_id = id")
@@ -112,10 +115,6 @@ def node_history(g, s, d):
     return reads.node_history(g, "p8").select("id", "field", seconds("changed_at"))
 
 
-@query("SELECT 'none' AS rule, 0 AS n WHERE false")
-def integrity_checks(g, s, d):
-    return integrity(g).groupBy("rule").agg(F.count("*").cast("int").alias("n"))
-
 
 # predicates over tasks and nodes
 
@@ -220,7 +219,7 @@ _WEEK = ("1998-06-14 04:00:00", "1998-06-21 04:00:00")
 
 @query(_PLANS + "SELECT id, title, rsvp, all_day, hub_id, place_id, room, notes, agent_id AS owner FROM tl")
 def planner_plans(g, s, d):
-    return planner.plans(g, *_WEEK, now()).select("id", "title", "rsvp", "all_day", "hub_id", "place_id", "room", F.array_join("notes", "|").alias("notes"), "owner")
+    return planner.plans(g, *_WEEK, now()).select("id", "title", "rsvp", "all_day", "hub_id", "place_id", "room", F.array_join("notes.title", "|").alias("notes"), "owner")
 
 
 @query(_PLANS + f"SELECT id FROM tl WHERE all_day OR hub_id IS NULL OR coalesce(CAST({local('occurred_at')} AS DATE) <> CAST({local('end_at - INTERVAL 1 MILLISECOND')} AS DATE), false)")
@@ -233,7 +232,7 @@ def timeline_planner(g, s, d):
     return planner.timeline(g, *_WEEK, now(), ZONE, "planner").select("id")
 
 
-_TASK_OUT = "SELECT t.id, t.title, done, NOT done AND coalesce(closes_at < now, false) AS past_due, hub_id, hub_agent AS owner FROM t LEFT JOIN ih ON item_id = t.id, k"
+_TASK_OUT = "SELECT t.id, t.title, done, NOT done AND coalesce(closes_at < now, false) AS past_due, hub_id, agent_id AS owner FROM t LEFT JOIN ih ON item_id = t.id, k"
 _ITEM_HUB = "ih AS (SELECT dst_id AS item_id, arg_min(src_id, (e.created_at, e.id)) AS hub_id, arg_min(agent_id, (e.created_at, e.id)) AS hub_agent FROM cur e JOIN live ON live.id = src_id WHERE type = 'HAS_ITEM' GROUP BY dst_id)"
 _BEGIN, _STOP = f"timezone('UTC', timezone('{ZONE}', TIMESTAMP '{DAY}'))", f"timezone('UTC', timezone('{ZONE}', TIMESTAMP '{DAY}' + INTERVAL 1 DAY))"
 
@@ -248,9 +247,9 @@ def planner_someday(g, s, d):
     return planner.someday_tasks(g, now()).select("id", "title", "done", "past_due", "hub_id", "owner")
 
 
-@query(f"SELECT id, strftime({local('closes_at')}, '%a %Y-%m-%d %H:%M') AS closes_local, CASE WHEN close_day = DATE '{DAY}' THEN 'due_on_day' WHEN close_day > DATE '{DAY}' THEN 'upcoming' WHEN close_day < DATE '{DAY}' AND NOT done THEN 'past_due' END AS bucket FROM live_tasks")
+@query(f"SELECT id, strftime({local('closes_at')}, '%a %Y-%m-%d %H:%M') AS closes_local, strftime(opens_on, '%a %Y-%m-%d') AS opens_local, CASE WHEN close_day = DATE '{DAY}' THEN 'due_on_day' WHEN close_day > DATE '{DAY}' THEN 'upcoming' WHEN close_day < DATE '{DAY}' AND NOT done THEN 'past_due' END AS bucket FROM live_tasks")
 def task_readings(g, s, d):
-    return planner.readings(reads.live_tasks(g, now()), ZONE, DAY).select("id", "closes_local", "bucket")
+    return planner.readings(reads.live_tasks(g, now()), ZONE, DAY).select("id", "closes_local", "opens_local", "bucket")
 
 
 # vectors, walk, recall
@@ -384,17 +383,12 @@ for _name, _rule in lint.RULES.items():
     query(_LINT_SQL[_name])(_run)
 
 
-@query()
-def lint_report(g, s, d):
-    return lint.report(g, now(), ZONE).groupBy("rule").agg(F.count("*").alias("n"))
-
-
 # scalar functions
 
 
-@query(f"SELECT id, {_NORM.format('title')} AS n, array_to_string(list_distinct(list_filter(string_split({_NORM.format('title')}, ' '), lambda w: length(w) >= 4 AND w NOT IN ('class', 'session', 'with', 'meeting'))), ',') AS first_word FROM nodes WHERE kind <> 'memory'".replace("array_to_string(list_distinct(", "array_to_string(list_sort(list_distinct(").replace(")), ',') AS first_word", "))), ',') AS first_word"))
+@query(f"SELECT id, {_NORM.format('title')} AS n, array_to_string(list_distinct(list_filter(string_split({_NORM.format('title')}, ' '), lambda w: length(w) >= 4 AND w NOT IN ('class', 'session', 'with', 'meeting'))), ',') AS first_word FROM nodes".replace("array_to_string(list_distinct(", "array_to_string(list_sort(list_distinct(").replace(")), ',') AS first_word", "))), ',') AS first_word"))
 def normalized_titles(g, s, d):
-    return g.nodes.where("kind <> 'memory'").select("id", X.normalize_title(F.col("title")).alias("n"), F.array_join(F.array_sort(X.identifying_words(F.col("title"))), ",").alias("first_word"))
+    return g.nodes.select("id", X.normalize_title(F.col("title")).alias("n"), F.array_join(F.array_sort(X.identifying_words(F.col("title"))), ",").alias("first_word"))
 
 
 @query("SELECT id, array_to_string([title] || aliases || list_filter(list_transform(regexp_split_to_array(title, '\\s+'), lambda w: regexp_replace(w, '[^\\p{L}''-]', '', 'g')), lambda w: length(w) >= 3 AND regexp_matches(w, '^\\p{Lu}')), '|') AS names FROM nodes JOIN persons ON node_id = id")
@@ -419,7 +413,7 @@ def cosine_round_trip(g, s, d):
     return star_table(s, d, "embeddings").select("vec_id", F.round(V.cosine(parsed, vec(s, d)), 6).alias("similarity"))
 
 
-@query()
+@query("c AS (SELECT conv_id, turn, len(list_filter(regexp_split_to_array(regexp_replace(text, '([.!?;])\\s+', '\\1' || chr(1), 'g'), '\\n+|' || chr(1)), lambda p: length(trim(p)) >= 12)) AS n FROM conversations) SELECT conv_id, turn, CAST(CASE WHEN n <= 1 THEN 0 WHEN n <= 12 THEN n ELSE ceil(n / ceil(n / 12.0)) END AS INTEGER) AS n FROM c")
 def text_segments(g, s, d):
     texts = star_table(s, d, "conversations")
     return texts.select("conv_id", "turn", F.size(X.segments(F.col("text"), 12)).alias("n"))
@@ -438,21 +432,23 @@ def open_task_candidates(g, s, d):
     return C.open_task_candidates(g, WHOLE, "agent-3", now())
 
 
-@query()
-def ingest_candidates(g, s, d):
-    return C.candidates(g, WHOLE, [vec(s, d), vec(s, d, 5)], "agent-3", ["h1"], now(), CONFIG)
-
-
 @query("ids AS (SELECT id FROM live_tasks WHERE title = 'HW 3 part 7' UNION SELECT 'p3' UNION SELECT 'o4' UNION SELECT id FROM hubs WHERE title LIKE 'Brand#17 red%'), inc AS (SELECT * FROM cur WHERE type <> 'HAS_PLAN' AND (src_id IN (SELECT id FROM ids) OR dst_id IN (SELECT id FROM ids))), dg AS (SELECT id FROM (SELECT src_id AS id FROM inc UNION ALL SELECT dst_id FROM inc) GROUP BY id HAVING count(*) > 100), pr AS (SELECT id, type, created_at, CASE WHEN type = 'HAS_ITEM' AND dst_id IN (SELECT id FROM ids) THEN 0 WHEN src_id IN (SELECT id FROM ids) AND dst_id IN (SELECT id FROM ids) THEN CASE WHEN src_id IN (SELECT id FROM dg) OR dst_id IN (SELECT id FROM dg) THEN 2 ELSE 1 END ELSE 3 END AS priority FROM inc) SELECT id, type, priority FROM pr WHERE priority = 0 UNION ALL SELECT id, type, priority FROM (SELECT * FROM pr WHERE priority > 0 ORDER BY priority, created_at, id LIMIT 50)")
 def context_edges(g, s, d):
     ids = reads.live_tasks(g, now()).where("title = 'HW 3 part 7'").select("id").union(reads.ids_frame(g, ["p3", "o4"])).union(reads.hubs(g, now()).where("title like 'Brand#17 red%'").select("id"))
     return C.context_edges(g, ids.distinct(), 50)
 
 
-@query(f"nw AS (SELECT 'n' || o_orderkey AS temp_id, 'plan' AS kind, o_orderpriority || ' review' AS title, o_orderdate AS od FROM orders WHERE o_orderkey % 500 = 1), w AS (SELECT temp_id, title, od FROM nw) SELECT temp_id, live.id FROM w JOIN live ON live.kind = 'plan' AND ({_NORM.format('live.title')} = {_NORM.format('w.title')} OR (abs(epoch(occurred_at) - epoch(od)) <= 43200 AND len(list_intersect(list_filter(string_split({_NORM.format('live.title')}, ' '), lambda x: length(x) >= 4), list_filter(string_split({_NORM.format('w.title')}, ' '), lambda x: length(x) >= 4))) > 0))")
+_WORDS = "list_distinct(list_filter(string_split({0}, ' '), lambda x: length(x) >= 4 AND x NOT IN ('class', 'session', 'with', 'meeting')))"
+
+
+@query(
+    f"nw AS (SELECT 'n' || o_orderkey AS temp_id, {_NORM.format("o_orderpriority || ' ' || o_orderkey % 50")} AS k, epoch(o_orderdate) AS tm FROM orders), lv AS (SELECT id, {_NORM.format('title')} AS k, epoch(occurred_at) AS tm FROM live WHERE kind = 'plan'), "
+    f"n2 AS (SELECT *, CAST(floor(tm / 43200) AS BIGINT) + unnest([-1, 0, 1]) AS b, {_WORDS.format('k')} AS w FROM nw), l2 AS (SELECT *, CAST(floor(tm / 43200) AS BIGINT) AS b, {_WORDS.format('k')} AS w FROM lv) "
+    "SELECT temp_id, lv.id FROM nw JOIN lv ON lv.k = nw.k UNION SELECT temp_id, l2.id FROM n2 JOIN l2 ON l2.b = n2.b WHERE abs(l2.tm - n2.tm) <= 43200 AND len(list_intersect(l2.w, n2.w)) > 0"
+)
 def lookalike_plans(g, s, d):
-    orders = star_table(s, d, "orders").where("o_orderkey % 500 = 1")
-    news = orders.select(F.concat(F.lit("n"), F.col("o_orderkey").cast("string")).alias("temp_id"), F.lit("plan").alias("kind"), F.concat("o_orderpriority", F.lit(" review")).alias("title"), F.col("o_orderdate").alias("occurred_at"), F.lit(None).cast("timestamp").alias("closes_at"), F.lit(None).cast("string").alias("hub_id"))
+    orders = star_table(s, d, "orders")
+    news = orders.select(F.concat(F.lit("n"), F.col("o_orderkey").cast("string")).alias("temp_id"), F.lit("plan").alias("kind"), F.concat("o_orderpriority", F.lit(" "), (F.col("o_orderkey") % 50).cast("string")).alias("title"), F.col("o_orderdate").alias("occurred_at"), F.lit(None).cast("timestamp").alias("closes_at"), F.lit(None).cast("string").alias("hub_id"))
     return C.lookalikes(g, news, now(), ZONE)
 
 
@@ -476,10 +472,10 @@ def sweep_orphans(g, s, d):
     return mutations.orphans(closed, g.nodes.select("id"))
 
 
-@query(f"dts AS (SELECT unnest([DATE '1998-10-20', DATE '1998-10-27', DATE '1998-04-01']) AS dd), st AS (SELECT dd, timezone('UTC', timezone('{ZONE}', dd + TIME '10:20:00')) AS b, timezone('UTC', timezone('{ZONE}', dd + TIME '11:40:00')) AS e FROM dts) SELECT h.id AS hub_id, CAST(epoch(b) AS BIGINT) AS occurred_at, CAST(epoch(e) AS BIGINT) AS end_at, 's5' AS place_id, '1345' AS room FROM hubs h, st WHERE h.id LIKE 'h1%'")
+@query(f"dts AS (SELECT unnest([DATE '1998-10-20', DATE '1998-10-27', DATE '1998-04-01']) AS dd), st AS (SELECT dd, timezone('UTC', timezone('{ZONE}', dd + TIME '10:20:00')) AS b, timezone('UTC', timezone('{ZONE}', dd + TIME '11:40:00')) AS e FROM dts) SELECT h.id AS hub_id, CAST(epoch(b) AS BIGINT) AS occurred_at, CAST(epoch(e) AS BIGINT) AS end_at, 's5' AS place_id, '1345' AS room FROM hubs h, st")
 def spawn_plans(g, s, d):
     dates = F.array(*[F.lit(x).cast("date") for x in ("1998-10-20", "1998-10-27", "1998-04-01")])
-    spawns = reads.hubs(g, now()).where("id like 'h1%'").select(F.col("id").alias("hub_id"), F.lit("lecture").alias("title"), "agent_id", dates.alias("dates"), F.lit("10:20").alias("start_time"), F.lit("11:40").alias("end_time"), F.lit(None).cast("string").alias("time_zone"), F.lit("s5").alias("place_id"), F.lit("1345").alias("room"))
+    spawns = reads.hubs(g, now()).select(F.col("id").alias("hub_id"), F.lit("lecture").alias("title"), "agent_id", dates.alias("dates"), F.lit("10:20").alias("start_time"), F.lit("11:40").alias("end_time"), F.lit(None).cast("string").alias("time_zone"), F.lit("s5").alias("place_id"), F.lit("1345").alias("room"))
     after = mutations.spawn_plans(g, spawns, now(), ZONE)
     made = after.nodes.where("title = 'lecture'").join(after.plans, F.col("id") == F.col("node_id")).select("id", "occurred_at", "end_at")
     held = after.edges.where("type = 'HAS_PLAN'").select(F.col("src_id").alias("hub_id"), F.col("dst_id").alias("id"))
@@ -500,9 +496,9 @@ def update_nodes(g, s, d):
     return mutations.update_nodes(g, patches, now()).nodes.where("kind = 'plan'").select("id", "title", seconds("updated_at"))
 
 
-@query("SELECT node_id, CAST(done AS VARCHAR) AS old_value FROM tasks WHERE done AND node_id LIKE 't1%'")
+@query("SELECT node_id, CAST(done AS VARCHAR) AS old_value FROM tasks WHERE done")
 def mark_done_history(g, s, d):
-    marks = g.tasks.where("node_id like 't1%'").select(F.col("node_id").alias("id"), F.lit(True).alias("has_done"), F.lit(False).alias("new_done"))
+    marks = g.tasks.select(F.col("node_id").alias("id"), F.lit(True).alias("has_done"), F.lit(False).alias("new_done"))
     after = mutations.mark_done(g, marks, now())
     return after.history.where((F.col("field") == "done") & (F.col("new_value") == "false")).select("node_id", "old_value")
 
@@ -521,9 +517,9 @@ def hub_sessions(g, s, d):
     return mutations.hub_sessions(g, "h2", "1997-01-01", "1998-12-31", ZONE)
 
 
-@query("SELECT DISTINCT src_id AS id FROM cur JOIN nodes ON nodes.id = src_id WHERE type = 'HAS_ITEM' AND dst_id LIKE 't1%'")
+@query("SELECT DISTINCT src_id AS id FROM cur JOIN nodes ON nodes.id = src_id WHERE type = 'HAS_ITEM'")
 def verified_hubs(g, s, d):
-    ids = g.tasks.where("node_id like 't1%'").select(F.col("node_id").alias("id"))
+    ids = g.tasks.select(F.col("node_id").alias("id"))
     return mutations.verify_tasks(g, ids, now()).nodes.where("verified_at is not null").select("id")
 
 
@@ -592,9 +588,16 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _QUERIES["recall_filter"](spark, sf_dir)
 
 
+def _whole() -> None:
+    """Registers the queries of the other modules."""
+    importlib.import_module("kairograph.plans.changes")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _whole()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _whole()
     return dict(_SQL)

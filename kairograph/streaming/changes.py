@@ -1,22 +1,56 @@
-"""The change stream: one event for each request that changed something."""
+"""The change stream: one event for each request that changed something, handed to all who listen."""
 
 from __future__ import annotations
 
+import threading
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # POST routes that only read.
-READ_ONLY = ("/recall", "/query", "/graph", "/history/search", "/planner/plans", "/planner/tasks", "/timeline", "/tasks")
+READ_ONLY = ("/graph", "/history/search", "/planner/plans", "/planner/tasks", "/query", "/recall", "/tasks", "/timeline")
 REQUEST_DDL = "at timestamp, method string, path string, status int"
 
 
 def change_events(requests: DataFrame) -> DataFrame:
     """Requests that changed something as (type, at): no GET, no failure, no read by POST.  Works on streams too."""
-    changed = (F.upper("method") != "GET") & (F.col("status") < 400) & ~((F.upper("method") == "POST") & F.col("path").isin(*READ_ONLY))
+    path = F.regexp_replace("path", r"\?.*$", "")
+    changed = (F.upper("method") != "GET") & (F.col("status") < 400) & ~((F.upper("method") == "POST") & path.isin(*READ_ONLY))
     return requests.where(changed).select(F.lit("changed").alias("type"), "at")
 
 
-def stream(spark: SparkSession, path: str, checkpoint: str, sink) -> object:
+def stream(spark: SparkSession, path: str, checkpoint: str, sink: Callable[[DataFrame, int], None]):
     """Reads request logs as they arrive and hands each batch of change events to sink(df, batch_id)."""
     requests = spark.readStream.schema(REQUEST_DDL).parquet(path)
     return change_events(requests).writeStream.option("checkpointLocation", checkpoint).foreachBatch(sink).start()
+
+
+class FanOut:
+    """A sink of stream() that tells every subscriber of a batch with changes: (number of changes, the last one's time).
+
+    A batch that was told already (after a restart) is not told again.  A subscriber that fails is dropped."""
+
+    def __init__(self):
+        self._lock, self._held, self._next, self._last = threading.Lock(), {}, 0, -1
+
+    def subscribe(self, told: Callable[[int, object], None]) -> Callable[[], None]:
+        """Returns what ends the subscription."""
+        with self._lock:
+            key, self._next = self._next, self._next + 1
+            self._held[key] = told
+        return lambda: self._held.pop(key, None)
+
+    def __call__(self, events: DataFrame, batch_id: int) -> None:
+        if batch_id <= self._last:
+            return
+        n, at = events.agg(F.count("*"), F.max("at")).first()
+        self._last = batch_id
+        if n:
+            with self._lock:
+                held = list(self._held.items())
+            for key, told in held:
+                try:
+                    told(n, at)
+                except Exception:
+                    self._held.pop(key, None)
