@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,9 +49,9 @@ def title_anchors(graph: Graph, query: str, now: Column, limit: int = TITLE_ANCH
     spoken = F.regexp_extract_all(F.lower(F.lit(query)), F.lit(r"(\p{L}{4,})"), F.lit(1))
     taken = F.explode(F.flatten(F.transform(person_names(F.col("title"), F.col("aliases")), lambda n: F.split(F.lower(n), r"\s+"))))
     known = reads.persons(graph).select(taken.alias("w")).where(F.array_contains(spoken, F.col("w"))).agg(F.collect_set("w").alias("w"))
-    words = known.select(query_words(F.lit(query), F.col("w")).alias("words"))
-    found = reads.live_nodes(graph, now).where(F.col("kind").isin("plan", "task")).join(graph.tasks.select(F.col("node_id").alias("id"), "closes_at"), "id", "left")
-    found = found.join(F.broadcast(words), F.lit(True)).where(F.exists("words", lambda w: F.contains(F.lower("title"), w)))  # one row of words
+    words = known.select(query_words(F.lit(query), F.col("w")).alias("words")).first().words  # of one request
+    named = reduce(or_, [F.contains(F.lower("title"), F.lit(w)) for w in words], F.lit(False))
+    found = reads.live_nodes(graph, now).where(F.col("kind").isin("plan", "task") & named).join(graph.tasks.select(F.col("node_id").alias("id"), "closes_at"), "id", "left")
     away = F.abs(F.unix_micros(F.coalesce("occurred_at", "closes_at")) - F.unix_micros(now))
     return found.withColumn("away", away).orderBy(F.asc_nulls_last("away"), "id").limit(limit).select("id", "kind", "title", "away")
 

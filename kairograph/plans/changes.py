@@ -10,7 +10,7 @@ from kairograph.functions import time as TM
 from kairograph.operators import candidates as C
 from kairograph.operators import cells, lint, mutations, planner, reads, recall, validation
 from kairograph.plans.oracle import NOW, ZONE, local
-from kairograph.plans.registry import _LINT_SQL, _NORM, _TYPES, CONFIG, DAY, WHOLE, graph, now, query, seconds, vec
+from kairograph.plans.registry import _HOP1, _HOP2, _LINT_SQL, _SQL_TEXT, _TYPES, CONFIG, DAY, WHOLE, graph, now, query, seconds, vec
 from kairograph.sources.graph import Graph, integrity, shared_dir, star_table
 
 _AT = f"'{NOW}'"
@@ -365,8 +365,6 @@ _FLOOR = "SELECT id FROM (SELECT id, round(list_cosine_similarity(live.embedding
 
 
 def _candidates_sql() -> str:
-    from kairograph.plans.registry import _SQL_TEXT
-
     tasks, persons = _SQL_TEXT["open_task_candidates"], _SQL_TEXT["mentioned_persons"]
     first, rest = tasks.split(" SELECT id FROM live_tasks", 1)
     return f"{first}, v3 AS ({_FLOOR.format(key=3, n=20)}), v5 AS ({_FLOOR.format(key=5, n=5)}), ot AS (SELECT id FROM live_tasks{rest}), mp AS ({persons}) SELECT id FROM v3 UNION SELECT id FROM v5 UNION SELECT id FROM ot UNION SELECT id FROM mp UNION SELECT id FROM live WHERE id IN ('h1', 'p7')"
@@ -377,6 +375,25 @@ def ingest_candidates(g, s, d):
     return C.candidates(g, WHOLE, [vec(s, d), vec(s, d, 5)], "agent-3", ["h1"], now(), CONFIG, ("p7",))
 
 
+# recall by a query: anchors and up to three hops, each unless the one before gained nothing or filled the budget
+
+
+def _recall_sql() -> str:
+    anchors = _SQL_TEXT["query_anchors"].rsplit(" SELECT id, min(source)", 1)[0]
+    first, second = _HOP1.split(", h1 AS ", 1)[1], _HOP2.split(", f2 AS ", 1)[1].split(", w2 AS ", 1)[0]
+    scored = "{n} AS (SELECT x.id, x.hop, 0.4 * CASE WHEN embedding IS NULL THEN 0.0 ELSE list_cosine_similarity(embedding, v) END + 0.2 / (1 + x.hop) + 0.15 * exp(-ln(2) * greatest(0, (epoch_us(now) - epoch_us(coalesce(occurred_at, created_at))) / 86400e6) / 30) + 0.1 * CASE WHEN max(access_count) OVER () <= 0 THEN 0 ELSE ln(1 + access_count) / ln(1 + max(access_count) OVER ()) END + 0.15 * x.confidence AS total, length(title) + length(coalesce(body, '')) AS chars FROM {w} x JOIN live ON live.id = x.id, q, k)"
+    gate = "g{k} AS (SELECT count(*) FILTER (hop = {k} AND total >= 0.15) < 1 OR ceil(coalesce(sum(chars) FILTER (total >= 0.15), 0) / 4) >= 4000 AS stop FROM s{k})"
+    wider = "w{n} AS (SELECT * FROM w{k} UNION ALL SELECT id, {n}, confidence FROM h{n} WHERE id NOT IN (SELECT id FROM w{k}) AND NOT (SELECT stop FROM g{k}))"
+    third = second.replace("w1", "w2").replace("hop = 1", "hop = 2").replace("f2", "f3").replace("h2 AS", "h3 AS")
+    parts = [anchors, "a0 AS (SELECT id FROM u GROUP BY id ORDER BY min(source), min(key), id LIMIT 8)", f"h1 AS {first}", scored.format(n="s1", w="w1"), gate.format(k=1), f"f2 AS {second}", wider.format(n=2, k=1), scored.format(n="s2", w="w2"), gate.format(k=2), f"f3 AS {third}", wider.format(n=3, k=2), scored.format(n="s3", w="w3")]
+    return ", ".join(parts) + " SELECT id, hop, round(total, 5) AS total FROM s3 ORDER BY s3.total DESC, hop, id LIMIT 20"
+
+
+@query(_recall_sql())
+def recall_query(g, s, d):
+    return recall.recall(g, now(), ZONE, CONFIG, query="urgent review", vec=vec(s, d)).nodes.select("id", "hop", F.round("total", 5).alias("total"))
+
+
 # approximate vector search
 
 

@@ -318,11 +318,6 @@ def recall_from(g, s, d):
     return recall.recall(g, now(), ZONE, CONFIG, start_ids=["p3", "s5"], hops=1, limit=100).nodes.select("id", "hop")
 
 
-@query()
-def recall_query(g, s, d):
-    return recall.recall(g, now(), ZONE, CONFIG, query="urgent review", vec=vec(s, d)).nodes.select("id", "hop", F.round("total", 5).alias("total"))
-
-
 # graph reads
 
 
