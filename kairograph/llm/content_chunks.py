@@ -5,9 +5,11 @@ normal size and fewer after it (normalised chunking), within a least and a great
 its chunks' digests with their lengths, so text that is moved or inserted changes only the chunks around it.  The
 containment of one fingerprint in another is the length of the shared chunks over the length of its own.
 
-Null texts count as empty: an empty fingerprint, contained fully in any.  Rows are ordered by id, nulls first, then
-by the text's checksum; the row after the last is the first, so a single row is its own neighbour.  Repeated rows get equal
-fingerprints.  Ids must be integers.  Only the named columns are read.
+Null texts count as empty: an empty fingerprint, which is like another empty one (1) and like no other (0).  Rows are
+ordered by id, nulls first, then by the text's checksum; the row after the last is the first, so a single row is its own
+neighbour.  Repeated rows get equal fingerprints.  Ids must be integers, anything else raises a TypeError.  Very long
+texts are chunked whole.  Only the named columns are read, so others may have any name.  An empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kairograph.llm.common import STEP_BYTES, fresh, table, take_turn
 
@@ -75,9 +78,9 @@ def chunk_sets(texts: list[bytes]) -> list[dict[str, int]]:
 
 
 def containment(own: dict[str, int], other: dict[str, int]) -> float:
-    """The share of own's length whose chunks other has too; 1 if own is empty."""
+    """The share of own's length whose chunks other has too; of an empty one 1 if other is empty too, else 0."""
     total = sum(own.values())
-    return sum(n for d, n in own.items() if d in other) / total if total else 1.0
+    return sum(n for d, n in own.items() if d in other) / total if total else float(not other)
 
 
 def written(chunks: dict[str, int]) -> str:
@@ -86,6 +89,8 @@ def written(chunks: dict[str, int]) -> str:
 
 def in_order(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """(part, borrowed, id, crc, text): rows dealt by ranges of ids, each range with the first rows of the next one."""
+    if not isinstance(docs.schema[id_column].dataType, T.IntegralType):
+        raise TypeError(f"{id_column} must be an integer, to put the rows in order")
     rows = fresh(docs, id_column, text_column).toDF("id", "text").select("id", "text", F.coalesce(F.col("id").cast("long"), F.lit(NULL_KEY)).alias("key"))
     n, low = rows.agg(F.count("*"), F.min("key")).first()
     parts = max(1, min(MOST_RANGES, n // RANGE_ROWS))

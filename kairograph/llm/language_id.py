@@ -9,7 +9,8 @@ Training takes at most about sample_per_language documents of each label (chosen
 prediction reads the text alone.  A text that is null or has no letter gives `und` with score 0; so does any text if
 nothing was learned.  Ties go to the first label in order.  The score is the corrected share of the text's n-grams that
 the language holds.  Repeated rows get equal answers; whole texts are read, whatever their length; only the named columns
-are read.
+are read, so others may have any name.  An empty table gives an empty result.  Labels are languages: their filters are
+held by every task, so their number must be small.
 """
 
 from __future__ import annotations
