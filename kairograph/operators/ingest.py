@@ -25,6 +25,15 @@ from kairograph.operators.recall import vector
 from kairograph.sources.graph import Graph, cut
 
 
+def read_prompt(*paths: str) -> str:
+    """What an extractor is told beforehand: the files one after another, a rule between them."""
+    texts = []
+    for path in paths:
+        with open(path, encoding="utf-8") as f:
+            texts.append(f.read())
+    return "\n---\n\n".join(texts)
+
+
 def with_retry(call: Callable[[], Any], attempts: int = 3, backoff: tuple[float, ...] = (0.5, 1.0, 2.0), sleep: Callable[[float], None] = time.sleep) -> Any:
     """Calls again after a failure that may pass: no answer, or a status of 500 and more."""
     for attempt in range(attempts):

@@ -394,6 +394,46 @@ def recall_query(g, s, d):
     return recall.recall(g, now(), ZONE, CONFIG, query="urgent review", vec=vec(s, d)).nodes.select("id", "hop", F.round("total", 5).alias("total"))
 
 
+def _coverage_sql() -> str:
+    return _recall_sql().rsplit(" SELECT id, hop, round", 1)[0] + ", best AS (SELECT total FROM s3 ORDER BY total DESC LIMIT 5) SELECT round(avg(total), 5) AS coverage, avg(total) >= 0.25 AS sufficient, (SELECT max(hop) FROM w3) AS hops FROM best"
+
+
+@query(_coverage_sql())
+def recall_coverage(g, s, d):
+    found = recall.recall(g, now(), ZONE, CONFIG, query="urgent review", vec=vec(s, d))
+    return s.createDataFrame([(round(found.coverage, 5), found.sufficient, found.hops_taken)], "coverage double, sufficient boolean, hops int")
+
+
+# lookalikes of tasks and of what was shown, and what a first extraction got wrong
+
+
+def _task_news(g):
+    hubs = reads.hub_of(g, now(), ("HAS_ITEM",)).select(F.col("item_id").alias("id"), "hub_id")
+    own = reads.live_tasks(g, now()).join(hubs, "id")
+    return own.select(F.concat(F.lit("n"), "id").alias("temp_id"), F.lit("task").alias("kind"), F.concat(F.lit("other "), "id").alias("title"), F.lit(None).cast("timestamp").alias("occurred_at"), "closes_at", "hub_id")
+
+
+_SIBLINGS = "own AS (SELECT t.id, hub_id, close_day FROM live_tasks t JOIN ih ON item_id = t.id), sib AS (SELECT DISTINCT 'n' || own.id AS temp_id, t.id FROM own JOIN cur ON cur.src_id = own.hub_id AND type = 'HAS_ITEM' JOIN live_tasks t ON t.id = cur.dst_id AND t.close_day = own.close_day)"
+_HUBS = "ih AS (SELECT dst_id AS item_id, arg_min(src_id, (e.created_at, e.id)) AS hub_id FROM cur e JOIN live ON live.id = src_id WHERE type = 'HAS_ITEM' GROUP BY dst_id)"
+
+
+@query(f"{_HUBS}, {_SIBLINGS} SELECT temp_id, id FROM sib")
+def lookalike_tasks(g, s, d):
+    return C.lookalikes(g, _task_news(g), now(), ZONE)
+
+
+@query(f"{_HUBS}, {_SIBLINGS} SELECT temp_id, id FROM sib WHERE id NOT IN (SELECT id FROM live_tasks WHERE done)")
+def lookalikes_not_shown(g, s, d):
+    return C.lookalikes(g, _task_news(g), now(), ZONE, reads.live_tasks(g, now()).where("done").select("id"))
+
+
+@query(f"{_BAD} SELECT 'unlinked' AS reason, 'new' || o_orderkey AS value FROM orders WHERE 'new' || o_orderkey NOT IN (SELECT d FROM be2) UNION ALL SELECT 'edge type', t FROM (SELECT DISTINCT t FROM be2 WHERE t = 'ODD_')")
+def recheck_reasons(g, s, d):
+    edges = _bad_edges(s, d)
+    loose = C.unlinked(_creates(s, d), edges).select(F.lit("unlinked").alias("reason"), F.col("temp_id").alias("value"))
+    return loose.union(C.unknown_edge_types(edges).select(F.lit("edge type"), "type"))
+
+
 # approximate vector search
 
 

@@ -67,7 +67,7 @@ def vec(spark: SparkSession, sf_dir: str, key: int = 3):
 
 @query("SELECT id, kind, title, access_count FROM live")
 def live_nodes(g, s, d):
-    return reads.live_nodes(g, now()).select("id", "kind", "title", "access_count")
+    return reads.live_nodes(g, now()).orderBy(*reads.creation_order()).select("id", "kind", "title", "access_count")
 
 
 @query("SELECT e.id, type, confidence FROM cur e WHERE src_id IN (SELECT id FROM live) AND dst_id IN (SELECT id FROM live)")

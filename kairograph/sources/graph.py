@@ -44,6 +44,17 @@ class Graph:
         return {f.name: getattr(self, f.name) for f in fields(self)}
 
 
+def open_session(name: str = "kairograph", shared: str | None = None, **settings: str) -> SparkSession:
+    """A session as the engine wants it: instants in UTC, plans adapted as they run, and the shared folder that is given.
+    settings: more of Spark's, with _ for the dots of their names."""
+    builder = SparkSession.builder.appName(name).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true").config("spark.sql.adaptive.skewJoin.enabled", "true")
+    if shared:
+        builder = builder.config("spark.checkpoint.dir", shared)
+    for key, value in settings.items():
+        builder = builder.config(key.replace("_", "."), value)
+    return builder.getOrCreate()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir; a local one only where all run on this machine."""
     sc = spark.sparkContext

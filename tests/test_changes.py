@@ -7,12 +7,11 @@ from pyspark.sql import functions as F
 from kairograph.config import Conflict, EngineConfig, InvalidRequest, NotFound, UnlinkedNode, UpstreamError, load_config, request_line
 from kairograph.functions import time as TM
 from kairograph.operators import candidates, cells, ingest, mutations, recall, validation
-from kairograph.sources.graph import current_version, load_snapshot, save_snapshot
+from kairograph.sources.graph import current_version, load_snapshot, open_session, save_snapshot
 from kairograph.streaming.changes import REQUEST_DDL, FanOut, stream
 from tests.test_graph import NOW, NY, graph, ids, stamp  # noqa: F401
 
 
-
 def at():
     return stamp(NOW)
 
@@ -121,6 +120,16 @@ def test_lookalikes_that_were_shown_are_no_news(graph, spark):  # noqa: F811
     assert ids(candidates.lookalikes(graph, news, at(), NY, table(spark, "id string", ("b",)))) == []
 
 
+def test_prompt_files_are_joined(tmp_path):
+    for name in ("a", "b"):
+        (tmp_path / name).write_text(name * 2)
+    assert ingest.read_prompt(str(tmp_path / "a"), str(tmp_path / "b")) == "aa\n---\n\nbb"
+
+
+def test_session_settings(spark):
+    assert open_session(spark_sql_shuffle_partitions="4").conf.get("spark.sql.session.timeZone") == "UTC"
+
+
 def test_retry_and_vectors():
     calls, slept = [], []
 
