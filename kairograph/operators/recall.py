@@ -72,7 +72,7 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 def expand(walk: DataFrame, frontier: DataFrame, edges: DataFrame, hop: int, prune_hubs: bool) -> DataFrame:
     """(id, hop, confidence): targets first reached in this hop, with the most confident way there."""
-    inc = reads.incident_edges(edges, frontier.select("id")).select("id", "src_id", "dst_id", "confidence")
+    inc = cut(reads.incident_edges(edges, frontier.select("id")).select("id", "src_id", "dst_id", "confidence"))
     both = inc.select(F.col("src_id").alias("from"), F.col("dst_id").alias("to"), F.col("confidence").alias("c")).union(inc.select("dst_id", "src_id", "confidence"))
     start = frontier.select(F.col("id").alias("from"), F.col("confidence").alias("parent"))
     if prune_hubs:

@@ -69,9 +69,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """Cut the lineage: a table in the shared folder, whose size the optimizer knows, so that joins with a small one are
+    broadcast and with a large one are not."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/kairograph/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def assert_schema(df: DataFrame, name: str) -> DataFrame:
