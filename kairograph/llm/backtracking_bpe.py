@@ -86,12 +86,13 @@ class BacktrackingBPE:
         longest = self.automaton_longest(text)
         shorter, length, known = self.shorter, self.length, self.pairs.get
         out: list[int] = []
-        position, failed, size, last = 0, 0, len(text), -1
+        position, size, last = 0, len(text), -1
+        failed: bytearray | None = None  # a bit for each position, made at the first failure
         token = longest[0]
         while position < size:
             while token >= 0:
                 end = position + length[token]
-                if not (failed and failed >> end & 1):
+                if failed is None or not failed[end >> 3] >> (end & 7) & 1:
                     if last < 0:
                         break
                     fits = known(last << 32 | token)
@@ -105,7 +106,9 @@ class BacktrackingBPE:
             else:
                 if not out:
                     raise ValueError("a text has symbols that no token covers")
-                failed |= 1 << position
+                if failed is None:
+                    failed = bytearray((size >> 3) + 1)
+                failed[position >> 3] |= 1 << (position & 7)
                 token = out.pop()
                 position -= length[token]
                 last = out[-1] if out else -1

@@ -40,10 +40,38 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/kairograph/{label}-{uuid.uuid4().hex}"
 
 
+_owners: list[str] = []
+_scratch: dict[str, list[str]] = {}
+
+
+@contextlib.contextmanager
+def scratch_of(owner: str):
+    """What stored() writes inside is the owner's, to be dropped when its results are written."""
+    _owners.append(owner)
+    try:
+        yield
+    finally:
+        _owners.pop()
+
+
+def drop_scratch(spark: SparkSession, owner: str, reader: DataFrame | None = None) -> None:
+    """Deletes what the owner's operators have stored so far, but what the reader's plan still reads."""
+    paths = _scratch.pop(owner, [])
+    read = {part for f in (reader.inputFiles() if reader is not None and paths else []) for part in f.split("/")}
+    for path in paths:
+        if path.rsplit("/", 1)[1] in read:
+            _scratch.setdefault(owner, []).append(path)
+            continue
+        found = spark._jvm.org.apache.hadoop.fs.Path(path)
+        found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write to the shared folder and read back, so a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
+    if _owners:
+        _scratch.setdefault(_owners[-1], []).append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -1,14 +1,16 @@
 """Lexical retrieval packing: a sharded BM25 inverted index groups documents into training windows.
 
-Documents are dealt to shards by their rarest token (vocabulary ids are in order of merging, so the highest id is taken
-for it) and then by id, by range, so that documents that share it lie together and no key makes a shard large.  A shard's
-documents have one index, with document frequencies over all documents; documents of other shards are not found.  The first
-unused document is the seed of a window; all its terms retrieve unused neighbours by BM25, which fill the window in
+Documents are dealt to shards by the pivot document they score best with, and then by id, by range, so that documents on
+like matters lie together and no key makes a shard large.  The pivots are drawn from a sample of documents of bounded
+size and put in an order in which like ones are neighbours; they only decide where a document is indexed.  A shard's
+documents have one index, with document frequencies over all documents; documents of other shards are not found.  The
+first unused document is the seed of a window; all its terms retrieve unused neighbours by BM25, which fill the window in
 order of score.  A document that does not fit is cut and its rest is the next window's seed, so windows are full.  What
 is left at a shard's end is cut into sequences whose lengths are powers of two, so no sequence needs padding.
 
 Null texts count as empty and make a piece of the end id alone.  Null ids are kept as they are.  Repeated rows are packed
-each for itself.  Very long texts span windows.  An empty table gives an empty result.  Only named columns are read.
+each for itself.  Very long texts span windows.  An empty table gives an empty result.  Only named columns are read, so
+others may have any name.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kairograph.llm.common import bytes_of, fresh, map_steps, stored, table, take_turn
+from kairograph.llm.common import fresh, map_steps, stored, table, take_turn
 from kairograph.llm.word_codec import OWNER, codec
 
 WINDOW = 4096
@@ -31,21 +33,82 @@ INDEX_TOKENS, SHARD_TOKENS = 1_000_000, 8_000_000
 K1, B = 1.2, 0.75
 #: Neighbours put in order at a time; all come in turn.
 AT_ONCE = 64
+#: A term that more than one in so many documents have keeps its weights as a row of them all.
+DENSE = 8
 IDS = 1 << 16
+#: Documents sampled for the pivots (about so many), and pivots.
+SAMPLE, PIVOTS = 1024, 64
+#: Text bytes encoded at a time.
+ENCODE_BYTES = 4 << 20
+
+
+def bm25(tf: np.ndarray, size, idf: np.ndarray, mean: float) -> np.ndarray:
+    return (idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean))).astype(np.float32)
+
+
+def inverse_frequency(frequency: np.ndarray, n: int, end_id: int) -> np.ndarray:
+    weights = np.log1p((n - frequency + 0.5) / (frequency + 0.5)).astype(np.float32)
+    weights[end_id] = 0  # the mark of the end is no term
+    return weights
+
+
+def pivot_weights(sampled: list[np.ndarray], end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(term, pivot, weight): BM25 weights of the first PIVOTS documents over the norm of each, like pivots side by side."""
+    if not sampled:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
+    frequency = np.bincount(np.concatenate([np.unique(x) for x in sampled]), minlength=IDS)
+    idf, mean = inverse_frequency(frequency, len(sampled), end_id), float(np.mean([len(x) for x in sampled]))
+    counted = [np.unique(x, return_counts=True) for x in sampled[:PIVOTS]]
+    weights = [bm25(tf, len(x), idf[terms], mean) for x, (terms, tf) in zip(sampled, counted)]
+    own = np.sqrt([max(float(w.sum()), 1e-9) for w in weights])
+    full = np.zeros((IDS, len(weights)), np.float32)
+    for j, ((terms, _), w) in enumerate(zip(counted, weights)):
+        full[terms, j] = w / own[j]
+    like = np.array([full[terms].sum(axis=0) for terms, _ in counted]) / own[:, None]
+    like = like + like.T + 1e-6
+    scale = 1 / np.sqrt(like.sum(axis=1))
+    place = np.linalg.eigh(scale[:, None] * like * scale)[1][:, -min(2, len(own))]  # the second vector puts them on a line
+    full = full[:, np.argsort(place, kind="stable")]
+    terms, pivots = np.nonzero(full)
+    return terms, pivots, full[terms, pivots]
+
+
+def pivots(rows: DataFrame, tokenizer_path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """pivot_weights() of about SAMPLE distinct texts chosen by hash; rows has id and text."""
+    n = rows.count()
+    grain = 1 << 40
+    share = F.lit(grain if n <= SAMPLE else SAMPLE * grain // n)
+    some = rows.where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("id", "text"), F.lit(grain)) < share)).select("text").distinct()
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = codec(tokenizer_path).encode_all(batch.column("text"))
+        return pa.record_batch([pa.array(found, pa.binary())], ["ids"])
+
+    found = map_steps(some, work, "ids binary", owner=OWNER).orderBy(F.xxhash64("ids"), "ids").limit(2 * SAMPLE).collect()
+    return pivot_weights([np.frombuffer(r.ids, "<u2") for r in found])
 
 
 def tokenised(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, ids, n, lead): little-endian 16-bit ids with the end id last, their number, and the highest id."""
+    """(id, ids, n, near): little-endian 16-bit ids with the end id last, their number, and the pivot of most score."""
     end = np.array([end_id], "<u2").tobytes()
+    rows = fresh(docs, id_column, text_column).toDF("id", "text")
+    terms, columns, weights = pivots(rows, tokenizer_path)
+    shared = docs.sparkSession.sparkContext.broadcast((terms, columns, weights, int(columns.max(initial=0)) + 1))
+    held: list[np.ndarray] = []
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        own = codec(tokenizer_path)
-        ids = [own.encode(t) + end for t in bytes_of(batch)]
-        lead = [int(np.frombuffer(x, "<u2").max()) for x in ids]
-        return pa.record_batch([batch.column(id_column), pa.array(ids, pa.binary()), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(lead, pa.int32())], ["id", "ids", "n", "lead"])
+        if not held:
+            terms, columns, weights, n = shared.value
+            full = np.zeros((IDS, n), np.float32)
+            full[terms, columns] = weights
+            held.extend([full, full.any(axis=1)])
+        full, known = held
+        ids = [x + end for x in codec(tokenizer_path).encode_all(batch.column("text"))]
+        terms = [np.unique(np.frombuffer(x, "<u2")) for x in ids]
+        near = [int(full[t[known[t]]].sum(axis=0).argmax()) for t in terms]
+        return pa.record_batch([batch.column("id"), pa.array(ids, pa.binary()), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(near, pa.int32())], ["id", "ids", "n", "near"])
 
-    rows = fresh(docs, id_column, text_column).withColumnRenamed(text_column, "text")
-    return map_steps(rows, work, f"id {rows.schema[id_column].dataType.simpleString()}, ids binary, n long, lead int", owner=OWNER)
+    return map_steps(rows, work, f"id {rows.schema['id'].dataType.simpleString()}, ids binary, n long, near int", owner=OWNER, size=ENCODE_BYTES)
 
 
 def document_frequencies(tokens: DataFrame) -> tuple[np.ndarray, int, int]:
@@ -97,30 +160,32 @@ class Index:
             tf = np.diff(np.r_[first, len(key)]).astype(np.float32)
             key = key[first]
             doc, term = (key & 0xFFFFFFFF).astype(np.int32), (key >> 32).astype(np.uint16)
-            parts.append((doc, term, (idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[doc] / mean))).astype(np.float32)))
+            parts.append((doc, term, bm25(tf, sizes[doc], idf[term], mean)))
             at = stop
         doc, term, weight = (np.concatenate(x) for x in zip(*parts))
         order = np.argsort(term, kind="stable")
         self.doc, self.weight = doc[order], weight[order]
         self.bounds = np.r_[0, np.cumsum(np.bincount(term, minlength=IDS))]
-        often = np.flatnonzero(4 * np.diff(self.bounds) > len(docs))
-        self.dense = {int(t): np.zeros(len(docs), np.float32) for t in often}
+        self.often = DENSE * np.diff(self.bounds) > len(docs)
+        self.dense = {int(t): np.zeros(len(docs), np.float32) for t in np.flatnonzero(self.often)}
         for t, row in self.dense.items():
             row[self.doc[self.bounds[t] : self.bounds[t + 1]]] = self.weight[self.bounds[t] : self.bounds[t + 1]]
-        self.docs, self.score = docs, np.zeros(len(docs), np.float32)
+        self.docs = docs
 
     def neighbours(self, seed: int, used: np.ndarray) -> Iterator[int]:
         """The unused documents that share a term with the seed, best first by all its terms, ties by position."""
-        self.score[:] = 0
-        for t in np.unique(self.docs[seed]).tolist():
-            if t in self.dense:
-                self.score += self.dense[t]
-            else:
-                x, y = self.bounds[t], self.bounds[t + 1]
-                self.score[self.doc[x:y]] += self.weight[x:y]
-        self.score[used] = 0
-        left = np.flatnonzero(self.score)
-        score = self.score[left]
+        terms = np.unique(self.docs[seed])
+        rare = terms[~self.often[terms]]
+        slices = [slice(x, y) for x, y in zip(self.bounds[rare].tolist(), self.bounds[rare.astype(np.int64) + 1].tolist())]
+        if slices:
+            total = np.bincount(np.concatenate([self.doc[s] for s in slices]), np.concatenate([self.weight[s] for s in slices]), len(self.docs)).astype(np.float32)
+        else:
+            total = np.zeros(len(self.docs), np.float32)
+        for t in terms[self.often[terms]].tolist():
+            total += self.dense[t]
+        total[used] = 0
+        left = np.flatnonzero(total)
+        score = total[left]
         while len(left):
             best = score >= (np.partition(score, -AT_ONCE)[-AT_ONCE] if len(left) > AT_ONCE else 0)
             yield from left[best][np.argsort(-score[best], kind="stable")].tolist()
@@ -200,9 +265,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
         raise ValueError("the window must be a power of two")
     tokens = stored(tokenised(docs, tokenizer_path, end_id, id_column, text_column), "tokens")
     frequency, n, total = document_frequencies(tokens)
-    weights = np.log1p((n - frequency + 0.5) / (frequency + 0.5)).astype(np.float32)
-    weights[end_id] = 0  # the mark of the end is no term
-    idf = docs.sparkSession.sparkContext.broadcast(weights)
+    idf = docs.sparkSession.sparkContext.broadcast(inverse_frequency(frequency, n, end_id))
     mean = max(total / max(n, 1), 1.0)
     shards = max(1, -(-total // SHARD_TOKENS))
 
@@ -240,7 +303,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
             yield from ready()
 
     kind = tokens.schema["id"].dataType.simpleString()
-    dealt = tokens.select("id", "ids", "lead").repartitionByRange(shards, "lead", "id", F.crc32("ids")).sortWithinPartitions("lead", "id", F.crc32("ids"))
+    dealt = tokens.select("id", "ids", "near").repartitionByRange(shards, "near", "id", F.crc32("ids")).sortWithinPartitions("near", "id", F.crc32("ids"))
     pieces = dealt.mapInArrow(fill, f"id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
     return pieces.withColumnRenamed("id", id_column)
 

@@ -1,8 +1,8 @@
 """Exact ids of a word-end BPE vocabulary file (lower case, white space dropped) with a memo over words.
 
 White space never reaches the merges, so words are encoded one by one and remembered.  Words of plain Latin letters,
-digits and ASCII marks go through BacktrackingBPE; any other word, and any text that may hold a special token's string,
-goes to the tokenizers library itself.
+digits and ASCII marks are cut as the file's split pattern says and go straight to the merges of the tokenizers library;
+any other word, and any text that may hold a special token's string, goes through the library whole.
 """
 
 from __future__ import annotations
@@ -12,8 +12,9 @@ import json
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-from kairograph.llm.backtracking_bpe import BacktrackingBPE
 from kairograph.llm.common import TwoGenerations, hold
 
 OWNER = "words"
@@ -34,6 +35,14 @@ def byte_marks() -> dict[int, str]:
     return {b: chr(b) for b in prints} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def _bytes_of(words: pa.Array) -> list[bytes]:
+    """The strings of an array without nulls as UTF-8 bytes."""
+    _, ends, flat = words.buffers()
+    cuts = np.frombuffer(ends, np.int32)[words.offset : words.offset + len(words) + 1].tolist()
+    data = flat.to_pybytes() if flat else b""
+    return [data[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
 class WordCodec:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -41,39 +50,42 @@ class WordCodec:
         self.library = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
-        suffix = model["model"]["end_of_word_suffix"]
-        vocab = {t.removesuffix(suffix) + END if t.endswith(suffix) else t: i for t, i in model["model"]["vocab"].items()}
-        ranks = {}
-        for rank, pair in enumerate(model["model"]["merges"]):
-            a, b = (t.removesuffix(suffix) + END if t.endswith(suffix) else t for t in (pair.split(" ") if isinstance(pair, str) else pair))
-            if (a_id := vocab.get(a)) is not None and (b_id := vocab.get(b)) is not None:
-                ranks[a_id, b_id] = (rank, vocab[a + b])
-        for token in model["added_tokens"]:
-            vocab.pop(token["content"], None)
-        self.specials = tuple({t["content"][:2].encode() for t in model["added_tokens"]})
-        if max(vocab.values()) > 0xFFFF:
+        if max(model["model"]["vocab"].values()) > 0xFFFF:
             raise ValueError("ids must fit 16 bits")
-        self.bpe = BacktrackingBPE(vocab, lambda a, b: ranks.get((a, b)), END)
+        self.specials = tuple({t["content"][:2].encode() for t in model["added_tokens"]})
+        self.merges = self.library.model.tokenize
         self.marks = byte_marks()
         self.pairs = [i.to_bytes(2, "little") for i in range(1 << 16)]
-        self.parts = TwoGenerations(self._part, 100_000)
+        self.single = TwoGenerations(self._part, 1000)
         self.memo = TwoGenerations(self._word, MEMO_WORDS)
 
     def release(self) -> None:
-        self.parts.release()
         self.memo.release()
 
     def _part(self, part: str) -> bytes:
-        mapped = part if part.isascii() else "".join([self.marks[b] for b in part.encode()])
-        return b"".join(map(self.pairs.__getitem__, self.bpe.encode(mapped + END)))
+        mapped = part if part.isascii() else part.encode().decode("latin-1").translate(self.marks)
+        return b"".join([self.pairs[t.id] for t in self.merges(mapped)])
 
     def _word(self, word: bytes) -> bytes:
+        """word: ASCII letters in lower case."""
         text = word.decode()
-        if word.isalpha():  # ASCII letters, in lower case here
+        if word.isalpha():
             return self._part(text)
-        if SAFE.fullmatch(low := text.lower()):
-            return b"".join(map(self.parts.__getitem__, PARTS.findall(low)))
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+        if text.isascii() and text.isprintable():
+            parts = PARTS.findall(text)
+        elif SAFE.fullmatch(low := text.lower()):
+            parts = PARTS.findall(low)
+        else:
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+        return b"".join([self.single[p] if len(p) == 1 else self._part(p) for p in parts])
+
+    def _words(self, words: list[bytes]) -> list[bytes]:
+        """The ids of distinct words."""
+        out = list(map(self.memo.get, words))
+        for i, known in enumerate(out):
+            if known is None:
+                out[i] = self.memo[words[i]]
+        return out
 
     def encode(self, text: bytes) -> bytes:
         """The ids as little-endian unsigned 16-bit numbers."""
@@ -83,6 +95,22 @@ class WordCodec:
         return b"".join(map(self.memo.__getitem__, text.lower().split()))
 
 
+    def encode_all(self, texts: pa.Array) -> list[bytes]:
+        """encode() of each text (nulls as empty), each distinct word looked up once."""
+        texts = texts.cast(pa.string()).fill_null("")
+        words = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        found = words.flatten().dictionary_encode()
+        ids = pa.array(self._words(_bytes_of(found.dictionary)), pa.large_binary()).take(found.indices)
+        flat, ends = ids.buffers()[2], np.frombuffer(ids.buffers()[1], np.int64)[: len(ids) + 1]
+        data = memoryview(flat) if flat else memoryview(b"")
+        cuts = ends[words.offsets.to_numpy()].tolist()
+        out = [bytes(data[a:b]) for a, b in zip(cuts, cuts[1:])]
+        special = functools.reduce(pc.or_, [pc.match_substring(texts, mark.decode()) for mark in self.specials], pa.array([False] * len(texts)))
+        for i in np.flatnonzero(special.to_numpy(zero_copy_only=False)).tolist():
+            out[i] = self.encode(texts[i].as_py().encode())
+        return out
+
+
 @functools.lru_cache(2)
 def _codec(path: str) -> WordCodec:
     return WordCodec(path)
