@@ -14,7 +14,7 @@ from kairograph.functions import text as X
 from kairograph.functions import time as TM
 from kairograph.functions import vectors as V
 from kairograph.operators import candidates as C
-from kairograph.operators import lint, mutations, planner, reads, recall
+from kairograph.operators import lint, mutations, planner, reads, recall, validation
 from kairograph.plans.oracle import NOW, ZONE, local, oracle
 from kairograph.sources.graph import Graph, derived, integrity, star_table
 from kairograph.streaming.changes import change_events
@@ -195,7 +195,7 @@ def closest_hubs(g, s, d):
 
 @query("SELECT item_id, hub_id, hub_title, hub_agent FROM hub_of")
 def hub_of_items(g, s, d):
-    return reads.hub_of(g, now())
+    return reads.hub_of(g, now()).select("item_id", "hub_id", "hub_title", "hub_agent")
 
 
 @query("SELECT DISTINCT src_id AS id FROM cur WHERE type = 'HAS_ITEM' AND (src_id = 'h1' OR src_id IN (SELECT id FROM nodes WHERE agent_id = 'agent-3'))")
@@ -548,12 +548,12 @@ _OPS = "ops AS (SELECT o_orderkey AS seq, o_orderkey // 2 AS temp_id, ['plan', '
 
 @query(f"{_OPS} SELECT seq, 'plan without start' AS rule FROM ops WHERE kind = 'plan' AND occurred_at IS NULL UNION ALL SELECT seq, 'task with occurred_at' FROM ops WHERE kind = 'task' AND occurred_at IS NOT NULL UNION ALL SELECT seq, 'close without open' FROM ops WHERE kind = 'task' AND closes_at IS NOT NULL AND opens_on IS NULL UNION ALL SELECT seq, 'close before open' FROM ops WHERE kind = 'task' AND CAST({local('closes_at')} AS DATE) < opens_on UNION ALL SELECT seq, 'ttl on person or place' FROM ops WHERE kind = 'person' AND ttl UNION ALL SELECT seq, 'end before start' FROM ops WHERE kind = 'plan' AND occurred_at IS NOT NULL UNION ALL SELECT seq, 'duplicate temp_id' FROM ops WHERE temp_id IN (SELECT temp_id FROM ops GROUP BY temp_id HAVING count(*) > 1)")
 def operation_violations(g, s, d):
-    return mutations.violations(_operations(s, d), ZONE)
+    return validation.creates(_operations(s, d), ZONE, "seq").select(F.col("key").cast("long").alias("seq"), "rule")
 
 
 @query(f"{_OPS} SELECT kind AS op, count(*) AS n FROM ops GROUP BY kind UNION ALL SELECT 'place', 0")
 def operation_counts(g, s, d):
-    return C.operation_counts(_operations(s, d).withColumnRenamed("kind", "op"), ["person", "memory", "plan", "place", "task"])
+    return mutations.operation_counts(_operations(s, d).withColumnRenamed("kind", "op"), ["person", "memory", "plan", "place", "task"])
 
 
 @query(f"{_OPS} SELECT count(*) = 0 AS \"none\", count(*) FILTER (occurred_at IS NOT NULL) > 0 AS \"some\", coalesce(bool_and(occurred_at IS NOT NULL), false) AS \"each\", count(DISTINCT title) > 1 AS varied FROM ops WHERE kind = 'plan' AND regexp_matches(title, '(?i)urgent')")
