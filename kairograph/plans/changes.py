@@ -10,7 +10,7 @@ from kairograph.functions import time as TM
 from kairograph.operators import candidates as C
 from kairograph.operators import cells, lint, mutations, planner, reads, recall, validation
 from kairograph.plans.oracle import NOW, ZONE, local
-from kairograph.plans.registry import _HOP1, _HOP2, _LINT_SQL, _SQL_TEXT, _TYPES, CONFIG, DAY, WHOLE, graph, now, query, seconds, vec
+from kairograph.plans.registry import _HOP1, _HOP2, _LINT_SQL, _SQL_TEXT, _TYPES, CONFIG, WHOLE, now, query, seconds, vec
 from kairograph.sources.graph import Graph, integrity, shared_dir, star_table
 
 _AT = f"'{NOW}'"

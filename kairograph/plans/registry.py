@@ -16,7 +16,7 @@ from kairograph.functions import vectors as V
 from kairograph.operators import candidates as C
 from kairograph.operators import lint, mutations, planner, reads, recall, validation
 from kairograph.plans.oracle import NOW, ZONE, local, oracle
-from kairograph.sources.graph import Graph, derived, integrity, star_table
+from kairograph.sources.graph import Graph, derived, star_table
 from kairograph.streaming.changes import change_events
 
 CONFIG = EngineConfig(anchor_floor=0.25, dimension=64)

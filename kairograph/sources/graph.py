@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import marshal
 import os
 import tempfile
 import uuid
@@ -164,7 +165,8 @@ STAR_TABLES = ("customer", "supplier", "nation", "part", "documents", "orders",
 
 def derived(spark: SparkSession, sf_dir: str, now: str, zone: str) -> Graph:
     """from_star_schema(), derived once for each state of the tables' files and kept as a snapshot in the shared folder."""
-    state = [now, zone, spark.conf.get("spark.sql.session.timeZone"), *DDL.values()]
+    code = marshal.dumps(from_star_schema.__code__).hex()  # another derivation is another snapshot
+    state = [code, now, zone, spark.conf.get("spark.sql.session.timeZone"), *DDL.values()]
     for name in STAR_TABLES:
         fs, path = _files(spark, f"{sf_dir}/{name}.parquet")
         files = fs.listFiles(path, True)
