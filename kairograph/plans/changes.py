@@ -447,6 +447,7 @@ def fitted(s, d):
 
 @query()
 def vector_cells(g, s, d):
-    """The ten nearest of every vector whose id is divisible by 20, by half of the cells."""
+    """The ten nearest of every vector whose id is divisible by 20, by seven tenths of the cells: the table's vectors have
+    hardly any clusters, and half of the cells give a recall of 0.86 and 0.88 only (sf0.01, sf0.1)."""
     indexed, rows, centres = fitted(s, d)
-    return cells.search(indexed, rows.where("id % 20 = 0"), centres, max(1, len(centres) // 2), 10)
+    return cells.search(indexed, rows.where("id % 20 = 0"), centres, max(1, round(0.7 * len(centres))), 10)
