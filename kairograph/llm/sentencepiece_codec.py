@@ -7,7 +7,7 @@ their byte pieces.  Models with an identity normaliser and a dummy prefix are su
 
 Null texts count as empty: no piece, only the end id.  Repeated rows, ties and extra columns: each row is answered for
 itself from its text alone, and only the columns named are read.  Very long texts need memory in proportion to
-themselves only.
+themselves only.  An empty table gives an empty result.
 """
 
 from __future__ import annotations

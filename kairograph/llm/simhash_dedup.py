@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kairograph.llm.common import bytes_of, fresh, map_steps, stored, table, take_turn
+from kairograph.llm.common import bytes_of, fresh, map_steps, numbered, stored, table, take_turn
 from kairograph.llm.components import connected, local_labels
 
 #: Nodes of a part of a large group; an item of work holds two parts at most.
@@ -35,6 +35,12 @@ SMALL = 16
 HASHED = 1 << 16
 
 
+def majority(hashed: np.ndarray) -> np.uint64:
+    """64 bits: each is set if it is set in over half of the hashes."""
+    ones = np.unpackbits(hashed.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(hashed), bitorder="little").view(np.uint64)[0]
+
+
 def fingerprint(text: bytes, width: int = 3) -> int:
     """Signed 64 bits: bit k is set if it is set in over half of the shingles' hashes (XXH64, seed 42)."""
     words = text.lower().split()
@@ -154,13 +160,12 @@ def near_duplicates(docs: DataFrame, radius: int = 2, width: int = 3, id_column:
 
 def keep_one(docs: DataFrame, radius: int = 2, width: int = 3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows, with all their columns, one of each component: that of the smallest id, of equals the first row."""
-    row = "__kairograph_row"
-    numbered = docs.withColumn(row, F.monotonically_increasing_id())
-    found = near_duplicates(numbered, radius, width, row, text_column).select(row, F.col("component_id").alias("c"))
-    ids = numbered.select(row, F.col(f"`{id_column}`").alias("id"))
-    first = ids.join(found, row).groupBy("c").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", row)).alias("k"))
-    kept = stored(first.select(F.col(f"k.{row}").alias(row)), "kept-rows")
-    return numbered.join(kept, row, "left_semi").drop(row)
+    rows, row = numbered(docs, "numbered")
+    found = near_duplicates(rows, radius, width, row, text_column).select(row, F.col("component_id").alias("c"))
+    ids = rows.select(row, F.col(f"`{id_column}`").alias("id"))
+    first = ids.join(found, row).groupBy("c").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", F.col(row).alias("row"))).alias("k"))
+    kept = stored(first.select(F.col("k.row").alias(row)), "kept-rows")
+    return rows.join(kept, row, "left_semi").drop(row)
 
 
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
