@@ -52,6 +52,9 @@ def test_suffix_dedup(docs, empty, wide, monkeypatch):
     want = sorted((len(t), sum(m), hashlib.sha256(bytes(b for b, x in zip(t, m) if not x)).hexdigest()) for t, m in zip(texts, brute_removed(texts, 400)))
     got = sorted((r.n_bytes, r.n_removed, r.kept_sha256) for r in suffix_dedup.dedup(docs).collect())
     assert got == want and any(n for _, n, _ in want)
+    for r in suffix_dedup.dedup(docs).join(docs.select("doc_id", F.col("text").alias("was")).distinct(), "doc_id").collect():
+        was = (r.was or "").encode()
+        assert r.text == b"".join(suffix_dedup.kept_parts(was, [(s.lo, s.hi) for s in r.spans])).decode("utf-8", "ignore")
     if wide:
         assert suffix_dedup.dedup(empty).count() == 0
         assert suffix_dedup.without_repeats(docs).columns == docs.columns
@@ -98,7 +101,7 @@ def test_frequent_lines_go(spark):
     shared = "this line stands in every text of the host and is long enough to matter here"
     rows = [(i, "h", f"{shared}\nown {''.join(chr(97 + int(c)) for c in str(i))}") for i in range(40)] + [(99, "h", " ".join(WORDS[:60]))]
     frame = spark.createDataFrame(rows, "doc_id long, source string, text string")
-    assert quality_rules.frequent_lines(frame.toDF("id", "host", "text")).count() == 1
+    assert quality_rules.frequent_lines(quality_rules.lines_of(frame.toDF("id", "host", "text"))).count() == 1
     kept = {r.doc_id: r.kept for r in quality_rules.judge(frame).collect()}
     assert kept[99] and not kept[0]
 
@@ -110,10 +113,15 @@ def test_tokens_chunks_secrets_shards(docs, empty, spark, tmp_path):
     library = sentencepiece.SentencePieceProcessor(model_file=model)
     for r in sentencepiece_codec.encode_and_decode(docs, model).join(docs.select("doc_id", "text"), "doc_id").collect():
         assert [int(x) for x in r.ids.split()] == library.encode(r.text or "", add_eos=True)
-    path = f"file://{tmp_path}/flat"
-    token_counts.write_flat(docs, model, path)
-    counted = sorted(r.n_tokens for r in token_counts.count_tokens(spark, path, 2).collect())
-    assert counted == sorted(len(library.encode(r.text or "", add_eos=True)) for r in docs.collect())
+    whole = sorted((r.doc_id if r.doc_id is not None else -1, len(library.encode(r.text or "", add_eos=True))) for r in docs.collect())
+    for k, conf in enumerate(({}, {"spark.sql.files.maxRecordsPerFile": "3"}, {"spark.sql.files.maxPartitionBytes": "37", "spark.sql.files.openCostInBytes": "1"})):
+        for name, value in conf.items():
+            spark.conf.set(name, value)
+        counted = token_counts.count_documents(docs, model, f"file://{tmp_path}/flat{k}").collect()
+        for name in conf:
+            spark.conf.unset(name)
+        assert sorted((r.doc_id if r.doc_id is not None else -1, r.n_tokens) for r in counted) == whole and all(r.ended for r in counted)
+    assert token_counts.count_documents(empty, model, f"file://{tmp_path}/flat-empty").count() == 0
     near = content_chunks.compare_with_next(docs).collect()
     assert len(near) == docs.count() and all(0 <= r.near_next <= 1 for r in near)
     by_id = {r.doc_id: r for r in near}
@@ -130,6 +138,33 @@ def test_tokens_chunks_secrets_shards(docs, empty, spark, tmp_path):
         assert f(empty).count() == 0
 
 
+def test_separators_across_ranges(spark, tmp_path):
+    """Flat files read in ranges of a few bytes, so that documents and separators lie across ranges."""
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    want = []
+    for k, n in enumerate((0, 1, 400, 999)):
+        ids = rng.choice(np.array([2, 2, 5, 512, 514, 0x0200, 0x0202, 0x0002, 7], "<u2"), n)
+        (tmp_path / f"part-{k:05d}").write_bytes(ids.tobytes())
+        begun = 0
+        for i, x in enumerate(ids.tolist()):
+            if x == 2:
+                want.append((k, begun, i + 1 - begun, True))
+                begun = i + 1
+        if begun < n:
+            want.append((k, begun, n - begun, False))
+    for size in ("1m", "64", "7", "2"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        found = token_counts.count_tokens(spark, f"file://{tmp_path}", 2).collect()
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+        assert sorted((int(r.file[-5:]), r.start, r.n_tokens, r.ended) for r in found) == sorted(want)
+        for k in (2, 3):
+            assert sorted(r.ordinal for r in found if int(r.file[-5:]) == k) == list(range(sum(w[0] == k for w in want)))
+
+
 def test_packing_covers_every_id_once(docs):
     from tokenizers import Tokenizer
 
@@ -199,8 +234,9 @@ def test_packing_finds_neighbours_in_the_whole_shard(spark):
     rows = [(i, " " + " ".join(filler * 20)) for i in range(300)] + [(1000, " " + " ".join(shared)), (1001, " " + " ".join(shared + last))]
     pieces = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), path).collect()
     assert sum(r.length for r in pieces) > packing.INDEX_TOKENS and sum(r.length for r in pieces) < packing.SHARD_TOKENS
-    sequences = {r.doc_id: r.sequence_id for r in pieces if r.doc_id >= 1000}
-    assert sequences[1000] == sequences[1001]
+    ordered = [r.doc_id for r in sorted(pieces, key=lambda r: (r.sequence_id, r.offset))]
+    places = [i for i, d in enumerate(ordered) if d >= 1000]
+    assert places == list(range(places[0], places[-1] + 1))  # side by side, whatever lies around them
 
 
 def test_clean_removes_frequent_lines(spark):

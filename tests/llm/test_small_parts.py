@@ -107,7 +107,7 @@ def test_gear_hash_rolls_and_chunks_cover():
     texts = [bytes(data), b"", b"x" * 2000, bytes(data) + b"tail of it all" * 9]
     alone = [content_chunks.chunk_sets([t])[0] for t in texts]
     assert content_chunks.chunk_sets(texts) == alone and alone[1] == {}
-    assert content_chunks.containment({}, alone[0]) == 1.0 and content_chunks.containment(alone[0], alone[0]) == 1.0
+    assert content_chunks.containment({}, alone[0]) == 0.0 and content_chunks.containment({}, {}) == 1.0 and content_chunks.containment(alone[0], alone[0]) == 1.0
 
 
 def test_moved_text_shares_its_chunks():
@@ -134,21 +134,17 @@ def test_discoveries_control():
     assert secret_scan.discoveries([(0.001, 20), (0.9, 20), (0.02, 20)], 0.05) == {0, 2}
 
 
-def test_separator_scan_over_blocks():
+def test_cuts_of_either_parity():
     rng = np.random.default_rng(3)
     for n in (0, 1, 5, 1000):
-        ids = rng.integers(0, 6, n).astype("<u2")
-        for block in (1, 3, 64, 5000):
-            starts, sizes, ended = token_counts.scan_blocks(ids, 2, block)
-            want, begun = [], 0
-            for i, x in enumerate(ids.tolist()):
-                if x == 2:
-                    want.append((begun, i + 1 - begun))
-                    begun = i + 1
-            assert ended == (begun == n)
-            if begun < n:
-                want.append((begun, n - begun))
-            assert list(zip(starts.tolist(), sizes.tolist())) == want
+        data = rng.integers(0, 4, 2 * n).astype(np.uint8).tobytes()
+        for offset in (0, 1):
+            pieces = data.split(b"\x02\x00")
+            ends, total = token_counts.cuts(np.array([len(p) for p in pieces]), offset)
+            want = [i + 2 for i in range(len(data) - 1) if data[i : i + 2] == b"\x02\x00" and (i + offset) % 2 == 0]
+            assert total == len(data) + 2 and ends.tolist() == want + [len(data) + 2] * ((len(data) + offset) % 2 == 0)
+    with pytest.raises(ValueError):
+        token_counts._mark(0x0101)
 
 
 def test_packer_cuts_without_padding():
