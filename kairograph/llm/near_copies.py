@@ -1,15 +1,18 @@
-"""Near copies by the Jaccard similarity of word shingles, decided on the whole sets.
+"""SimHash near-dedup with a similarity of its own: near copies by word shingles, checked exactly.
 
 A text is the set of its shingles of WIDTH words (lower case; a shorter text is one shingle).  Equal sets are one node.
-Two nodes are compared if they agree on ROWS minima of hashes at once in one of BANDS bands; a pair at the least
-similarity of 0.8 agrees in none with a chance of 5e-10, a more similar one with less.  (A SimHash of 64 bits would
-need a radius of some 17 for such pairs: they differ in 10 +- 3 bits.)  Whether a pair is linked is decided by the
-similarity of the sets alone.
-
-Nodes that bands connect are dealt out by those connections, large ones in parts of which all pairs meet.  A task leaves
-out pairs that its links already connect and returns a spanning forest; connected() joins the forests.
-
-Null texts and texts without a word are one node.  Only the named columns are read; an empty table gives an empty result.
+Nodes are dealt out by what may link them: nodes that agree on ROWS minima of hashes at once in one of BANDS bands, and
+nodes connected through such, are a group; a pair at the least similarity of 0.8 agrees in none with a chance of 5e-10.
+A group is cut into parts.  Each part is compared in itself; then one node of each component found so, of all parts of a
+group; and only in groups that are still apart all pairs of parts meet, so that no link is lost and a large group of
+copies costs no more than its size.  Where nodes meet, the 64-bit SimHash fingerprints of the sets are compared by the
+tiled exact comparison of simhash_dedup, at RADIUS: sets of similarity 0.8 differ in 10 +- 3 bits, so 22 loses about one
+such pair in 100,000, most of which other links connect.  Whether a pair within the radius is linked is decided by the
+Jaccard similarity of the sets alone.  A task leaves out pairs that its links already connect and returns a spanning
+forest; connected() joins the forests.
+
+Null texts and texts without a word are one node.  Repeated rows are copies.  Very long texts are read whole.  Other
+columns are kept as they are, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,11 +23,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kairograph.llm.common import bytes_of, map_steps, stored, take_turn
+from kairograph.llm.common import bytes_of, map_steps, numbered, stored, take_turn
 from kairograph.llm.components import connected
+from kairograph.llm.simhash_dedup import majority, tiled_links
 
 WIDTH, LEAST = 5, 0.8
 BANDS, ROWS = 30, 3
+#: Bits that fingerprints of linked sets may differ in.
+RADIUS = 22
 #: Nodes of a part; an item of work holds two parts at most.
 PART = 512
 #: Shingles whose minima are taken at once.
@@ -74,69 +80,91 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return common / max(len(both) - common, 1)
 
 
-def forest(sets: list[np.ndarray], keys: np.ndarray, least: float) -> list[tuple[int, int]]:
-    """Links that connect the sets as all pairs of a common band key and at least that similarity would."""
-    n = len(sets)
+def forest(sets: list[np.ndarray], least: float, radius: int = RADIUS, known: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links that connect the sets as all pairs within the radius and of at least that similarity would; known: sets of
+    equal numbers are connected already."""
+    fp = np.array([majority(s) if len(s) else 0 for s in sets], np.uint64)
     sizes = np.array([len(s) for s in sets], np.int64)
-    label, out, unlike = np.arange(n), [], set()
-    flat = keys.ravel()
-    order = np.argsort(flat, kind="stable")
-    cuts = np.flatnonzero(np.r_[True, flat[order][1:] != flat[order][:-1], True])
-    for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-        run = order[x:y] // keys.shape[1]
-        for k in range(1, len(run)):
-            i = int(run[k])
-            before = run[:k]
-            low, high = np.minimum(sizes[before], sizes[i]), np.maximum(sizes[before], sizes[i])
-            for j in before[(label[before] != label[i]) & (low >= least * high)].tolist():
-                pair = (j, i) if j < i else (i, j)
-                if label[i] == label[j] or pair in unlike:
-                    continue
-                if similarity(sets[i], sets[j]) >= least:
-                    out.append(pair)
-                    label[label == label[i]] = label[j]
-                else:
-                    unlike.add(pair)
+    order = np.argsort(np.bitwise_count(fp), kind="stable")
+    a, b = (order[x] for x in tiled_links(fp[order], radius))
+    fits = np.minimum(sizes[a], sizes[b]) >= least * np.maximum(sizes[a], sizes[b])
+    a, b = a[fits], b[fits]
+    near = np.argsort(np.bitwise_count(fp[a] ^ fp[b]), kind="stable")
+    a, b = a[near], b[near]
+    label = np.arange(len(sets)) if known is None else np.unique(known, return_inverse=True)[1]
+    apart = label[a] != label[b]
+    a, b, out, at_once = a[apart], b[apart], [], 64
+    while len(a):
+        joined = False
+        for i, j in zip(a[:at_once].tolist(), b[:at_once].tolist()):
+            if label[i] != label[j] and similarity(sets[i], sets[j]) >= least:
+                out.append((i, j))
+                label[label == label[i]] = label[j]
+                joined = True
+        a, b = a[at_once:], b[at_once:]
+        apart = label[a] != label[b]
+        a, b = a[apart], b[apart]
+        at_once = 64 if joined else 2 * at_once
     return out
 
 
-def links(texts: DataFrame, least: float, width: int) -> DataFrame:
-    """(a, b) of nodes.  texts: text, key of its set, and group; only nodes of one group are compared."""
+def links(texts: DataFrame, least: float, width: int, across: bool) -> DataFrame:
+    """(a, b) of nodes.  texts: text, key of its set, group and label; only nodes of one group are compared, and nodes of
+    one label are connected already.  across: pairs of different parts of a group meet too."""
     parts = texts.groupBy("group").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
     own = F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")
-    items = (
-        texts.join(parts, "group")
-        .withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select(F.xxhash64("group", F.least("own", "other"), F.greatest("own", "other")).alias("item"), "key", "text")
-    )
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)) if across else F.col("own")
+    items = texts.join(parts, "group").withColumn("own", own).withColumn("other", other)
+    items = items.select(F.xxhash64("group", F.least("own", "other"), F.greatest("own", "other")).alias("item"), "key", "label", "text")
     items = items.repartition("item").sortWithinPartitions("item", "key")
 
     def compare(batches):
         take_turn()
-        item, names, held = None, [], []
+        item, names, known, held = None, [], [], []
 
         def ready():
-            found = forest(held, np.array([bands(s) for s in held]), least) if len(held) > 1 else []
+            found = forest(held, least, known=np.array(known, np.int64)) if len(held) > 1 and len(set(known)) > 1 else []
             return pa.record_batch([pa.array([names[i] for i, _ in found], pa.int64()), pa.array([names[j] for _, j in found], pa.int64())], ["a", "b"])
 
         for batch in batches:
-            for at, key, text in zip(batch.column("item").to_pylist(), batch.column("key").to_pylist(), batch.column("text").cast(pa.binary())):
+            for at, key, label, text in zip(batch.column("item").to_pylist(), batch.column("key").to_pylist(), batch.column("label").to_pylist(), batch.column("text").cast(pa.binary())):
                 if at != item:
                     yield ready()
-                    item, names, held = at, [], []
+                    item, names, known, held = at, [], [], []
                 names.append(key)
+                known.append(label)
                 held.append(shingles(text.as_py() or b"", width))
         yield ready()
 
     return items.mapInArrow(compare, "a long, b long")
 
 
+def labelled(groups: DataFrame, found: DataFrame) -> DataFrame:
+    """groups (key, group, row) with label: the component of found (node, label) that a node is in, else itself."""
+    return groups.join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+
+
+def component_links(rows: DataFrame, groups: DataFrame, least: float, width: int) -> DataFrame:
+    """(node, label) of linked nodes.  rows: row and text; groups: key, group and row, stored."""
+    texts = lambda wanted: rows.join(wanted, "row").select("group", "key", "label", "text")
+    within = stored(links(texts(groups.withColumn("label", F.col("key"))), least, width, False), "links-within")
+    parted = groups.groupBy("group").count().where(F.col("count") > PART).select("group")
+    named = stored(labelled(groups, connected(within)).join(parted, "group", "left_semi"), "parted")
+    if named.isEmpty():
+        return connected(within)
+    heads = named.where("label = key")
+    between = stored(within.union(links(texts(heads), least, width, True)), "links-between")
+    labels = connected(between)
+    again = labelled(named.drop("label"), labels)
+    apart = again.groupBy("group").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("group")
+    rest = stored(again.join(apart, "group", "left_semi"), "apart")
+    return labels if rest.isEmpty() else connected(between.union(links(texts(rest), least, width, True)))
+
+
 def keep_one(docs: DataFrame, least: float = LEAST, width: int = WIDTH, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows, with all their columns, one of each component: that of the smallest id, of equals the first row."""
-    row = "__kairograph_row"
-    numbered = docs.withColumn(row, F.monotonically_increasing_id())
-    rows = numbered.select(F.col(row).alias("row"), F.col(f"`{id_column}`").alias("id"), F.col(f"`{text_column}`").alias("text"))
+    whole, row = numbered(docs, "numbered")
+    rows = whole.select(F.col(row).alias("row"), F.col(f"`{id_column}`").alias("id"), F.col(f"`{text_column}`").alias("text"))
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [shingles(t, width) for t in bytes_of(batch)]
@@ -151,9 +179,9 @@ def keep_one(docs: DataFrame, least: float = LEAST, width: int = WIDTH, id_colum
     least_of = dealt.groupBy("band").agg(F.min("key").alias("a"), F.count("*").alias("n")).where("n > 1").select("band", "a")
     groups = connected(dealt.join(least_of, "band").select("a", F.col("key").alias("b")))
     groups = groups.union(groups.select("label", "label").distinct()).toDF("key", "group")  # the least node is not listed itself
-    wanted = nodes.select("key", F.col("k.row").alias("row")).join(groups, "key")
-    texts = rows.select("row", "text").join(stored(wanted, "compared"), "row").select("group", "key", "text")
-    labels = connected(links(texts, least, width))
+    wanted = stored(nodes.select("key", F.col("k.row").alias("row")).join(groups, "key"), "grouped")
+    labels = component_links(rows.select("row", "text"), wanted, least, width)
     named = nodes.join(labels, nodes.key == labels.node, "left").select("k", F.coalesce("label", "key").alias("label"))
-    kept = stored(named.groupBy("label").agg(F.min("k").alias("k")).select(F.col("k.row").alias(row)), "kept-rows")
-    return numbered.join(kept, row, "left_semi").drop(row)
+    kept = named.groupBy("label").agg(F.min("k").alias("k")).select(F.col("k.row").alias(row))
+    gone = stored(signed.select(F.col("row").alias(row)).join(stored(kept, "kept-rows"), row, "left_anti"), "dropped-rows")
+    return whole.join(gone, row, "left_anti").drop(row)  # far fewer rows than are kept
