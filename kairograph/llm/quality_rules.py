@@ -1,13 +1,16 @@
 """Quality rules: statistics of each text and cross-document line frequency.  DataFrame functions only.
 
 A line is normalised (lower case, each stretch of white space and digits as one space) and hashed.  For each host the
-distinct texts that hold a line are counted: exact copies of a text count once, so a copied document does not make its
-own lines frequent.  Lines in more than LEAST_TEXTS texts and in more than MOST_SHARE of the host's distinct texts are
-above the limit; clean() gives the texts without them.  A document that loses more than MOST_REMOVED of the characters of its lines is depleted
-and rejected.
+distinct documents (id and text) that hold a line are counted.  A line in at least LEAST_DOCUMENTS of them and in more
+than MOST_SHARE of the host's documents, or in more than MOST_DOCUMENTS whatever the host's size, is above the limit:
+equal shares are treated alike at hosts of all sizes, and the ceiling holds in a host of millions.  clean() gives the
+texts without such lines.  A document that loses more than MOST_REMOVED of the characters of its lines is depleted and
+rejected.  Each text's lines are hashed once and kept as (hash, length, place); the few lines above the limit meet them
+in SALTS parts, so that the commonest line of a host is not one task's work.
 
 Null texts have no words and fail.  Null hosts are one host.  Repeated rows get equal answers.  Lines count for whole
-texts; only the named columns are read.  An empty table gives an empty result.
+texts, very long ones too; only the named columns are read, and inner names lie in structs of their own, so other columns
+may have any name.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,7 +21,8 @@ from pyspark.sql import functions as F
 from kairograph.llm.common import fresh, stored, table
 
 BLANK = r"[\x20\x09-\x0D]+"
-LEAST_TEXTS, MOST_SHARE, MOST_REMOVED = 20, 0.01, 0.5
+LEAST_DOCUMENTS, MOST_SHARE, MOST_DOCUMENTS, MOST_REMOVED = 5, 0.05, 10_000, 0.5
+SALTS = 8
 LEAST_WORDS = 50
 KEYS = ["id_key", "text_key", "host_key"]
 
@@ -42,15 +46,20 @@ def _lines(docs: DataFrame) -> DataFrame:
     placed = F.transform(F.split(text, "\n"), lambda line, i: F.struct(line.alias("t"), i.alias("i")))
     lines = F.filter(placed, lambda line: line["t"].rlike(r"[^\x20\x09-\x0D]"))
     hashed = F.transform(lines, lambda line: F.struct(F.xxhash64(F.lower(F.trim(F.regexp_replace(line["t"], r"[\x20\x09-\x0D0-9]+", " ")))).alias("h"), F.length(line["t"]).alias("n"), line["i"].alias("i")))
-    return docs.select("id", F.xxhash64(text, F.lit(1)).alias("text_key"), F.coalesce("host", F.lit("")).alias("host"), hashed.alias("lines"))
+    return docs.select(_id_key(), F.xxhash64(text, F.lit(1)).alias("text_key"), F.coalesce("host", F.lit("")).alias("host"), hashed.alias("lines"))
 
 
-def frequent_lines(docs: DataFrame, least_texts: int = LEAST_TEXTS, most_share: float = MOST_SHARE) -> DataFrame:
-    """(host, h): the lines above the limit.  docs has columns id, host, text."""
-    texts = _lines(docs).select("host", "text_key", F.array_distinct(F.col("lines.h")).alias("h")).groupBy("host", "text_key").agg(F.any_value("h").alias("h"))
-    sizes = texts.groupBy("host").agg(F.count("*").alias("texts"))
-    counts = texts.select("host", F.explode("h").alias("h")).groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") > least_texts)
-    return counts.join(sizes, "host").where(F.col("n") > most_share * F.col("texts")).select("host", "h")
+def lines_of(docs: DataFrame) -> DataFrame:
+    """(id_key, text_key, host, lines), stored; docs has columns id, host, text."""
+    return stored(_lines(docs), "lines")
+
+
+def frequent_lines(lined: DataFrame, least: int = LEAST_DOCUMENTS, share: float = MOST_SHARE, most: int = MOST_DOCUMENTS) -> DataFrame:
+    """(host, h): the lines above the limit.  lined: of lines_of()."""
+    docs = lined.select("host", "id_key", "text_key", F.array_distinct(F.col("lines.h")).alias("h")).groupBy("host", "id_key", "text_key").agg(F.any_value("h").alias("h"))
+    sizes = docs.groupBy("host").agg(F.count("*").alias("documents"))
+    counts = docs.select("host", F.explode("h").alias("h")).groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return counts.join(sizes, "host").where((F.col("n") > share * F.col("documents")) | (F.col("n") > most)).select("host", "h")
 
 
 def statistics(docs: DataFrame) -> DataFrame:
@@ -90,10 +99,12 @@ def statistics(docs: DataFrame) -> DataFrame:
 
 def _gone(rows: DataFrame) -> DataFrame:
     """id_key, text_key, host_key, gone and removed: the places and the characters of the lines above the limit, where there are any."""
-    above = stored(frequent_lines(rows), "frequent-lines")
-    lines = _lines(rows).select(_id_key(), "text_key", "host", F.explode("lines").alias("line")).select("id_key", "text_key", "host", F.col("line.h").alias("h"), F.struct("line.i", "line.n").alias("line"))
+    lined = lines_of(rows)
+    above = stored(frequent_lines(lined), "frequent-lines").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.xxhash64("id_key", "text_key"), F.lit(SALTS)).cast("int").alias("salt")
+    lines = lined.select("id_key", "text_key", "host", salt, F.explode("lines").alias("line")).select("id_key", "text_key", "host", "salt", F.col("line.h").alias("h"), F.struct("line.i", "line.n").alias("line"))
     # a set, since repeated rows bring the same lines
-    hit = lines.join(above, ["host", "h"]).groupBy("id_key", "text_key", F.col("host").alias("host_key")).agg(F.collect_set("line").alias("lines"))
+    hit = lines.join(above, ["host", "h", "salt"]).groupBy("id_key", "text_key", F.col("host").alias("host_key")).agg(F.collect_set("line").alias("lines"))
     return hit.select("id_key", "text_key", "host_key", F.col("lines.i").alias("gone"), F.aggregate("lines", F.lit(0).cast("long"), lambda a, line: a + line["n"]).alias("removed"))
 
 
@@ -139,9 +150,9 @@ r AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM g2, (SELECT un
 l AS (SELECT doc_id, host, text, unnest(string_split(text, chr(10))) AS line FROM t),
 l2 AS (SELECT doc_id, host, text, length(line) AS n, lower(trim(regexp_replace(line, '[\x20\x09-\x0D0-9]+', ' ', 'g'))) AS h
        FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
-f AS (SELECT host, h, count(DISTINCT text) AS n FROM l2 GROUP BY host, h HAVING count(DISTINCT text) > 20),
-s AS (SELECT host, count(DISTINCT text) AS texts FROM t GROUP BY host),
-a AS (SELECT host, h FROM f JOIN s USING (host) WHERE n > 0.01 * texts),
+f AS (SELECT host, h, count(DISTINCT (doc_id, text)) AS n FROM l2 GROUP BY host, h HAVING count(DISTINCT (doc_id, text)) >= 5),
+s AS (SELECT host, count(DISTINCT (doc_id, text)) AS documents FROM t GROUP BY host),
+a AS (SELECT host, h FROM f JOIN s USING (host) WHERE n > 0.05 * documents OR n > 10000),
 d AS (SELECT doc_id, sum(n) AS line_chars, sum(CASE WHEN a.h IS NOT NULL THEN n ELSE 0 END) AS removed
       FROM l2 LEFT JOIN a ON a.host = l2.host AND a.h = l2.h GROUP BY doc_id),
 b AS (SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
