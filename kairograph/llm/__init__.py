@@ -16,6 +16,8 @@ MODULES = (
     "quality_rules",
     "token_counts",
     "packing",
+    "conversation_repair",
+    "quality_classifier",
 )
 
 
