@@ -16,6 +16,7 @@ MODULES = (
     "quality_rules",
     "token_counts",
     "packing",
+    "cross_tokenizer",
     "conversation_repair",
     "quality_classifier",
 )
