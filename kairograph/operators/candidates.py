@@ -63,16 +63,18 @@ def lookalikes(graph: Graph, news: DataFrame, now: Column, zone: str, shown: Dat
     """(temp_id, id): live nodes that new ones may repeat, but those that were shown (id) already.  news: temp_id, kind,
     title, occurred_at, closes_at, hub_id.
 
-    Same normalised title and kind; plans within twelve hours that share an identifying word, met by buckets of hours;
-    tasks of the same hub that close on the same local day."""
+    Same normalised title and kind; plans within twelve hours that share an identifying word, met by buckets of hours and
+    word, so that plans of other words never meet; tasks of the same hub that close on the same local day."""
     live = reads.live_nodes(graph, now).select("id", "kind", "title", "occurred_at")
     same = news.withColumn("k", normalize_title(F.col("title"))).join(live.withColumn("k", normalize_title(F.col("title"))).select("id", "kind", "k"), ["kind", "k"]).select("temp_id", "id")
     width = LOOKALIKE_HOURS * 3600
     bucket = F.floor(F.unix_seconds("occurred_at") / width)
-    around = news.where("kind = 'plan' and occurred_at is not null").select("temp_id", F.col("title").alias("new_title"), F.col("occurred_at").alias("new_at"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("b"))
-    plans = live.where("kind = 'plan' and occurred_at is not null").withColumn("b", bucket)
-    close = F.abs(F.unix_micros("occurred_at") - F.unix_micros("new_at")) <= width * 1_000_000
-    near = around.join(plans, "b").where(close & F.arrays_overlap(identifying_words(F.col("title")), identifying_words(F.col("new_title")))).select("temp_id", "id")
+    dated = "kind = 'plan' and occurred_at is not null"
+    words = F.explode(F.array_distinct(identifying_words(F.col("title")))).alias("word")
+    around = news.where(dated).select("temp_id", F.unix_micros("occurred_at").alias("new_at"), F.array(bucket - 1, bucket, bucket + 1).alias("bs"), words).select("temp_id", "new_at", "word", F.explode("bs").alias("b"))
+    plans = live.where(dated).select("id", F.unix_micros("occurred_at").alias("at"), bucket.alias("b"), words)
+    close = F.abs(F.col("at") - F.col("new_at")) <= width * 1_000_000
+    near = around.join(plans, ["b", "word"]).where(close).select("temp_id", "id")
     held = graph.edges.where(P.current() & (F.col("type") == "HAS_ITEM")).select(F.col("src_id").alias("hub_id"), F.col("dst_id").alias("id"))
     tasks = reads.live_tasks(graph, now).where("closes_at is not null").select("id", local_date(F.col("closes_at"), zone).alias("day")).join(held, "id")
     siblings = news.where("kind = 'task' and closes_at is not null").select("temp_id", "hub_id", local_date(F.col("closes_at"), zone).alias("day")).join(tasks, ["hub_id", "day"]).select("temp_id", "id")
@@ -80,6 +82,17 @@ def lookalikes(graph: Graph, news: DataFrame, now: Column, zone: str, shown: Dat
     return found if shown is None else found.join(shown.select("id").distinct(), "id", "left_anti").select("temp_id", "id")
 
 
+def title_groups(graph: Graph, news: DataFrame, now: Column) -> DataFrame:
+    """(kind, title, side, id): new and live nodes of one kind and normalised title, where both sides have any.
+
+    A row for each member, `new` or `stored`; the pairs that lookalikes() gives for equal titles are all of one side with all
+    of the other, and their number grows with the square of a title that everyone uses."""
+    key = normalize_title(F.col("title")).alias("title")
+    sides = news.select("kind", key, F.lit("new").alias("side"), F.col("temp_id").alias("id")).union(reads.live_nodes(graph, now).select("kind", key, F.lit("stored"), "id"))
+    both = sides.groupBy("kind", "title").agg(F.min("side").alias("a"), F.max("side").alias("b")).where("a <> b").select("kind", "title")
+    return sides.join(both, ["kind", "title"], "left_semi").select("kind", "title", "side", "id").distinct()
+
+
 def news_of(creates: DataFrame, edges: DataFrame | None) -> DataFrame:
     """What lookalikes() is asked of a batch: its creates, tasks with the stored hub that a new edge gives them."""
     news = creates.select("temp_id", "kind", "title", value_of(creates, "occurred_at", "timestamp").alias("occurred_at"), value_of(creates, "closes_at", "timestamp").alias("closes_at"))

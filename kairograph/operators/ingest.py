@@ -13,6 +13,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, fields
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -133,9 +134,21 @@ def ingest(
     return mutations.apply(graph, at, zone, creates=creates, spawns=b.spawns, patches=b.patches, edges=b.edges, closed_edges=b.closed_edges, closed_nodes=b.closed_nodes, session_edits=b.session_edits, noops=b.noops)
 
 
+def embedded(texts: DataFrame, embed: Callable[[list[str]], list[list[float]]], config: EngineConfig, **retry) -> DataFrame:
+    """(key, embedding) of the texts (key, text): each task asks for its own, in batches, with retries.
+
+    embed goes to the tasks, so it must be a function that can be sent."""
+    size, dimension = config.embed_batch, config.dimension
+
+    def run(batches):
+        for batch in batches:
+            vectors = embed_all(embed, ["" if t is None else t for t in batch.column("text").to_pylist()], dimension, size, **retry)
+            yield pa.record_batch([batch.column("key"), pa.array(vectors, pa.list_(pa.float32()))], ["key", "embedding"])
+
+    return texts.select("key", "text").mapInArrow(run, "key string, embedding array<float>")
+
+
 def with_vectors(creates: DataFrame, embed: Callable, config: EngineConfig) -> DataFrame:
-    """Created nodes with their vectors; the nodes of a batch are few."""
-    wanted = mutations.embedding_requests(None, creates).collect()
-    found = embed_all(embed, [r.text for r in wanted], config.dimension, config.embed_batch)
-    table = creates.sparkSession.createDataFrame([(r.key.removeprefix("create:"), v) for r, v in zip(wanted, found)], "temp_id string, embedding array<float>")
-    return creates.drop("embedding").join(table, "temp_id", "left")
+    """Created nodes with their vectors, asked for once and stored."""
+    found = cut(embedded(mutations.embedding_requests(None, creates), embed, config))
+    return creates.drop("embedding").join(found.select(F.expr("substring(key, length('create:') + 1)").alias("temp_id"), "embedding"), "temp_id", "left")

@@ -339,18 +339,26 @@ def orphans(graph: Graph, candidates: DataFrame) -> DataFrame:
     return graph.nodes.select("id").join(candidates.select("id").distinct(), "id", "left_semi").join(ends, "id", "left_anti").join(dated, "id", "left_anti")
 
 
-def require_current(graph: Graph, edges: DataFrame) -> None:
-    """Raises if an edge to close is gone or closed already, or is not the one that was read (valid_from)."""
+def stale_edges(graph: Graph, edges: DataFrame) -> DataFrame:
+    """(id) of edges to close that are gone, closed already, or not as they were read (valid_from)."""
     held = graph.edges.where(P.current()).select("id", F.col("valid_from").alias("held_from"))
     found = edges.join(held, "id", "left")
     read = F.lit(False) if "valid_from" not in edges.columns else F.col("valid_from").isNotNull() & (F.col("valid_from") != F.col("held_from"))
-    if not found.where(F.col("held_from").isNull() | read).isEmpty():
+    return found.where(F.col("held_from").isNull() | read).select("id").distinct()
+
+
+def stale_nodes(graph: Graph, ids: DataFrame) -> DataFrame:
+    """(id) of nodes that a batch refers to and that are gone."""
+    return ids.select("id").join(graph.nodes.select("id"), "id", "left_anti").distinct()
+
+
+def require_current(graph: Graph, edges: DataFrame) -> None:
+    if not stale_edges(graph, edges).isEmpty():
         raise Conflict("an edge is no longer current")
 
 
 def require_nodes(graph: Graph, ids: DataFrame) -> None:
-    """Raises if a node that a batch refers to is gone."""
-    lost = ids.join(graph.nodes.select("id"), "id", "left_anti").first()
+    lost = stale_nodes(graph, ids).first()
     if lost is not None:
         raise Conflict(f"node {lost.id} is no longer current")
 

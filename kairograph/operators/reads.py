@@ -75,10 +75,10 @@ def node_history(graph: Graph, node_id: str, limit: int = HISTORY_PAGE) -> DataF
 
 def counts(graph: Graph, now: Column) -> DataFrame:
     """Live nodes of each kind, zero for kinds without any, and the total."""
-    kinds = graph.nodes.sparkSession.createDataFrame([(k,) for k in KINDS], "kind string")
     found = live_nodes(graph, now).groupBy("kind").agg(F.count("*").alias("n"))
-    each = kinds.join(F.broadcast(found), "kind", "left").select("kind", F.coalesce("n", F.lit(0)).alias("n"))
-    return each.union(found.agg(F.lit("total"), F.coalesce(F.sum("n"), F.lit(0))))
+    each = F.array(*[F.struct(F.lit(k).alias("kind"), F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).alias("n")) for k in KINDS])
+    total = F.array(F.struct(F.lit("total").alias("kind"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")))
+    return found.agg(F.concat(each, total).alias("rows")).select(F.inline("rows"))  # one scan: a row a kind, then one row
 
 
 def hubs(graph: Graph, now: Column) -> DataFrame:

@@ -16,7 +16,8 @@ from kairograph.functions.text import person_names, query_words
 from kairograph.functions.time import local_date
 from kairograph.functions.vectors import cosine, frequency, proximity, recency
 from kairograph.operators import planner, reads
-from kairograph.sources.graph import Graph, cut
+from kairograph.operators.journal import AccessLog
+from kairograph.sources.graph import Graph, cut, cuts
 
 
 def vector(values) -> Column:
@@ -140,8 +141,19 @@ def tokens(rows: DataFrame) -> Column:
     return F.ceil(F.sum(F.length("title") + F.length(F.coalesce("body", F.lit("")))) / 4)
 
 
-def recall(graph: Graph, now: Column, zone: str, config: EngineConfig, *, query: str | None = None, vec: Column | None = None, start_ids=None, filters: dict | None = None, hops: int | None = None, limit: int | None = None) -> Recall:
-    """Anchors, a walk that stops when it no longer pays, ranking, and the edges among what is returned."""
+def recall(graph: Graph, now: Column, zone: str, config: EngineConfig, *, query: str | None = None, vec: Column | None = None, start_ids=None, filters: dict | None = None, hops: int | None = None, limit: int | None = None, log: AccessLog | None = None) -> Recall:
+    """Anchors, a walk that stops when it no longer pays, ranking, and the edges among what is returned.
+
+    What the walk has stored on the way is deleted when it ends; the tables that the result reads stay for cuts() around
+    the call, or for good.  log: where the nodes returned are noted as accessed."""
+    with cuts(graph.nodes.sparkSession) as keep:
+        found = _recall(graph, now, zone, config, query, vec, start_ids, filters, hops, limit, log)
+        for df in (found.nodes, found.edges, found.anchors, found.courses):
+            keep(df)
+    return found
+
+
+def _recall(graph: Graph, now: Column, zone: str, config: EngineConfig, query, vec, start_ids, filters, hops, limit, log) -> Recall:
     if query is None and start_ids is None and not filters:
         raise InvalidRequest("one of query, from or a filter is needed")
     if start_ids is not None and filters:
@@ -187,6 +199,8 @@ def recall(graph: Graph, now: Column, zone: str, config: EngineConfig, *, query:
         coverage = top.orderBy(F.desc("total"), "id").limit(config.coverage_top_n).agg(F.avg("total")).first()[0] or 0.0
     day = local_date(now, zone) if not (filters or {}).get("relevant_on") else F.lit(filters["relevant_on"]).cast("date")
     ranked = cut(top.withColumn("rank", F.row_number().over(Window.orderBy(*order))).drop("position"))  # of at most page_max rows
+    if log is not None:
+        log.record(ranked, now)
     nodes, hubs = described(graph, ranked, now, zone, day)
     among = reads.edges_among(graph.edges.where(P.current()), ranked.select("id"))
     sufficient = None if coverage is None else coverage >= config.coverage_floor

@@ -8,10 +8,10 @@ from kairograph.config import EDGE_TYPES
 from kairograph.functions import predicates as P
 from kairograph.functions import time as TM
 from kairograph.operators import candidates as C
-from kairograph.operators import cells, lint, mutations, planner, reads, recall, validation
+from kairograph.operators import lint, mutations, planner, reads, recall, validation
 from kairograph.plans.oracle import NOW, ZONE, local
 from kairograph.plans.registry import _HOP1, _HOP2, _LINT_SQL, _SQL_TEXT, _TYPES, CONFIG, WHOLE, now, query, seconds, vec
-from kairograph.sources.graph import Graph, integrity, shared_dir, star_table
+from kairograph.sources.graph import Graph, integrity, star_table
 
 _AT = f"'{NOW}'"
 
@@ -432,22 +432,3 @@ def recheck_reasons(g, s, d):
     edges = _bad_edges(s, d)
     loose = C.unlinked(_creates(s, d), edges).select(F.lit("unlinked").alias("reason"), F.col("temp_id").alias("value"))
     return loose.union(C.unknown_edge_types(edges).select(F.lit("edge type"), "type"))
-
-
-# approximate vector search
-
-
-def fitted(s, d):
-    """(indexed rows, centres) of the embeddings table."""
-    rows = star_table(s, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    n = rows.count()
-    centres = cells.fit(rows, max(1, round(n**0.5)))
-    return cells.index(rows, centres, f"{shared_dir(s)}/kairograph/cells-{abs(hash((d, n)))}"), rows, centres
-
-
-@query()
-def vector_cells(g, s, d):
-    """The ten nearest of every vector whose id is divisible by 20, by seven tenths of the cells: the table's vectors have
-    hardly any clusters, and half of the cells give a recall of 0.86 and 0.88 only (sf0.01, sf0.1)."""
-    indexed, rows, centres = fitted(s, d)
-    return cells.search(indexed, rows.where("id % 20 = 0"), centres, max(1, round(0.7 * len(centres))), 10)

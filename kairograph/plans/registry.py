@@ -585,7 +585,8 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _whole() -> None:
     """Registers the queries of the other modules."""
-    importlib.import_module("kairograph.plans.changes")
+    for name in ("changes", "evolution"):
+        importlib.import_module(f"kairograph.plans.{name}")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
-import marshal
+import inspect
 import os
+import sys
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -74,10 +78,38 @@ def cut(df: DataFrame) -> DataFrame:
     broadcast and with a large one are not."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/kairograph/cut-{uuid.uuid4().hex}"
+    if held := getattr(_cuts, "open", None):
+        held[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_cuts = threading.local()
+
+
+@contextlib.contextmanager
+def cuts(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes at its end what cut() has written inside it, but for tables that a DataFrame given to the yielded function
+    reads; these are left to the block around it, if there is one."""
+    open_ = _cuts.__dict__.setdefault("open", [])
+    open_.append([])
+    read: set[str] = set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        read.update(part for f in df.inputFiles() for part in f.split("/"))
+        return df
+
+    try:
+        yield keep
+    finally:
+        for path in open_.pop():
+            if path.rsplit("/", 1)[1] not in read:
+                fs, found = files_of(spark, path)
+                fs.delete(found, True)
+            elif open_:
+                open_[-1].append(path)
+
+
 def assert_schema(df: DataFrame, name: str) -> DataFrame:
     """The table's columns in order; raises if one is missing or of another type."""
     want = T.StructType.fromDDL(DDL[name])
@@ -106,58 +138,91 @@ def integrity(graph: Graph) -> DataFrame:
     return out
 
 
-def _files(spark: SparkSession, path: str):
+def files_of(spark: SparkSession, path: str):
     """The file system of a path, and the path for it."""
     found = spark._jvm.org.apache.hadoop.fs.Path(path)
     return found.getFileSystem(spark._jsc.hadoopConfiguration()), found
 
 
 def _pointers(spark: SparkSession, root: str) -> dict[int, str]:
-    """The folder of each version.  A pointer without content is not written yet."""
-    fs, path = _files(spark, f"{root}/pointer")
+    """The pointer of each version.  A pointer without content is not written yet."""
+    fs, path = files_of(spark, f"{root}/pointer")
     listed = fs.listStatus(path) if fs.exists(path) else []
     return {int(s.getPath().getName()): str(s.getPath()) for s in listed if s.getPath().getName().isdigit() and s.getLen()}
 
 
-def save_snapshot(graph: Graph, root: str, expected: int | None = None) -> int:
-    """Writes the next version of all tables to a folder of its own and then claims the version's pointer, which may
-    not exist yet; raises if another writer was first, so that of two writers one wins."""
-    spark = graph.nodes.sparkSession
-    now = current_version(spark, root)
-    if expected is not None and expected != now:
-        raise Conflict(f"the snapshot moved from {expected} to {now}")
-    version, folder = now + 1, f"v{now + 1}-{uuid.uuid4().hex}"
-    for name, df in graph.tables().items():
-        rows = assert_schema(df, name)
-        if name == "edges":  # hops and members look edges up by their source
-            rows = rows.repartitionByRange("src_id").sortWithinPartitions("src_id")
-        (rows.write.partitionBy("kind") if name == "nodes" else rows.write).parquet(f"{root}/{folder}/{name}")
-    fs, pointer = _files(spark, f"{root}/pointer/{version:08d}")
+def current_version(spark: SparkSession, root: str) -> int:
+    return max(_pointers(spark, root), default=0)
+
+
+def folder_of(spark: SparkSession, root: str, version: int) -> str | None:
+    """The folder that a version's pointer names, None if there is no such version."""
+    pointer = _pointers(spark, root).get(version)
+    if pointer is None:
+        return None
+    fs, path = files_of(spark, pointer)
+    reader = fs.open(path)
+    name = bytes(reader.readAllBytes()).decode()
+    reader.close()
+    return f"{root}/{name}"
+
+
+def claim(spark: SparkSession, root: str, version: int, write: Callable[[str], None]) -> str:
+    """Writes a version to a folder of its own and then claims its pointer, which may not exist yet; raises if another
+    writer was first, so that of two writers one wins.  Returns the folder."""
+    name = f"v{version}-{uuid.uuid4().hex}"
+    write(f"{root}/{name}")
+    fs, pointer = files_of(spark, f"{root}/pointer/{version:08d}")
     try:
         out = fs.create(pointer, False)
     except Exception as e:
-        fs.delete(_files(spark, f"{root}/{folder}")[1], True)
+        fs.delete(files_of(spark, f"{root}/{name}")[1], True)
         raise Conflict(f"another writer made version {version}") from e
-    out.write(folder.encode())
+    out.write(name.encode())
     out.close()
-    return version
+    return f"{root}/{name}"
 
 
-def current_version(spark: SparkSession, root: str) -> int:
-    return max(_pointers(spark, root), default=0)
+def save_snapshot(graph: Graph, root: str, expected: int | None = None) -> int:
+    """Writes the next version of all tables; raises if it is not the one after `expected` or another writer was first."""
+    spark = graph.nodes.sparkSession
+    now = current_version(spark, root)
+    if expected is not None and expected != now:
+        raise Conflict(f"the snapshot moved from {expected} to {now}")
+
+    def write(folder: str) -> None:
+        for name, df in graph.tables().items():
+            rows = assert_schema(df, name)
+            if name == "edges":  # hops and members look edges up by their source
+                rows = rows.repartitionByRange("src_id").sortWithinPartitions("src_id")
+            (rows.write.partitionBy("kind") if name == "nodes" else rows.write).parquet(f"{folder}/{name}")
+
+    claim(spark, root, now + 1, write)
+    return now + 1
 
 
 def load_snapshot(spark: SparkSession, root: str, version: int | None = None) -> Graph:
     """The tables of a version, the last one by default."""
-    held = _pointers(spark, root)
-    version = max(held, default=0) if version is None else version
-    if version not in held:
+    version = current_version(spark, root) if version is None else version
+    folder = folder_of(spark, root, version)
+    if folder is None:
         raise EngineError(f"{root} has no version {version}")
-    fs, path = _files(spark, held[version])
-    reader = fs.open(path)
-    folder = bytes(reader.readAllBytes()).decode()
-    reader.close()
-    return Graph(**{n: spark.read.schema(DDL[n]).parquet(f"{root}/{folder}/{n}").select(*T.StructType.fromDDL(DDL[n]).names) for n in DDL})
+    return Graph(**{n: spark.read.schema(DDL[n]).parquet(f"{folder}/{n}").select(*T.StructType.fromDDL(DDL[n]).names) for n in DDL})
+
+
+def file_state(spark: SparkSession, path: str) -> list[str]:
+    """Name, length and time of each file under a path."""
+    fs, found = files_of(spark, path)
+    files, out = fs.listFiles(found, True), []
+    while files.hasNext():
+        f = files.next()
+        out.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    return sorted(out)
+
+
+def state_root(spark: SparkSession, label: str, state: list[str]) -> str:
+    """The shared folder of what is derived from that state."""
+    return f"{shared_dir(spark)}/kairograph/{label}-{hashlib.sha256('|'.join(state).encode()).hexdigest()[:32]}"
 
 
 STAR_TABLES = ("customer", "supplier", "nation", "part", "documents", "orders", "lineitem", "events", "embeddings")
@@ -165,15 +230,11 @@ STAR_TABLES = ("customer", "supplier", "nation", "part", "documents", "orders",
 
 def derived(spark: SparkSession, sf_dir: str, now: str, zone: str) -> Graph:
     """from_star_schema(), derived once for each state of the tables' files and kept as a snapshot in the shared folder."""
-    code = marshal.dumps(from_star_schema.__code__).hex()  # another derivation is another snapshot
-    state = [code, now, zone, spark.conf.get("spark.sql.session.timeZone"), *DDL.values()]
+    code = inspect.getsource(sys.modules[__name__])  # another derivation is another snapshot
+    state = [code, now, zone, spark.conf.get("spark.sql.session.timeZone")]
     for name in STAR_TABLES:
-        fs, path = _files(spark, f"{sf_dir}/{name}.parquet")
-        files = fs.listFiles(path, True)
-        while files.hasNext():
-            f = files.next()
-            state.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
-    root = f"{shared_dir(spark)}/kairograph/graph-{hashlib.sha256('|'.join(state).encode()).hexdigest()[:32]}"
+        state += file_state(spark, f"{sf_dir}/{name}.parquet")
+    root = state_root(spark, "graph", state)
     if not current_version(spark, root):
         try:
             save_snapshot(from_star_schema(spark, sf_dir, now, zone), root, 0)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from kairograph.config import Conflict, EngineConfig, InvalidRequest, NotFound, UnlinkedNode, UpstreamError, load_config, request_line
 from kairograph.functions import time as TM
-from kairograph.operators import candidates, cells, ingest, mutations, recall, validation
+from kairograph.operators import candidates, ingest, mutations, recall, validation
 from kairograph.sources.graph import current_version, load_snapshot, open_session, save_snapshot
 from kairograph.streaming.changes import REQUEST_DDL, FanOut, stream
 from tests.test_graph import NOW, NY, graph, ids, stamp  # noqa: F401
@@ -181,9 +181,9 @@ def test_configuration(tmp_path):
 
 def test_stream_tells_all_subscribers(spark, tmp_path):
     told, failing = [], []
-    fan = FanOut()
-    stop = fan.subscribe(lambda n, at: told.append(n))
-    fan.subscribe(lambda n, at: failing.append(n) or 1 / 0)
+    fan = FanOut(spark, f"file://{tmp_path}/checkpoint")
+    stop = fan.subscribe(lambda c: told.append(c.n))
+    fan.subscribe(lambda c: failing.append(c.n) or 1 / 0)
     log = f"file://{tmp_path}/log"
     rows = [("2026-01-01", "GET", "/counts", 200), ("2026-01-01", "POST", "/ingest", 200), ("2026-01-02", "POST", "/recall?x=1", 200), ("2026-01-02", "PUT", "/tasks/done", 200)]
     for part in (rows, rows[:1], rows[1:2]):
@@ -196,28 +196,6 @@ def test_stream_tells_all_subscribers(spark, tmp_path):
     assert not fan._held
 
 
-def test_cells_recall(spark):
-    rng = np.random.default_rng(5)
-    centre = rng.normal(size=(30, 16))
-    vectors = centre[rng.integers(0, 30, 1500)] + 0.4 * rng.normal(size=(1500, 16))
-    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)] + [(9999, None)], "id long, embedding array<float>")
-    centres = cells.fit(rows, 40)
-    indexed = cells.index(rows, centres, "file:///tmp/kairograph-test-cells")
-    assert indexed.count() == 1500
-    found: dict = {}
-    for r in cells.search(indexed, rows.where("id % 20 = 0 and id < 9000"), centres, 8, 10).collect():
-        found.setdefault(r.query_id, set()).add(r.id)
-    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-    hits = []
-    for q in range(0, 1500, 20):
-        score = unit @ unit[q]
-        score[q] = -2
-        hits.append(len(found[q] & set(np.argsort(-score)[:10].tolist())) / 10)
-    assert np.mean(hits) >= 0.9
-    empty = cells.fit(rows.limit(0), 4)
-    assert empty.shape == (0, 0)
-
-
 def test_of_two_writers_one_wins(graph, spark, tmp_path):  # noqa: F811
     root = f"file://{tmp_path}/snap"
     assert save_snapshot(graph, root) == 1 and current_version(spark, root) == 1
