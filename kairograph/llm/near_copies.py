@@ -3,9 +3,10 @@
 A text is the set of its shingles of WIDTH words (lower case; a shorter text is one shingle).  Equal sets are one node.
 Nodes are dealt out by what may link them: nodes that agree on ROWS minima of hashes at once in one of BANDS bands, and
 nodes connected through such, are a group; a pair at the least similarity of 0.8 agrees in none with a chance of 5e-10.
-A group is cut into parts.  Each part is compared in itself; then one node of each component found so, of all parts of a
-group; and only in groups that are still apart all pairs of parts meet, so that no link is lost and a large group of
-copies costs no more than its size.  Where nodes meet, the 64-bit SimHash fingerprints of the sets are compared by the
+A group is cut into parts, and each part is compared in itself.  In groups of several parts, those nodes meet then that
+share a band whose nodes are not connected yet: first one node of each component, then all, in a few bands and at last in
+all of them.  So a large group of copies costs no more than its size, texts that only a boilerplate joins meet in the bands
+that it fills and not each with each, and no link is lost that a band shows.  Where nodes meet, the 64-bit SimHash fingerprints of the sets are compared by the
 tiled exact comparison of simhash_dedup, at RADIUS: sets of similarity 0.8 differ in 10 +- 3 bits, so 22 loses about one
 such pair in 100,000, most of which other links connect.  Whether a pair within the radius is linked is decided by the
 Jaccard similarity of the sets alone.  A task leaves out pairs that its links already connect and returns a spanning
@@ -31,6 +32,8 @@ WIDTH, LEAST = 5, 0.8
 BANDS, ROWS = 30, 3
 #: Bits that fingerprints of linked sets may differ in.
 RADIUS = 22
+#: Bands in which nodes of different parts meet at first; 0.8 pairs share one of them with a chance of 0.94.
+FIRST_BANDS = 4
 #: Nodes of a part; an item of work holds two parts at most.
 PART = 512
 #: Shingles whose minima are taken at once.
@@ -108,14 +111,19 @@ def forest(sets: list[np.ndarray], least: float, radius: int = RADIUS, known: np
     return out
 
 
-def links(texts: DataFrame, least: float, width: int, across: bool) -> DataFrame:
-    """(a, b) of nodes.  texts: text, key of its set, group and label; only nodes of one group are compared, and nodes of
-    one label are connected already.  across: pairs of different parts of a group meet too."""
-    parts = texts.groupBy("group").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+def dealt_items(nodes: DataFrame, across: bool) -> DataFrame:
+    """nodes (group, key, label, row) with item, what is compared at once.  across: pairs of parts of a group meet too."""
+    parts = nodes.groupBy("group").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
     own = F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)) if across else F.col("own")
-    items = texts.join(parts, "group").withColumn("own", own).withColumn("other", other)
-    items = items.select(F.xxhash64("group", F.least("own", "other"), F.greatest("own", "other")).alias("item"), "key", "label", "text")
+    items = nodes.join(parts, "group").withColumn("own", own).withColumn("other", other)
+    return items.select(F.xxhash64("group", F.least("own", "other"), F.greatest("own", "other")).alias("item"), "key", "label", "row")
+
+
+def links(rows: DataFrame, nodes: DataFrame, least: float, width: int, across: bool) -> DataFrame:
+    """(a, b) of nodes (group, key, label, row) with the texts of rows (row, text); only nodes of one group are compared, and
+    nodes of one label are connected already."""
+    items = rows.join(dealt_items(nodes, across), "row").select("item", "key", "label", "text")
     items = items.repartition("item").sortWithinPartitions("item", "key")
 
     def compare(batches):
@@ -139,26 +147,30 @@ def links(texts: DataFrame, least: float, width: int, across: bool) -> DataFrame
     return items.mapInArrow(compare, "a long, b long")
 
 
-def labelled(groups: DataFrame, found: DataFrame) -> DataFrame:
-    """groups (key, group, row) with label: the component of found (node, label) that a node is in, else itself."""
-    return groups.join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+def labelled(nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """The nodes with label: the component of found (node, label) that a node is in, else itself."""
+    return nodes.drop("label").join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+
+
+def open_bands(nodes: DataFrame, begin: int, stop: int) -> DataFrame:
+    """The nodes (key, label, row, bands) once for each of those bands whose nodes are not of one label, with it as group."""
+    dealt = nodes.select("key", "label", "row", F.explode(F.slice("bands", begin + 1, stop - begin)).alias("group"))
+    apart = dealt.groupBy("group").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("group")
+    return dealt.join(apart, "group", "left_semi")
 
 
-def component_links(rows: DataFrame, groups: DataFrame, least: float, width: int) -> DataFrame:
-    """(node, label) of linked nodes.  rows: row and text; groups: key, group and row, stored."""
-    texts = lambda wanted: rows.join(wanted, "row").select("group", "key", "label", "text")
-    within = stored(links(texts(groups.withColumn("label", F.col("key"))), least, width, False), "links-within")
-    parted = groups.groupBy("group").count().where(F.col("count") > PART).select("group")
-    named = stored(labelled(groups, connected(within)).join(parted, "group", "left_semi"), "parted")
-    if named.isEmpty():
-        return connected(within)
-    heads = named.where("label = key")
-    between = stored(within.union(links(texts(heads), least, width, True)), "links-between")
-    labels = connected(between)
-    again = labelled(named.drop("label"), labels)
-    apart = again.groupBy("group").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("group")
-    rest = stored(again.join(apart, "group", "left_semi"), "apart")
-    return labels if rest.isEmpty() else connected(between.union(links(texts(rest), least, width, True)))
+def component_links(rows: DataFrame, nodes: DataFrame, least: float, width: int) -> DataFrame:
+    """(node, label) of linked nodes.  rows: row and text; nodes: key, group, row and bands, stored."""
+    found = stored(links(rows, nodes.withColumn("label", F.col("key")), least, width, False), "links-within")
+    parted = stored(nodes.join(nodes.groupBy("group").count().where(F.col("count") > PART).select("group"), "group", "left_semi").drop("group"), "parted")
+    if parted.isEmpty():
+        return connected(found)
+    for heads, begin, stop in ((True, 0, FIRST_BANDS), (False, 0, FIRST_BANDS), (False, FIRST_BANDS, BANDS)):
+        named = labelled(parted, connected(found))
+        meet = stored(open_bands(named.where("label = key") if heads else named, begin, stop), "open-bands")
+        if not meet.isEmpty():
+            found = stored(found.union(links(rows, meet, least, width, True)), "links-between")
+    return connected(found)
 
 
 def keep_one(docs: DataFrame, least: float = LEAST, width: int = WIDTH, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -179,7 +191,7 @@ def keep_one(docs: DataFrame, least: float = LEAST, width: int = WIDTH, id_colum
     least_of = dealt.groupBy("band").agg(F.min("key").alias("a"), F.count("*").alias("n")).where("n > 1").select("band", "a")
     groups = connected(dealt.join(least_of, "band").select("a", F.col("key").alias("b")))
     groups = groups.union(groups.select("label", "label").distinct()).toDF("key", "group")  # the least node is not listed itself
-    wanted = stored(nodes.select("key", F.col("k.row").alias("row")).join(groups, "key"), "grouped")
+    wanted = stored(nodes.select("key", F.col("k.row").alias("row"), "bands").join(groups, "key"), "grouped")
     labels = component_links(rows.select("row", "text"), wanted, least, width)
     named = nodes.join(labels, nodes.key == labels.node, "left").select("k", F.coalesce("label", "key").alias("label"))
     kept = named.groupBy("label").agg(F.min("k").alias("k")).select(F.col("k.row").alias(row))

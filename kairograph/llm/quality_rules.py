@@ -67,6 +67,7 @@ def statistics(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(
         "id",
+        text.alias("text"),
         F.xxhash64(text, F.lit(1)).alias("text_key"),
         F.coalesce("host", F.lit("")).alias("host_key"),
         F.array_remove(F.split(text, BLANK), "").alias("words"),
@@ -79,6 +80,7 @@ def statistics(docs: DataFrame) -> DataFrame:
     )
     rows = rows.select(
         "id",
+        "text",
         "text_key",
         "host_key",
         F.aggregate(F.transform("wordy", F.length), F.lit(0).cast("long"), lambda a, n: a + n).alias("line_chars"),
@@ -112,31 +114,37 @@ def _depleted():
     return F.coalesce(F.col("removed") > MOST_REMOVED * F.col("line_chars"), F.lit(False))
 
 
-def clean(docs: DataFrame, id_column: str = "doc_id", host_column: str = "source", text_column: str = "text") -> DataFrame:
-    """The rows and columns with texts without the lines above the limit, and removed_chars and depleted.
+def _cleaned(text):
+    """The text without the lines at the places in gone; the other lines stay as they are and in order."""
+    return F.when(F.col("gone").isNull(), text).otherwise(F.array_join(F.filter(F.split(text, "\n"), lambda line, i: ~F.array_contains("gone", i)), "\n"))
+
 
-    The other lines stay as they are and in order; a null text stays null."""
+def clean(docs: DataFrame, id_column: str = "doc_id", host_column: str = "source", text_column: str = "text") -> DataFrame:
+    """The rows and columns with texts without the lines above the limit, and removed_chars and depleted.  A null text stays
+    null."""
     text, host = F.col(f"`{text_column}`"), F.col(f"`{host_column}`")
     rows = fresh(docs, id_column, host_column, text_column).toDF("id", "host", "text")
     own = [F.coalesce(F.col(f"`{id_column}`").cast("string"), F.lit("")).alias("id_key"), F.xxhash64(F.coalesce(text, F.lit("")), F.lit(1)).alias("text_key"), F.coalesce(host, F.lit("")).alias("host_key")]
     found = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *own, _line_chars(text).alias("line_chars")).join(_gone(rows), KEYS, "left")
-    whole = F.col("row").getField(text_column)
-    left = F.array_join(F.filter(F.split(whole, "\n"), lambda line, i: ~F.array_contains("gone", i)), "\n")
-    texts = F.when(F.col("gone").isNull(), whole).otherwise(left).alias(text_column)
+    texts = _cleaned(F.col("row").getField(text_column)).alias(text_column)
     columns = [texts if c == text_column else F.col("row").getField(c).alias(c) for c in docs.columns]
     return found.select(*columns, F.coalesce("removed", F.lit(0)).alias("removed_chars"), _depleted().alias("depleted"))
 
 
 def judge(docs: DataFrame, id_column: str = "doc_id", host_column: str = "source", text_column: str = "text") -> DataFrame:
-    """Per row: the id column, the base statistics, removed_chars and kept."""
+    """Per row: the id column, the base statistics, kept, the number and characters of the removed lines, and the text that is
+    left (a null text as empty)."""
     rows = fresh(docs, id_column, host_column, text_column).toDF("id", "host", "text")
-    found = statistics(rows).withColumn("id_key", _id_key()).join(_gone(rows).drop("gone"), KEYS, "left")
+    found = statistics(rows).withColumn("id_key", _id_key()).join(_gone(rows), KEYS, "left")
     kept = ~F.col("base_failed") & ~_depleted()
-    return found.select(F.col("id").alias(id_column), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.coalesce("removed", F.lit(0)).alias("removed_chars"), kept.alias("kept"))
+    base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    lines = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long")
+    return found.select(F.col("id").alias(id_column), *base, kept.alias("kept"), lines.alias("n_removed_lines"), F.coalesce("removed", F.lit(0)).cast("long").alias("removed_chars"), _cleaned(F.col("text")).alias("cleaned"))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(table(spark, sf_dir, "documents")).drop("removed_chars")
+    found = judge(table(spark, sf_dir, "documents"))
+    return found.withColumn("cleaned_sha256", F.sha2(F.col("cleaned").cast("binary"), 256)).drop("cleaned")
 
 
 OP8_SQL = r"""
@@ -147,21 +155,25 @@ w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+')
 g AS (SELECT doc_id, unnest(range(1, len(words) - 1)) AS i, words FROM w WHERE len(words) >= 3),
 g2 AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, words[i], words[i + 1], words[i + 2]) AS n FROM g),
 r AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM g2, (SELECT unnest([0, 1, 2]) AS k) WHERE n > 1 GROUP BY doc_id),
-l AS (SELECT doc_id, host, text, unnest(string_split(text, chr(10))) AS line FROM t),
-l2 AS (SELECT doc_id, host, text, length(line) AS n, lower(trim(regexp_replace(line, '[\x20\x09-\x0D0-9]+', ' ', 'g'))) AS h
+l AS (SELECT doc_id, host, text, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS place FROM t),
+l2 AS (SELECT doc_id, host, text, place, length(line) AS n, lower(trim(regexp_replace(line, '[\x20\x09-\x0D0-9]+', ' ', 'g'))) AS h
        FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 f AS (SELECT host, h, count(DISTINCT (doc_id, text)) AS n FROM l2 GROUP BY host, h HAVING count(DISTINCT (doc_id, text)) >= 5),
 s AS (SELECT host, count(DISTINCT (doc_id, text)) AS documents FROM t GROUP BY host),
 a AS (SELECT host, h FROM f JOIN s USING (host) WHERE n > 0.05 * documents OR n > 10000),
-d AS (SELECT doc_id, sum(n) AS line_chars, sum(CASE WHEN a.h IS NOT NULL THEN n ELSE 0 END) AS removed
+d AS (SELECT doc_id, sum(n) AS line_chars, sum(CASE WHEN a.h IS NOT NULL THEN n ELSE 0 END) AS removed, list(place) FILTER (a.h IS NOT NULL) AS gone
       FROM l2 LEFT JOIN a ON a.host = l2.host AND a.h = l2.h GROUP BY doc_id),
+c AS (SELECT l.doc_id, sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (gone IS NULL OR NOT list_contains(gone, place)), '')) AS cleaned_sha256
+      FROM l LEFT JOIN d ON d.doc_id = l.doc_id GROUP BY l.doc_id),
 b AS (SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
              CAST(n_symbols AS BIGINT) AS n_symbols, CAST(len(wordy) - len(list_distinct(wordy)) AS BIGINT) AS n_dup_lines,
-             CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, coalesce(removed > 0.5 * line_chars, false) AS depleted
-      FROM w LEFT JOIN r ON r.doc_id = w.doc_id LEFT JOIN d ON d.doc_id = w.doc_id)
+             CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, coalesce(removed > 0.5 * line_chars, false) AS depleted,
+             CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed_lines, CAST(coalesce(removed, 0) AS BIGINT) AS removed_chars, cleaned_sha256
+      FROM w LEFT JOIN r ON r.doc_id = w.doc_id LEFT JOIN d ON d.doc_id = w.doc_id LEFT JOIN c ON c.doc_id = w.doc_id)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT depleted AS kept
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT depleted AS kept,
+       n_removed_lines, removed_chars, cleaned_sha256
 FROM b
 """
 

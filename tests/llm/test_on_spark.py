@@ -255,3 +255,14 @@ def test_clean_removes_frequent_lines(spark):
         assert r.depleted == (r.doc_id == 40)
     judged = [(r.doc_id, r.removed_chars) for r in quality_rules.judge(frame).collect()]
     assert sorted(judged) == sorted((r.doc_id, r.removed_chars) for r in found)
+
+
+def test_removed_lines_and_the_text_that_is_left(spark):
+    """A line that many documents of a host share goes from the result; one of few stays, and so does all else."""
+    name = lambda i: "".join(chr(97 + int(c)) for c in str(i))  # noqa: E731  (digits count as white space)
+    own = lambda i: "\n".join([f"first words number {name(i)} of this text", "Read  MORE here 12", "", f"last {name(i)} words"])
+    rows = [(i, "hot", own(i)) for i in range(40)] + [(100 + i, "cold", own(i)) for i in range(4)]
+    found = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()}
+    assert found[7].n_removed_lines == 1 and found[7].removed_chars == len("Read  MORE here 12")
+    assert found[7].cleaned == "first words number h of this text\n\nlast h words"
+    assert found[101].n_removed_lines == 0 and found[101].cleaned == own(1)
