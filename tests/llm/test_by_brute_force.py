@@ -8,7 +8,6 @@ import re
 import numpy as np
 import pytest
 import xxhash
-from pyspark.sql import functions as F
 
 P = pytest.importorskip("public_tokenizers")
 
@@ -147,34 +146,6 @@ def test_near_copies_forest_finds_what_all_pairs_find():
     assert components(found) == components(every) and len(found) < len(every)
 
 
-def test_near_copies_behind_one_boilerplate(spark, monkeypatch):
-    """Texts that all carry the same passage are one group of many parts; only the copies go, and no text meets all others."""
-    monkeypatch.setattr(near_copies, "PART", 64)
-    rnd = random.Random(9)
-    passage = [f"boiler{i}" for i in range(70)]
-    texts = []
-    for i in range(900):
-        own = [f"w{rnd.randrange(10**9)}" for _ in range(rnd.choice([60, 90, 140]))]
-        texts.append(passage + own)
-        if i % 30 == 0:  # near copies: a word of the rest is another one
-            texts += [[*passage, *own[:k], "changed", *own[k + 1 :]] for k in (3, 30)]
-    rows = [(i, " ".join(t), "x") for i, t in enumerate(texts)]
-    rnd.shuffle(rows)
-    kept = sorted(r.doc_id for r in near_copies.keep_one(spark.createDataFrame(rows, "doc_id long, text string, bands string")).collect())
-    sets = [near_copies.shingles(" ".join(t).encode()) for t in texts]
-    label = list(range(len(sets)))
-    for i in range(len(sets)):
-        for j in range(max(0, i - 3), i):  # texts that are further apart share the passage alone
-            if near_copies.similarity(sets[i], sets[j]) >= 0.8:
-                label[i] = min(label[i], label[j])
-    assert kept == sorted(set(label)) and len(kept) == 900
-    shared = [near_copies.bands(s) for s in sets]
-    nodes = spark.createDataFrame([(near_copies.set_key(s), near_copies.set_key(s), i, b.tolist()) for i, (s, b) in enumerate(zip(sets, shared))], "key long, label long, row long, bands array<long>")
-    met = near_copies.dealt_items(near_copies.open_bands(nodes, 0, near_copies.BANDS), True).count()
-    each_with_each = near_copies.dealt_items(nodes.withColumn("group", F.lit(1)), True).count()
-    assert met < 2 * near_copies.BANDS * len(sets) and each_with_each > 14 * len(sets)
-
-
 def test_neighbour_recall_of_shards():
     """Of the ten best neighbours over all documents of sf0.01, how many lie in the seed's shard if there are eight; a deal by
     chance gives 0.125.  README says what this means."""
