@@ -1,6 +1,7 @@
 """Times the headline queries on $BENCH_SF_DIR with $BENCH_CPUS threads; prints one JSON line.
 
-Each query is run once to compile and then timed over its whole result (written to a no-op sink).
+Each query is run once to compile and then timed over its whole result (written to a no-op sink).  derivation_sec is the
+time of the graph's derivation before them, or of finding it if the shared folder has it.
 """
 
 from __future__ import annotations
@@ -27,6 +28,9 @@ def main() -> None:
     from kairograph.plans import registry
 
     known, times = registry.queries(), {}
+    began = time.perf_counter()
+    registry.graph(spark, sf_dir)  # derived from the tables once for each state of their files
+    cold = round(time.perf_counter() - began, 3)
     for name in HEADLINE:
         best = None
         for _ in range(2):
@@ -35,7 +39,7 @@ def main() -> None:
             best = time.perf_counter() - began
         times[name] = round(best, 3)
     scale = re.search(r"sf([\d.]+)", sf_dir)
-    print(json.dumps({"metric": "headline graph queries, second run, total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": float(scale[1]) if scale else None}))
+    print(json.dumps({"metric": "headline graph queries, second run, total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "derivation_sec": cold, "sf": float(scale[1]) if scale else None}))
     sys.stdout.flush()
     spark.stop()
 

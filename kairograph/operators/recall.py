@@ -74,7 +74,7 @@ def degrees(edges: DataFrame) -> DataFrame:
 def expand(walk: DataFrame, frontier: DataFrame, edges: DataFrame, hop: int, prune_hubs: bool) -> DataFrame:
     """(id, hop, confidence): targets first reached in this hop, with the most confident way there."""
     if prune_hubs:  # counted where the edges lie, so that a hub's edges are never shuffled or stored
-        near = edges.select(F.col("src_id").alias("id")).union(edges.select("dst_id")).join(frontier.select("id"), "id", "left_semi")
+        near = edges.select(F.explode(F.array("src_id", "dst_id")).alias("id")).join(frontier.select("id"), "id", "left_semi")
         frontier = frontier.join(near.groupBy("id").agg(F.count("*").alias("degree")).where(F.col("degree") > HUB_DEGREE).select("id"), "id", "left_anti")
     inc = reads.incident_edges(edges, frontier.select("id")).select("id", "src_id", "dst_id", "confidence")
     both = inc.select(F.col("src_id").alias("from"), F.col("dst_id").alias("to"), F.col("confidence").alias("c")).union(inc.select("dst_id", "src_id", "confidence"))

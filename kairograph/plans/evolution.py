@@ -18,7 +18,7 @@ from kairograph.operators.journal import AccessLog, history_journal
 from kairograph.plans.oracle import NOW, ZONE, local
 from kairograph.plans.registry import _ITEM_HUB, _PLANS, _TASK_OUT, _WEEK, DAY, now, query, seconds
 from kairograph.sources.graph import cut, file_state, shared_dir, star_table, state_root
-from kairograph.streaming.changes import FanOut, stream
+from kairograph.streaming.changes import FanOut, request_log, stream
 
 # approximate vector search
 
@@ -358,3 +358,27 @@ def ingested(g, s, d):
     made = done.graph.nodes.join(done.temp_ids.select("id"), "id")
     beside = done.graph.edges.where("type = 'KNOWS'").select(F.col("src_id").alias("id"), F.col("dst_id").alias("beside"))
     return made.join(beside, "id").select("kind", "title", "beside", F.col("embedding")[0].cast("double").alias("length"))
+
+
+_QUOTE = "trim(regexp_replace(lower({0}), '\\s+', ' ', 'g'))"
+
+
+@query(f"pr AS (SELECT a.doc_id, a.text, substr(CASE WHEN a.doc_id % 2 = 0 THEN a.text ELSE b.text END, 10, 30) AS said FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1) SELECT doc_id AS seq FROM pr WHERE length({_QUOTE.format('said')}) < 8 OR NOT contains({_QUOTE.format('text')}, {_QUOTE.format('said')})")
+def evidence_elsewhere(g, s, d):
+    """Quotations of each document, every other one from the next document's text: those that its own does not have."""
+    docs = star_table(s, d, "documents").select("doc_id", "text")
+    both = docs.join(docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("next")), "doc_id")
+    said = F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise(F.col("next"))
+    claims = both.select(F.col("doc_id").alias("seq"), F.substring(said, 10, 30).alias("evidence"), "text")
+    return C.evidence_failures(claims, F.col("text")).select("seq")
+
+
+@query("SELECT event_id AS id, CASE event_type WHEN 'error' THEN 'warning' WHEN 'click' THEN 'error' ELSE 'info' END AS level, '/nodes/' || user_id AS path, CAST(event_id % 1000 AS BIGINT) AS duration_ms FROM events")
+def request_lines(g, s, d):
+    """The log line of each request: level by status, the path without its query, milliseconds."""
+    kind, key = F.col("event_type"), F.col("event_id")
+    rows = star_table(s, d, "events").select(
+        key.cast("string").alias("request_id"), F.lit("GET").alias("method"), F.concat(F.lit("/nodes/"), F.col("user_id").cast("string"), F.lit("?full=1")).alias("url"),
+        F.when(kind == "error", 404).when(kind == "click", 503).otherwise(200).alias("status"), (key % 1000 / 1000.0).alias("seconds"),
+    )
+    return request_log(rows).select(F.col("request_id").cast("long").alias("id"), "level", "path", "duration_ms")

@@ -354,13 +354,28 @@ def node_detail(g, s, d):
 
 _TXT = "title || ' ' || coalesce(body, '')"
 _TYPES = ", ".join(f"'{t}'" for t in EDGE_TYPES)
+#: As the rule's pattern, but for the wake that no word follows: DuckDB's patterns have no look-ahead, so that part is put below.
 _WAKE = r"(?is)/var/lib|\bworktree|\bbranch\b|\bcommit\b|this agent|credentials? (set up|exist|stored)|site lesson|\bhow-to\b|shadow dom|\bdom\b|\bref [a-z]\d|accessibility tree|browser (task|helper)|terminal (task|helper)|steer_(browser|terminal)|\.(tsx?|py|go|aspx)\b|\bline \d+"
+_MONTHS = "jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec".split("|")
+
+
+def _any(text: str, *patterns: str) -> str:
+    """Whether the text has one of the patterns, each looked for by itself; written beside the rules, not taken from them."""
+    return "(" + " OR ".join(f"regexp_matches(lower({text}), '(?s){p}')" for p in patterns) + ")"
+
+
+_STATUS = _any(_TXT, *(rf"\b{w}\b" for w in ("as of", "not yet", "so far", "still need", "still needs", "unconfirmed")), *(rf"\bno\b.{{0,60}}\b{w}\b" for w in ("found", "posted", "yet")))
+_DATED = _any("title", *(rf"\b{t} 20[0-9][0-9]\b" for t in ("fall", "spring", "summer", "winter")), *(rf"\b{m}[a-z]* [0-9]{{1,2}}\b" for m in _MONTHS), *(rf"[0-9]{{1,2}}{m} ?{h}\b" for m in ("", ":[0-9][0-9]") for h in ("am", "pm")), r"\bsection [0-9]")
+_AGENTS = _any(
+    _TXT, *(rf"\bno {a} {v}\b" for a in ("agent", "agents") for v in ("may", "should", "can")), *(rf"\b{a} {v} {w}\b" for a in ("agent", "agents") for v in ("must", "should", "may") for w in ("never", "not", "always", "only")),
+    *(rf"\bwants {t}{a} to\b" for t in ("", "the ") for a in ("agent", "agents", "specialist", "specialists")), *(rf"\b{a} {v} {w}\b" for k in ("specialist", "manager", "helper") for a in (k, k + "s") for v in ("must", "should") for w in ("never", "always")),
+)
 _LINT_SQL = {
-    "status_snapshot": f"SELECT id AS node_ids, title FROM nodes WHERE kind = 'memory' AND expires_at IS NULL AND regexp_matches({_TXT}, '{lint.STATUS}')",
+    "status_snapshot": f"SELECT id AS node_ids, title FROM nodes WHERE kind = 'memory' AND expires_at IS NULL AND {_STATUS}",
     "working_note": f"SELECT id AS node_ids, title FROM live WHERE kind = 'memory' AND (regexp_matches({_TXT}, '{_WAKE}') OR regexp_matches(regexp_replace({_TXT}, '(?i)\\bwake[ -]word', '', 'g'), '(?i)\\bwake\\b'))",
     "noon_placeholder": f"SELECT id AS node_ids, title FROM live JOIN plans ON node_id = id WHERE NOT all_day AND strftime({local('occurred_at')}, '%H:%M:%S') = '12:00:00'",
-    "dated_plan_title": f"SELECT id AS node_ids, title FROM live WHERE kind = 'plan' AND regexp_matches(title, '{lint.DATED_TITLE}')",
-    "agent_instruction": f"SELECT id AS node_ids, title FROM live WHERE kind = 'memory' AND regexp_matches({_TXT}, '{lint.AGENT_INSTRUCTION}')",
+    "dated_plan_title": f"SELECT id AS node_ids, title FROM live WHERE kind = 'plan' AND {_DATED}",
+    "agent_instruction": f"SELECT id AS node_ids, title FROM live WHERE kind = 'memory' AND {_AGENTS}",
     "dated_hub": "SELECT id AS node_ids, title FROM live WHERE kind = 'plan' AND occurred_at IS NOT NULL AND id IN (SELECT src_id FROM cur WHERE type = 'HAS_ITEM')",
     "long_span": "SELECT id AS node_ids, title FROM live JOIN plans ON node_id = id WHERE end_at - occurred_at > INTERVAL 7 DAY",
     "duplicate": f"SELECT string_agg(id, ',' ORDER BY created_at, id) AS node_ids, min(title) AS title FROM live GROUP BY kind, {_NORM.format('title')}, CASE WHEN kind = 'plan' THEN date_trunc('hour', occurred_at) END HAVING count(*) > 1",

@@ -37,6 +37,14 @@ def stream(spark: SparkSession, path: str, checkpoint: str, sink: Callable[[Data
     return (writer.trigger(availableNow=True) if until_now else writer).start()
 
 
+def request_log(requests: DataFrame) -> DataFrame:
+    """The log line of each request (request_id, method, url, status, seconds), as config.request_line() writes one; works on
+    streams too.  A request without an id gets one."""
+    own = F.trim(F.coalesce("request_id", F.lit("")))
+    level = F.when(F.col("status") >= 500, "error").when(F.col("status") >= 400, "warning").otherwise("info")
+    return requests.select(level.alias("level"), F.when(own == "", F.expr("uuid()")).otherwise(own).alias("request_id"), "method", F.regexp_replace("url", r"\?.*$", "").alias("path"), "status", F.round(F.col("seconds") * 1000).cast("long").alias("duration_ms"))
+
+
 @dataclass(frozen=True)
 class Change:
     """A batch that changed something: the number of its changes and the last one's time."""
