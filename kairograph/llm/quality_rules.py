@@ -152,8 +152,9 @@ WITH t AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS te
 w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
              list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS wordy,
              length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols FROM t),
-g AS (SELECT doc_id, unnest(range(1, len(words) - 1)) AS i, words FROM w WHERE len(words) >= 3),
-g2 AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, words[i], words[i + 1], words[i + 2]) AS n FROM g),
+v AS (SELECT doc_id, unnest(words) AS word, unnest(range(len(words))) AS i FROM w),
+v3 AS (SELECT doc_id, i, word, lead(word) OVER x AS second, lead(word, 2) OVER x AS third FROM v WINDOW x AS (PARTITION BY doc_id ORDER BY i)),
+g2 AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, word, second, third) AS n FROM v3 WHERE third IS NOT NULL),
 r AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM g2, (SELECT unnest([0, 1, 2]) AS k) WHERE n > 1 GROUP BY doc_id),
 l AS (SELECT doc_id, host, text, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS place FROM t),
 l2 AS (SELECT doc_id, host, text, place, length(line) AS n, lower(trim(regexp_replace(line, '[\x20\x09-\x0D0-9]+', ' ', 'g'))) AS h
