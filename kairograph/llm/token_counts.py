@@ -4,8 +4,9 @@ A flat file is a sequence of little-endian 16-bit ids in which each document end
 index.  Files are read in byte ranges of Spark's choice, so a file may be of any size.  Spark's reader cuts each range at
 the two bytes of the separator wherever they stand; only those at an even offset of the file are separators, and a range
 does not know its own offset.  So the cuts of a range are searched with vectorised comparisons for either parity, and an
-exclusive prefix scan over a file's ranges (bytes, separators and last separator before each) fixes the parity, the
-number and the start of the first document that ends in each range.  Documents that run across ranges are stitched so.
+exclusive prefix scan over the parts of a file's ranges (bytes, separators and last separator before each) fixes the
+parity, the number and the start of the first document that ends in each part, and is joined to the parts; nothing of it
+passes through the driver.  Documents that run across parts or ranges are stitched so.
 
 Null texts count as empty: one token, the separator.  Tokens after a file's last separator are a document without an end,
 reported with ended = false.  Repeated rows are counted each for itself.  Of the input only the named columns are read.
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kairograph.llm.common import fresh, scratch_path, steps, table, take_turn, texts_of
+from kairograph.llm.common import fresh, scratch_path, shared_dir, steps, table, take_turn, texts_of
 from kairograph.llm.sentencepiece_codec import OWNER, codec
 
 #: The writer's folders: tokens, and the id of each document by its place in the token file of the same number.
@@ -67,25 +68,13 @@ def cuts(sizes: np.ndarray, offset: int) -> tuple[np.ndarray, int]:
     return ends[(ends + offset) % 2 == 0], int(ends[-1]) if len(ends) else 0
 
 
-def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int, int], np.ndarray]]:
-    """(file, begin, size of the file) and the sizes of the pieces of each range that a task reads."""
-    key, held = None, []
-    for batch in batches:
-        names, begins, whole = batch.column("file").to_pylist(), batch.column("begin").to_numpy(), batch.column("bytes").to_numpy()
-        sizes = batch.column("size").to_numpy()
-        at = 0
-        while at < len(names):
-            found = (names[at], int(begins[at]), int(whole[at]))
-            same = np.flatnonzero((begins[at:] != begins[at]) | np.array([n != names[at] for n in names[at:]]))
-            stop = at + int(same[0]) if len(same) else len(names)
-            if found != key and held:
-                yield key, np.concatenate(held)
-                held = []
-            key = found
-            held.append(sizes[at:stop])
-            at = stop
-    if held:
-        yield key, np.concatenate(held)
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[tuple[str, int, int], np.ndarray]]:
+    """(file, begin, size of the file) and the sizes of the pieces of each range that a batch holds a part of."""
+    names, begins = batch.column("file").dictionary_encode(), batch.column("begin").to_numpy()
+    which, whole, sizes = names.indices.to_numpy(), batch.column("bytes").to_numpy(), batch.column("size").to_numpy()
+    first = np.flatnonzero(np.r_[True, (begins[1:] != begins[:-1]) | (which[1:] != which[:-1])]) if len(begins) else begins
+    for at, stop in zip(first, [*first[1:], len(begins)]):
+        yield (names.dictionary[int(which[at])].as_py(), int(begins[at]), int(whole[at])), sizes[at:stop]
 
 
 def _pieces(spark: SparkSession, path: str, separator: int) -> DataFrame:
@@ -95,45 +84,55 @@ def _pieces(spark: SparkSession, path: str, separator: int) -> DataFrame:
 
 
 def count_tokens(spark: SparkSession, path: str, separator: int) -> DataFrame:
-    """Per document of the files under path: file, ordinal, start, n_tokens (separator included), ended."""
-    pieces = _pieces(spark, path, separator)
+    """Per document of the files under path: file, ordinal, start, n_tokens (separator included), ended.
+
+    Files are read once.  What is kept of each part of a range (a batch of pieces at most) are its pieces' sizes, in a
+    checkpoint, so that the scan's places are those of the same ranges however the result is read later."""
 
     def measure(batches):
         take_turn()
-        for (name, begin, _), sizes in _ranges(batches):
-            row = [name, begin]
-            for parity in (0, 1):
-                ends, total = cuts(sizes, parity)
-                row += [len(ends), int(ends[-1]) if len(ends) else None]
-            yield pa.record_batch([pa.array([x], k) for x, k in zip([*row, total], (pa.string(), *[pa.int64()] * 6))], ["file", "begin", "n0", "last0", "n1", "last1", "total"])
-
-    found = pieces.mapInArrow(measure, "file string, begin long, n0 long, last0 long, n1 long, last1 long, total long")
-    before = Window.partitionBy("file").orderBy("begin").rowsBetween(Window.unboundedPreceding, -1)
-    placed = found.withColumn("offset", F.coalesce(F.sum("total").over(before), F.lit(0)))
+        key, k = None, 0
+        for batch in batches:
+            rows = []
+            for found, sizes in _runs(batch):
+                key, k = found, k + 1 if found == key else 0
+                row = [*found, k, sizes.astype("<u4").tobytes()]
+                for parity in (0, 1):
+                    ends, total = cuts(sizes, parity)
+                    row += [len(ends), int(ends[-1]) if len(ends) else None]
+                rows.append([*row, total])
+            kinds = (pa.string(), *[pa.int64()] * 3, pa.binary(), *[pa.int64()] * 5)
+            yield pa.record_batch([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["file", "begin", "bytes", "k", "sizes", "n0", "last0", "n1", "last1", "total"])
+
+    measured = _pieces(spark, path, separator).mapInArrow(measure, "file string, begin long, bytes long, k long, sizes binary, n0 long, last0 long, n1 long, last1 long, total long")
+    shared_dir(spark)  # the folder of checkpoints is set
+    parts = measured.checkpoint()
+    before = Window.partitionBy("file").orderBy("begin", "k").rowsBetween(Window.unboundedPreceding, -1)
+    placed = parts.drop("sizes", "bytes").withColumn("offset", F.coalesce(F.sum("total").over(before), F.lit(0)))
     odd = F.col("offset") % 2 == 1
     placed = placed.withColumn("n", F.when(odd, F.col("n1")).otherwise(F.col("n0"))).withColumn("last", F.col("offset") + F.when(odd, F.col("last1")).otherwise(F.col("last0")))
-    placed = placed.select("file", "begin", "offset", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ordinal"), F.coalesce(F.max("last").over(before), F.lit(0)).alias("open"))
-    # one row of each range of some 100 MB
-    carried = spark.sparkContext.broadcast({(r.file, r.begin): (r.offset, r.ordinal, r.open) for r in placed.collect()})
+    placed = placed.select("file", "begin", "k", "offset", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ordinal"), F.coalesce(F.max("last").over(before), F.lit(0)).alias("open"))
 
     def answer(batches):
         take_turn()
-        for (name, begin, whole), sizes in _ranges(batches):
-            offset, ordinal, opened = carried.value[name, begin]
-            ends, total = cuts(sizes, offset)
-            ends = ends + offset
-            ended = np.ones(len(ends), bool)
-            if offset + total == whole + 2:  # the file's last piece has no separator
-                if len(ends) and ends[-1] == whole + 2:
-                    ends, ended = ends[:-1], ended[:-1]
-                if max(opened, int(ends[-1]) if len(ends) else 0) < whole:
-                    ends, ended = np.r_[ends, whole], np.r_[ended, False]
-            starts = np.r_[opened, ends[:-1]] if len(ends) else ends
-            for k in range(0, len(ends), 100_000):
-                a, b = starts[k : k + 100_000], ends[k : k + 100_000]
-                yield pa.record_batch([pa.array([name] * len(a), pa.string()), pa.array(np.arange(len(a)) + ordinal + k), pa.array(a // 2), pa.array((b - a) // 2), pa.array(ended[k : k + 100_000])], ["file", "ordinal", "start", "n_tokens", "ended"])
-
-    return pieces.mapInArrow(answer, "file string, ordinal long, start long, n_tokens long, ended boolean")
+        for batch in batches:
+            for r in batch.to_pylist():
+                whole, offset, opened = r["bytes"], r["offset"], r["open"]
+                ends, total = cuts(np.frombuffer(r["sizes"], "<u4").astype(np.int64), offset)
+                ends = ends + offset
+                ended = np.ones(len(ends), bool)
+                if offset + total == whole + 2:  # the file's last piece has no separator
+                    if len(ends) and ends[-1] == whole + 2:
+                        ends, ended = ends[:-1], ended[:-1]
+                    if max(opened, int(ends[-1]) if len(ends) else 0) < whole:
+                        ends, ended = np.r_[ends, whole], np.r_[ended, False]
+                if len(ends):
+                    starts = np.r_[opened, ends[:-1]]
+                    columns = [pa.array([r["file"]] * len(ends), pa.string()), pa.array(np.arange(len(ends)) + r["ordinal"]), pa.array(starts // 2), pa.array((ends - starts) // 2), pa.array(ended)]
+                    yield pa.record_batch(columns, ["file", "ordinal", "start", "n_tokens", "ended"])
+
+    found = parts.select("file", "begin", "k", "bytes", "sizes").join(placed, ["file", "begin", "k"])
+    return found.mapInArrow(answer, "file string, ordinal long, start long, n_tokens long, ended boolean")
 
 
 def written_ids(spark: SparkSession, path: str, separator: int, kind: str) -> DataFrame:

@@ -165,6 +165,24 @@ def test_separators_across_ranges(spark, tmp_path):
             assert sorted(r.ordinal for r in found if int(r.file[-5:]) == k) == list(range(sum(w[0] == k for w in want)))
 
 
+def test_counts_read_under_other_settings(spark, tmp_path):
+    """A result that is read after the size of ranges has changed, and from batches of few pieces, is the same."""
+    ids = [5, 2, 2, 7, 512, 2, 9, 9] * 50
+    (tmp_path / "part-00000").write_bytes(b"".join(x.to_bytes(2, "little") for x in ids))
+    want, begun = [], 0
+    for i, x in enumerate(ids):
+        if x == 2:
+            want.append((len(want), begun, i + 1 - begun, True))
+            begun = i + 1
+    want.append((len(want), begun, len(ids) - begun, False))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    found = token_counts.count_tokens(spark, f"file://{tmp_path}", 2)
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted((r.ordinal, r.start, r.n_tokens, r.ended) for r in found.collect()) == want
+
+
 def test_packing_covers_every_id_once(docs):
     from tokenizers import Tokenizer
 
