@@ -103,3 +103,11 @@ def test_change_events(spark):
     rows = [("2026-01-01", "GET", "/counts", 200), ("2026-01-01", "POST", "/recall", 200), ("2026-01-01", "POST", "/ingest", 422), ("2026-01-01", "POST", "/ingest", 200)]
     requests = spark.createDataFrame(rows, REQUEST_DDL.replace("timestamp", "string"))
     assert change_events(requests).count() == 1
+
+
+def test_word_ends_are_those_of_ascii_letters(graph, spark):
+    """A pattern's word may begin after any other letter, as in the SQL's patterns."""
+    texts = {"c": "se ñdom é", "y": "se dómo", "h": "sedom a"}
+    body = F.create_map(*[F.lit(x) for pair in texts.items() for x in pair])[F.col("id")]
+    found = lint.working_note(graph.with_(nodes=graph.nodes.withColumn("body", body)), stamp(NOW), NY)
+    assert [list(r.node_ids) for r in found.collect()] == [["c"]]
