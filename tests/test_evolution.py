@@ -428,3 +428,25 @@ def test_registered_queries_are_quick_enough(spark):
     began = time.perf_counter()
     assert registry.queries()["lookalike_plans"](spark, SF).count() > 0
     assert time.perf_counter() - began < 120
+
+
+def test_a_query_without_the_graph_derives_none(spark, monkeypatch):
+    def derive(*args):
+        raise AssertionError("derived")
+
+    monkeypatch.setattr(registry, "graph", derive)
+    assert registry.queries()["evidence_elsewhere"](spark, SF).columns == ["seq"]
+    with pytest.raises(AssertionError, match="derived"):
+        registry.queries()["retype_edges"](spark, SF)
+
+
+def test_what_is_kept_of_the_derivation(spark):
+    """Rows of the graph are made where they are read: what is kept is groups and joins, and reading edges shuffles nothing."""
+    g = G.derived(spark, SF, NOW, NY)
+    assert "Exchange" not in g.edges._jdf.queryExecution().executedPlan().toString()
+    kept = {f.rsplit("/", 2)[1] for t in g.tables().values() for f in t.inputFiles() if "/kairograph/graph-" in f}
+    assert kept == {"lines", "venues", "notes", "texts", "marks"}
+    bare = G.from_star_schema(spark, SF, NOW, NY)
+    for name in ("tasks", "edges"):
+        held, made = (x.select(F.xxhash64(*[c for c in x.columns if c != "properties"]).alias("h")) for x in (getattr(g, name), getattr(bare, name)))
+        assert held.exceptAll(made).isEmpty() and made.exceptAll(held).isEmpty()
