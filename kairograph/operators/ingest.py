@@ -78,7 +78,8 @@ class Batch:
 
 @dataclass
 class Request:
-    """What an extractor is given."""
+    """What an extractor is given.  recheck names the first of what was wrong with its first answer; loose (rows of its
+    creates without an edge) and odd_types (type) are all of it."""
 
     text: str
     source_text: str | None
@@ -86,6 +87,8 @@ class Request:
     nodes: DataFrame
     edges: DataFrame
     recheck: str | None
+    loose: DataFrame | None = None
+    odd_types: DataFrame | None = None
 
 
 def validate(graph: Graph, batch: Batch, text: str, source_text: str | None, zone: str) -> None:
@@ -98,9 +101,9 @@ def validate(graph: Graph, batch: Batch, text: str, source_text: str | None, zon
         if bad is not None:
             raise InvalidRequest(f"close_node {bad.id}: the evidence is no quotation")
     if b.creates is not None:
-        loose = [r.title for r in C.unlinked(b.creates, b.edges, b.spawns).select("title").collect()]
+        loose = C.named(C.unlinked(b.creates, b.edges, b.spawns), "title")
         if loose:
-            raise UnlinkedNode("created nodes have no edge: " + ", ".join(loose))
+            raise UnlinkedNode(f"created nodes have no edge: {loose}")
 
 
 def ingest(
@@ -112,11 +115,11 @@ def ingest(
     one = spark.range(1).select(segments(F.lit(text), config.segment_limit).alias("s"), local_iso(F.lit(occurred_at).cast("timestamp"), zone).alias("at")).first()
     vectors = [vector(v) for v in embed_all(embed, [text, *one.s], config.dimension, config.embed_batch)]
 
-    def ask(extra: list[str], recheck: str | None) -> tuple[DataFrame, Batch]:
+    def ask(extra, recheck: str | None, loose: DataFrame | None = None, odd: DataFrame | None = None) -> tuple[DataFrame, Batch]:
         ids = cut(C.candidates(graph, text, vectors, writer, extra, at, config, participants))
         shown = reads.live_nodes(graph, at).join(ids, "id", "left_semi")
         chosen = C.context_edges(graph, ids, config.edge_context_limit).select("id")
-        return ids, with_retry(lambda: extract(Request(text, source_text, one.at, shown, graph.edges.join(chosen, "id", "left_semi"), recheck)))
+        return ids, with_retry(lambda: extract(Request(text, source_text, one.at, shown, graph.edges.join(chosen, "id", "left_semi"), recheck, loose, odd)))
 
     ids, batch = ask([], None)
     missed = None if batch.creates is None else cut(C.lookalikes(graph, C.news_of(batch.creates, batch.edges), at, zone, ids).select("id").distinct())
@@ -124,8 +127,7 @@ def ingest(
     odd = None if batch.edges is None else C.unknown_edge_types(batch.edges)
     notes = C.recheck_reasons(missed, loose, odd)
     if notes:
-        again = [] if missed is None else sorted(r.id for r in missed.collect())  # lookalikes of one utterance's nodes
-        _, batch = ask(again, " ".join(notes))
+        _, batch = ask([] if missed is None else missed, " ".join(notes), loose, odd)
     validate(graph, batch, text, source_text, zone)
     b = batch
     creates = b.creates

@@ -217,3 +217,19 @@ def test_planted_notes_are_told_from_stored_texts(spark):
 
     assert "d3" in {i for r in lint.working_note(worded, at(), NY).collect() for i in r.node_ids}
     assert {r.node_ids[0] for r in _rule("working_note")(worded, spark, d).collect()} == {"w"}
+
+
+def test_a_recheck_of_many_nodes_names_a_few(graph, spark):  # noqa: F811
+    """What an extractor is told stays short; the table of loose nodes beside it is whole, and so are lookalikes given as a table."""
+    creates = spark.range(3000).selectExpr("concat('m', id) as temp_id", "'memory' as kind", "concat('Fact ', lpad(id, 5, '0')) as title", "cast(null as string) as body", "cast(null as timestamp) as occurred_at")
+    seen = []
+
+    def extract(request):
+        seen.append(request)
+        return ingest.Batch(creates=creates)
+
+    with pytest.raises(UnlinkedNode, match="3000 in all") as e:
+        ingest.ingest(graph, "Torben said new facts today", embed, extract, occurred_at=NOW, at=at(), zone=NY, writer="w", config=CONFIG)
+    assert len(str(e.value)) < 1000 and len(seen[1].recheck) < 1000 and '"Fact 00000"' in seen[1].recheck and seen[1].loose.count() == 3000
+    found = candidates.candidates(graph, "nothing", [], "nobody", table(spark, "id string", ("c",), ("x",)), at(), CONFIG)
+    assert "c" in ids(found) and "x" not in ids(found)

@@ -450,3 +450,16 @@ def test_what_is_kept_of_the_derivation(spark):
     for name in ("tasks", "edges"):
         held, made = (x.select(F.xxhash64(*[c for c in x.columns if c != "properties"]).alias("h")) for x in (getattr(g, name), getattr(bare, name)))
         assert held.exceptAll(made).isEmpty() and made.exceptAll(held).isEmpty()
+
+
+def test_lookalikes_are_made_once_without_a_distinct(spark):
+    """Two common words, three buckets and an equal title make a pair once; pairs are not shuffled again."""
+    ddl = "temp_id string, kind string, title string, occurred_at timestamp, closes_at timestamp, hub_id string"
+    news = table(spark, ddl, ("n1", "plan", "budget dentist", "2026-11-01 12:00:00", None, None), ("n2", "plan", "dentist budget visit", "2026-11-01 14:00:00", None, None))
+    node = news.select(F.concat(F.lit("o"), "temp_id").alias("id"), "kind", "title", F.lit(None).cast("timestamp").alias("expires_at"), "occurred_at", F.lit(None).cast("array<float>").alias("embedding"), F.lit(None).cast("string").alias("body"))
+    empty = {n: spark.createDataFrame([], G.DDL[n]) for n in G.DDL}
+    held = G.Graph(**(empty | {"nodes": node}))
+    found = candidates.lookalikes(held, news, at(), NY)
+    assert sorted(map(tuple, found.collect())) == [("n1", "on1"), ("n1", "on2"), ("n2", "on1"), ("n2", "on2")]
+    assert "Aggregate [temp_id" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert candidates.lookalikes(held, news.union(news), at(), NY).count() == 4
