@@ -33,3 +33,11 @@ def test_queries_without_the_subpackage():
     assert said.returncode == 0, said.stderr
     queries, oracles, optional = map(int, said.stdout.split())
     assert queries > 50 and oracles > 50 and optional == 0
+
+
+def test_the_names_are_read_without_a_session():
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(*e.queries()); print(*e.oracle_sql())"], cwd=ROOT, capture_output=True, text=True)
+    assert said.returncode == 0, said.stderr
+    queries, oracles = (set(line.split()) for line in said.stdout.splitlines())
+    assert {"lint_working_note", "lint_agent_instruction", "pipeline"} <= queries and oracles - {"pipeline"} <= queries
+    assert {n.split("_")[0] for n in queries if n.startswith("op") and n[2:3].isdigit()} == {f"op{k}" for k in range(1, 14)}
