@@ -27,6 +27,7 @@ from operator import or_
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -38,8 +39,10 @@ from kairograph.sources.graph import claim, cut, folder_of
 SAMPLE, ROUNDS, ENTRIES, WIDTH = 20_000, 10, 256, 2
 SHORT = 40
 TILE_ROWS, TILE_QUERIES = 65_536, 4_096
-#: Queries that are scored together, so that the scores of a tile need some 32 MB.
+#: Queries of a request that counts as small.
 BLOCK = 128
+#: Numbers of a table of scores that a task holds at a time (16 MB in double precision), whatever the tiles and cells.
+SCORES = 1 << 21
 #: Short lists of up to so many ids are asked for by id, so that only their pages are read.
 ASKED = 2_000
 #: Rows of a page of the index.
@@ -74,7 +77,8 @@ class Quantiser:
         return self.centres.shape[1]
 
     def cells(self, unit: np.ndarray, probes: int) -> np.ndarray:
-        return np.argsort(-(unit @ self.centres.T), axis=1, kind="stable")[:, :probes]
+        near = -(unit @ self.centres.T)
+        return near.argmin(axis=1)[:, None] if probes == 1 else np.argsort(near, axis=1, kind="stable")[:, :probes]
 
     def split(self, unit: np.ndarray, cell: np.ndarray) -> np.ndarray:
         """The residuals in subspaces, the last one filled up with zeros."""
@@ -127,11 +131,26 @@ def fit(vectors: DataFrame, cells: int, sample: int = SAMPLE, width: int = WIDTH
     return Quantiser(centres, np.stack([_means(rest[:, k], ENTRIES, unit=False) for k in range(rest.shape[1])]))
 
 
+def _matrix(column: pa.Array | pa.ChunkedArray, width: int, kind: type) -> np.ndarray:
+    """Vectors of that length as rows; without an object for each number."""
+    return pc.list_flatten(column).to_numpy(zero_copy_only=False).astype(kind).reshape(len(column), width)
+
+
 def _known(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Places of the vectors of that length, and these as unit vectors."""
-    vectors = column.to_pylist()
-    at = [i for i, v in enumerate(vectors) if v is not None and len(v) == width and None not in v]
-    return np.array(at, np.int64), _unit(np.array([vectors[i] for i in at], np.float32).reshape(len(at), width))
+    long = pc.fill_null(pc.equal(pc.list_value_length(column), width), False)
+    at = np.flatnonzero(long.to_numpy(zero_copy_only=False))
+    mine = column.take(pa.array(at))
+    whole = ~_matrix(pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * width, pa.int32()), pc.is_null(pc.list_flatten(mine))), width, bool).any(axis=1)
+    return at[whole], _unit(_matrix(mine.take(pa.array(np.flatnonzero(whole))), width, np.float32))
+
+
+def _slices(batches, columns: int):
+    """The batches cut so that a number for each row and column stays within SCORES."""
+    step = max(1, SCORES // max(columns, 1))
+    for batch in batches:
+        for begin in range(0, batch.num_rows, step):
+            yield batch.slice(begin, step)
 
 
 def with_codes(rows: DataFrame, quantiser: Quantiser) -> DataFrame:
@@ -140,7 +159,7 @@ def with_codes(rows: DataFrame, quantiser: Quantiser) -> DataFrame:
 
     def run(batches):
         own = shared.value
-        for batch in batches:
+        for batch in _slices(batches, len(own.centres)):
             at, unit = _known(batch.column("embedding"), own.dimension)
             if not len(at):
                 continue
@@ -239,13 +258,14 @@ def _scored(rows: DataFrame, asked: DataFrame, limit: int, points: Callable, id_
         mine = mine.sort_by("id")
         cell = mine.column("cell").to_numpy()
         vectors = points(mine)
-        wanted = queries.column("cells").to_pylist()
+        wanted = queries.column("cells")
         ids, places, found = [], [], []
-        for begin in range(0, queries.num_rows, BLOCK):
-            block = queries.slice(begin, BLOCK)
+        step = max(1, SCORES // len(vectors))
+        for begin in range(0, queries.num_rows, step):
+            block = queries.slice(begin, step)
             unit = _unit(np.array(block.column("q").to_pylist(), vectors.dtype))
             scores = np.round(unit @ vectors.T, 6)
-            for i, cells in enumerate(wanted[begin : begin + BLOCK]):
+            for i, cells in enumerate(wanted.slice(begin, step).to_pylist()):
                 if cells is not None:
                     scores[i, ~np.isin(cell, cells)] = -np.inf
             for i, at in enumerate(_best(scores, limit)):
@@ -275,7 +295,7 @@ def probed(index: VectorIndex, queries: DataFrame, probes: int) -> DataFrame:
 
     def run(batches):
         own, bins = shared.value
-        for batch in batches:
+        for batch in _slices(batches, 8 * len(own.centres)):  # of each query and cell there are objects, too
             at, unit = _known(batch.column("embedding"), own.dimension)
             if not len(at):
                 continue
@@ -366,7 +386,8 @@ def exact(rows: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
     dealt = lengths.withColumn("bin", F.col("cell")).withColumn("parts", parts[F.col("cell")]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
 
     def points(mine: pa.Table) -> np.ndarray:
-        return _unit(np.array(mine.column("embedding").to_pylist(), np.float64))
+        column = mine.column("embedding")
+        return _unit(_matrix(column, len(column[0]), np.float64))
 
     found = _scored(dealt, asked, limit + 1, points, id_type, query_type).where("id <> query_id")
     return _ranked(found.select("query_id", "id", F.round(F.col("score").cast("double"), 6).alias("similarity")), "similarity", limit)

@@ -4,9 +4,11 @@ import os
 import subprocess
 import sys
 import time
+import tracemalloc
 from datetime import date, datetime, timedelta
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,6 +134,28 @@ def test_a_hot_vector_and_odd_rows(spark, tmp_path):
     assert vector_index.exact(df.limit(0), df.where("id < 3"), 10).collect() == []
 
 
+def test_a_task_of_the_vector_search_holds_a_bounded_part_of_the_scores(monkeypatch):
+    column = pa.array([[1.0, 0.0], None, [3.0, None], [0.0, 2.0], [1.0], [], [0.6, 0.8]], pa.list_(pa.float32()))
+    at, unit = vector_index._known(column.slice(1), 2)
+    assert at.tolist() == [2, 5] and np.allclose(unit, [[0, 1], [0.6, 0.8]])
+    at, unit = vector_index._known(column.slice(1, 2), 2)
+    assert at.tolist() == [] and unit.shape == (0, 2)
+    monkeypatch.setattr(vector_index, "SCORES", 1000)
+    batch = pa.record_batch([pa.array(range(64))], ["id"])
+    parts = list(vector_index._slices([batch], 100))
+    assert {p.num_rows for p in parts} == {10, 4} and pa.Table.from_batches(parts).column("id").to_pylist() == list(range(64))
+    rng = np.random.default_rng(5)
+    index = vector_index.Quantiser(vector_index._unit(rng.normal(size=(400, 64)).astype(np.float32)), np.zeros((32, 256, 2), np.float32))
+    points = vector_index._unit(rng.normal(size=(10_000, 64)).astype(np.float32))
+    assert (index.cells(points[:50], 1) == index.cells(points[:50], 400)[:, :1]).all()
+    tracemalloc.start()
+    index.cells(points, 1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3.5 * 10_000 * 400 * 4  # products and their negatives, no sorted places besides
+
+
+
 # fan-out
 
 
