@@ -31,6 +31,24 @@ def edge(spark, *ends):
     return table(spark, EDGE, *[(f"new-{a}-{b}", a, b, t, {}, 1.0, NOW, NOW, None) for a, b, t in ends])
 
 
+def test_a_batch_is_swept_once_and_when_asked(graph, spark, monkeypatch):  # noqa: F811
+    swept, real = [], mutations.orphans
+    monkeypatch.setattr(mutations, "orphans", lambda *a: swept.append(a) or real(*a))
+    done = mutations.apply(graph, at(), NY, closed_edges=table(spark, "id string", ("e2",)))
+    assert {r.op: r.n for r in done.counts.collect()}["close_edge"] == 1 and not swept
+    assert ids(done.orphans) == ["c"] and "c" not in ids(done.graph.nodes) and len(swept) == 1
+    assert done.graph.edges.columns == graph.edges.columns
+
+
+def test_a_sweep_reads_edges_once_and_new_edges_only_their_types(graph, spark):  # noqa: F811
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    found = plan(mutations.orphans(graph, graph.nodes.select("id")))
+    assert "LeftAnti" not in found and found.count("Generate explode") == 1
+    two = graph.with_(edges=edge(spark, ("a", "b", "KNOWS")).withColumn("type", F.lit("KNOWS")).union(edge(spark, ("a", "x", "LIVES_AT")).withColumn("type", F.lit("LIVES_AT"))))
+    made = mutations.new_edges(two, edge(spark, ("a", "b", "KNOWS"), ("a", "y", "KNOWS")))
+    assert ids(made) == ["new-a-y"] and "Union" not in plan(made)  # the branch of the other type is gone
+
+
 def test_a_batch_in_order(graph, spark):  # noqa: F811
     creates = table(spark, "temp_id string, kind string, title string, occurred_at timestamp, agent_id string, birthday date, opens_on date, done boolean", ("n1", "person", "New Person", None, "w", "1990-05-01", None, None), ("n2", "task", "Read it", None, "w", None, "2026-11-12", True))
     spawns = table(spark, "temp_id string, hub_id string, title string, agent_id string, start_time string, place_id string", ("s1", "h", "lecture", "w", "10:20", "n3")).withColumn("dates", F.array(F.lit("2026-10-27").cast("date"), F.lit("2026-11-03").cast("date"))).drop("place_id")
