@@ -32,6 +32,9 @@ class Journal:
         fs, path = files_of(self.spark, f"{self.root}/batches")
         return sorted(s.getPath().getName() for s in fs.listStatus(path)) if fs.exists(path) else []
 
+    def _earliest(self, rows: DataFrame, time: str):
+        return rows.agg(F.min(time)).first()[0]
+
     def append(self, rows: DataFrame, batch: str, key: str | None = None, time: str | None = None) -> bool:
         """Adds the rows as a batch; False where the batch is there already.
 
@@ -42,12 +45,11 @@ class Journal:
         if fs.exists(target):
             return False
         if key is not None:
-            rows = rows.dropDuplicates([key])
             held = self.read()
             if time is not None:
-                earliest = rows.agg(F.min(time)).first()[0]
+                earliest = self._earliest(rows, time)  # before rows are put together by key, which shuffles them whole
                 held = held.where(F.col(time) >= F.lit(earliest)) if earliest is not None else held.limit(0)
-            rows = rows.join(held.select(key), key, "left_anti")
+            rows = rows.dropDuplicates([key]).join(held.select(key), key, "left_anti")
         names = self.spark.createDataFrame([], self.ddl).columns
         beside = f"{self.root}/new/{batch}-{uuid.uuid4().hex}"
         rows.select(*names).write.parquet(beside)

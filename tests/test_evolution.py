@@ -487,3 +487,14 @@ def test_lookalikes_are_made_once_without_a_distinct(spark):
     assert sorted(map(tuple, found.collect())) == [("n1", "on1"), ("n1", "on2"), ("n2", "on1"), ("n2", "on2")]
     assert "Aggregate [temp_id" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert candidates.lookalikes(held, news.union(news), at(), NY).count() == 4
+
+
+def test_a_batchs_earliest_time_is_read_before_rows_are_put_together(spark, tmp_path, monkeypatch):
+    """A batch is put together by its key once, where it is written."""
+    seen, real = [], Journal._earliest
+    monkeypatch.setattr(Journal, "_earliest", lambda self, rows, time: seen.append(rows._jdf.queryExecution().analyzed().toString()) or real(self, rows, time))
+    journal = Journal(spark, f"file://{tmp_path}/j", "id string, at timestamp")
+    rows = table(spark, "id string, at timestamp", ("a", NOW), ("a", NOW), ("b", NOW))
+    assert journal.append(rows, "one", key="id", time="at") and journal.append(rows.union(table(spark, "id string, at timestamp", ("c", NOW))), "two", key="id", time="at")
+    assert ids(journal.read()) == ["a", "b", "c"]
+    assert len(seen) == 2 and not any("Deduplicate" in plan for plan in seen)
