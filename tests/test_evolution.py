@@ -498,3 +498,17 @@ def test_a_batchs_earliest_time_is_read_before_rows_are_put_together(spark, tmp_
     assert journal.append(rows, "one", key="id", time="at") and journal.append(rows.union(table(spark, "id string, at timestamp", ("c", NOW))), "two", key="id", time="at")
     assert ids(journal.read()) == ["a", "b", "c"]
     assert len(seen) == 2 and not any("Deduplicate" in plan for plan in seen)
+
+
+def test_outcomes_that_are_told_are_found_by_node_and_time(graph, spark):  # noqa: F811
+    """Long ids are not joined; another row of that node and time does not hold the outcome back."""
+    ticks = graph.tasks.select("node_id", at().alias("done_at"))
+    other = graph.tasks.select(F.concat(F.lit("x-"), "node_id").alias("id"), "node_id", F.lit("done").alias("field"), F.lit("false").alias("old_value"), F.lit("true").alias("new_value"), F.lit(None).cast("array<float>").alias("embedding"), at().alias("changed_at"), F.lit("manual").alias("source"), F.lit(None).cast("string").alias("agent_id"))
+    none = spark.createDataFrame([], "node_id string, outcome string")
+    held = graph.with_(history=graph.history.limit(0).unionByName(other))
+    once = migrations.outcomes(held, none, ticks)
+    twice = migrations.outcomes(once, none, ticks)
+    n = graph.tasks.count()
+    assert n and once.history.count() == twice.history.count() == 2 * n
+    joins = [line for line in twice.history._jdf.queryExecution().optimizedPlan().toString().split("\n") if "LeftAnti" in line]
+    assert joins and not any("sha2" in line or "(id#" in line and "done_at" not in line for line in joins)
