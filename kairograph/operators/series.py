@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from kairograph.config import InvalidRequest
 from kairograph.functions.time import local_instant
-from kairograph.operators.mutations import close_nodes, value_of
-from kairograph.sources.graph import Graph, cut
+from kairograph.operators.mutations import close_plans, value_of
+from kairograph.sources.graph import Graph
 
 RULE = {"every": "int", "days": "array<int>", "times": "int", "until": "date", "skipped": "array<date>"}
 SERIES = {"hub_id": "string", "title": "string", "agent_id": "string", "start_time": "string", "end_time": "string", "time_zone": "string"} | RULE
@@ -83,5 +83,4 @@ def take_back(graph: Graph, written: DataFrame, at: Column) -> Graph:
     """The plans that were written out of series (written: series_id, node_id) go: a history row keeps each title, their edges
     end, nodes and details are removed.  From then on occurrences() says them as they are read.  Plans of no series
     (series_id null) stay, and a second run changes nothing."""
-    gone = cut(written.where("series_id is not null").select(F.col("node_id").alias("id")).distinct())
-    return close_nodes(graph, gone, at, "manual")
+    return close_plans(graph, written.where("series_id is not null").select(F.col("node_id").alias("id")), at, "manual")

@@ -292,6 +292,21 @@ def test_series_are_written_out_once_and_taken_back(graph, spark):  # noqa: F811
         series.write_out(graph, rule.drop("freq"), at(), NY)
 
 
+def test_what_is_no_plan_any_more_is_not_closed(graph, spark):  # noqa: F811
+    """Its edges are not looked for, so a second run shuffles none."""
+    loose = graph.edges.limit(1).withColumns({"id": F.lit("loose"), "src_id": F.lit("none"), "dst_id": F.lit("nobody"), "valid_to": F.lit(None).cast("timestamp")})
+    plan = graph.nodes.where("kind = 'plan'").first().id
+    held = graph.with_(edges=graph.edges.unionByName(loose))
+    ends = held.edges.where(F.col("src_id").eqNullSafe(plan) | F.col("dst_id").eqNullSafe(plan)).where("valid_to is null").count()
+    open_ = held.edges.where("valid_to is null").count()
+    back = series.take_back(held, table(spark, "series_id string, node_id string", ("s", "none"), ("s", plan), ("s", plan)), at())
+    called = migrations.close_cancelled(held, table(spark, "node_id string, status string", ("none", "cancelled"), (plan, "cancelled")), at())
+    for after in (back, called):
+        assert "loose" in ids(after.edges.where("valid_to is null")) and after.edges.count() == held.edges.count()
+        assert after.edges.where("valid_to is null").count() == open_ - ends and plan not in ids(after.nodes)
+        assert after.history.where("field = 'deleted'").count() == 1
+
+
 # migrations
 
 
