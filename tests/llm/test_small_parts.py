@@ -4,6 +4,7 @@ import collections
 import os
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -80,6 +81,17 @@ def test_repeated_ranges_by_counting():
             assert {i for x, y in ranges for i in range(x, y)} == want
 
 
+def test_a_merge_gives_back_what_it_has_used():
+    rnd = random.Random(3)
+    text = rnd.randbytes(20_000)
+    parts = [text[a : a + 600] for a in (rnd.randrange(19_000) for _ in range(400))]
+    tracemalloc.start()
+    bwt.repeated_ranges(parts, np.ones(len(parts), np.int64), 400, 60_000)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 100 * sum(map(len, parts))  # 111 when all arrays lived to the end
+
+
 def test_lookup_table_takes_turns():
     shards, slots = ("a", "b", "c"), 13
     orders = []
