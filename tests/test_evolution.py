@@ -504,6 +504,21 @@ def test_lookalikes_are_made_once_without_a_distinct(spark):
     assert candidates.lookalikes(held, news.union(news), at(), NY).count() == 4
 
 
+def test_pairs_of_lookalikes_are_made_by_many_tasks(spark):
+    """A few rows make many pairs: their number of tasks does not follow from the rows' size, and no words are intersected for a pair."""
+    ddl = "temp_id string, kind string, title string, occurred_at timestamp, closes_at timestamp, hub_id string"
+    titles = ("budget dentist visit", "dentist visit", "visit", "class with", None, "", "(aside) Budget", "zebra budget apple")
+    news = table(spark, ddl, *((f"n{i}", "plan", t, "2026-11-01 12:00:00", None, None) for i, t in enumerate(titles)))
+    node = news.select(F.concat(F.lit("o"), "temp_id").alias("id"), "kind", "title", F.lit(None).cast("timestamp").alias("expires_at"), "occurred_at", F.lit(None).cast("array<float>").alias("embedding"), F.lit(None).cast("string").alias("body"))
+    empty = {n: spark.createDataFrame([], G.DDL[n]) for n in G.DDL}
+    found = candidates.lookalikes(G.Graph(**(empty | {"nodes": node})), news, at(), NY)
+    naming = [set((t or "").lower().replace("(aside)", "").split()) - {"class", "with"} for t in titles]
+    want = [(f"n{i}", f"on{j}") for i in range(8) for j in range(8) if i == j and titles[i] is not None or naming[i] & naming[j]]
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+    assert found.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+    assert "array_intersect" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_a_batchs_earliest_time_is_read_before_rows_are_put_together(spark, tmp_path, monkeypatch):
     """A batch is put together by its key once, where it is written."""
     seen, real = [], Journal._earliest
