@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from kairograph.config import InvalidRequest
 from kairograph.functions.time import local_instant
 from kairograph.operators.mutations import close_plans, value_of
-from kairograph.sources.graph import Graph
+from kairograph.sources.graph import Graph, cut
 
 RULE = {"every": "int", "days": "array<int>", "times": "int", "until": "date", "skipped": "array<date>"}
 SERIES = {"hub_id": "string", "title": "string", "agent_id": "string", "start_time": "string", "end_time": "string", "time_zone": "string"} | RULE
@@ -53,6 +53,17 @@ def _plan_id() -> Column:
     return F.sha2(F.concat_ws("|", F.lit("series"), "id", F.col("day").cast("string")), 256)
 
 
+def id_key(node_id: Column) -> Column:
+    """The bytes that stand for an id of 64 characters: 32 for a hash in lower case, else its own; never null, so that no
+    filter of a join makes it again."""
+    return F.coalesce(F.unhex(F.when(node_id == F.lower(node_id), node_id)), node_id.cast("binary"), F.lit(b""))
+
+
+def id_of(key: Column) -> Column:
+    """The id for which id_key() gave these bytes."""
+    return F.when(F.length(key) == 32, F.lower(F.hex(key))).otherwise(key.cast("string"))
+
+
 def members(series: DataFrame, zone: str, horizon: Column | None = None) -> DataFrame:
     """(series_id, node_id): the plans that write_out() makes of a series."""
     return occurrences(series, zone, horizon).select(F.col("id").alias("series_id"), _plan_id().alias("node_id"))
@@ -60,12 +71,20 @@ def members(series: DataFrame, zone: str, horizon: Column | None = None) -> Data
 
 def write_out(graph: Graph, series: DataFrame, at: Column, zone: str, horizon: Column | None = None) -> Graph:
     """A plan for each date of each series, under its hub if it has one.  A plan that is there is not made again, so a second
-    run, or a longer horizon, adds only what is missing."""
+    run, or a longer horizon, adds only what is missing.
+
+    Only ids as long as a written plan's are looked up, by their bytes, and only where the graph has any; what is missing
+    then is stored as series and day, of which rows of the graph are made where they are read."""
     if "freq" not in series.columns or "first" not in series.columns:
         raise InvalidRequest("a series needs freq and first")
     full = series.withColumns({c: value_of(series, c, k) for c, k in SERIES.items()})
-    each = occurrences(series, zone, horizon).withColumn("node_id", _plan_id()).join(graph.nodes.select(F.col("id").alias("node_id")), "node_id", "left_anti")
-    each = each.join(full.select("id", "hub_id", "title", "agent_id", "time_zone"), "id")
+    days = full.select("id", "hub_id", "title", "agent_id", "time_zone", "start_time", "end_time", F.explode_outer(dates(full, horizon)).alias("day")).where("day is not null")
+    there = graph.nodes.where(F.length("id") == 64).select(id_key(F.col("id")).alias("key"))
+    if not there.isEmpty():
+        missing = cut(days.select("id", "day", id_key(_plan_id()).alias("key")).join(there, "key", "left_anti").select("id", "day").distinct())
+        days = missing.join(full.select("id", "hub_id", "title", "agent_id", "time_zone", "start_time", "end_time"), "id")
+    tz = F.coalesce("time_zone", F.lit(zone))
+    each = days.withColumns({"node_id": _plan_id(), "occurred_at": local_instant(F.col("day"), F.col("start_time"), tz), "end_at": local_instant(F.col("day"), F.col("end_time"), tz)})
     none = lambda kind: F.lit(None).cast(kind)
     nodes = each.select(
         F.col("node_id").alias("id"), F.lit("plan").alias("kind"), "title", none("string").alias("body"), none("array<float>").alias("embedding"), "occurred_at", none("timestamp").alias("expires_at"), none("timestamp").alias("verified_at"),

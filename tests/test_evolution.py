@@ -292,6 +292,24 @@ def test_series_are_written_out_once_and_taken_back(graph, spark):  # noqa: F811
         series.write_out(graph, rule.drop("freq"), at(), NY)
 
 
+def test_written_plans_are_looked_up_by_bytes_where_there_are_any(graph, spark):  # noqa: F811
+    """A first run joins nothing; later ones look ids up by 32 bytes, and an id in other letters holds no plan back."""
+    rule = spark.createDataFrame([("s", "h", "lecture", date(2026, 10, 27), "WEEKLY", 1, None, 3, None, None, "10:20", None, "x")], SERIES_DDL)
+    once = series.write_out(graph, rule, at(), NY)
+    assert "Join" not in once.nodes.select("id")._jdf.queryExecution().optimizedPlan().toString()
+    plans = once.nodes.where("title = 'lecture'")
+    for change, n in ((F.upper("id"), 3), (F.regexp_replace("id", ".$", "é"), 3), (F.col("id"), 0)):
+        held = graph.with_(nodes=graph.nodes.unionByName(plans.withColumn("id", change)))
+        assert series.write_out(held, rule, at(), NY).nodes.count() == held.nodes.count() + n
+        keys = plans.select(change.alias("id")).select("id", series.id_key(F.col("id")).alias("k"))
+        assert keys.where(series.id_of(F.col("k")) == F.col("id")).count() == 3
+    assert {len(r[0]) for r in plans.select(series.id_key(F.col("id"))).collect()} == {32}
+    longer = rule.withColumn("times", F.lit(5))
+    later = series.write_out(once, longer, at(), NY)
+    assert sorted(ids(later.nodes)) == sorted(ids(series.write_out(graph, longer, at(), NY).nodes))
+    assert later.plans.count() == graph.plans.count() + 5
+
+
 def test_what_is_no_plan_any_more_is_not_closed(graph, spark):  # noqa: F811
     """Its edges are not looked for, so a second run shuffles none."""
     loose = graph.edges.limit(1).withColumns({"id": F.lit("loose"), "src_id": F.lit("none"), "dst_id": F.lit("nobody"), "valid_to": F.lit(None).cast("timestamp")})
